@@ -100,10 +100,10 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 def whole(words: np.ndarray) -> np.uint64:
     """A hash of a sequence of words, with its length."""
-    h = U(len(words))
-    for w in words:
-        h = mix(np.array([h * ODD[2] + w], np.uint64))[0]
-    return h
+    h = np.array([len(words)], np.uint64)
+    for i in range(len(words)):
+        h = mix(h * ODD[2] + words[i : i + 1])
+    return h[0]
 
 
 def batches(it, rows_bytes: int = 8 << 20):
@@ -114,3 +114,29 @@ def batches(it, rows_bytes: int = 8 << 20):
         step = max(1, int(n * rows_bytes / size)) if size > rows_bytes else n
         for i in range(0, n, max(1, step)):
             yield batch.slice(i, step)
+
+
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case, as bytes."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        second = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        out[1:][second] += 32
+    return out
+
+
+def prefix_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, which words are longer than that many bytes, and a hash of those words' first so many bytes."""
+    out = []
+    for n in lengths:
+        long = np.flatnonzero(ends - starts > n)
+        s = starts[long]
+        h = np.zeros(len(s), np.uint64)
+        for i in range(n):
+            h += BYTE[buf[s + i]] * _POW[i]
+        out.append((long, mix(h + U(n * int(ODD[3]) % 2**64))))
+    return out
