@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, licenses, ngram_join, packing, passages, quality, toxicity, vptree
+from . import extraction, fingerprint, licenses, ngram_join, packing, passages, quality, toxicity, vptree
 from ._util import table
 
 
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vptree.knn(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
@@ -44,6 +48,6 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_ngram_join, op3_packing, op4_passages, op5_quality, op7_nearest, op8_toxicity, op9_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_ngram_join, op3_packing, op4_passages, op5_quality, op6_extraction, op7_nearest, op8_toxicity, op9_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
