@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, fingerprint, licenses, ngram_join, packing, passages, quality, toxicity, vptree
+from . import extraction, fingerprint, licenses, ngram_join, packing, passages, pieces, quality, toxicity, vptree
 from ._util import table
 
 
@@ -48,6 +48,17 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_ngram_join, op3_packing, op4_passages, op5_quality, op6_extraction, op7_nearest, op8_toxicity, op9_licenses)}
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    """doc_id, ids, n_ids, and whether decoding the ids gives the text again."""
+    vocabulary = pieces.load(spark, model_path)
+    rows = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    rows = pieces.decode(rows, vocabulary, out="decoded")
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_again"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_ngram_join, op3_packing, op4_passages, op5_quality, op6_extraction, op7_nearest, op8_toxicity, op9_licenses, op10_pieces)}
 
 ORACLE_SQL: dict[str, str] = {}
