@@ -136,30 +136,42 @@ def _sigmoid(z):
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled: the lower quartile of the ratios of the two groups' shares above a score.
+    """The share of positives among the unlabelled: the least ratio of the two groups' shares above a score.
 
     Scores of a classifier of the one group against the other. Where only positives score high the ratio is their share; the
     part below counts most, and thresholds that keep under half of the positives are left out as too noisy.
     """
     cuts = np.quantile(positive, np.linspace(0.0, 0.5, 101))
     ratio = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
-    return float(np.clip(np.quantile(ratio, 0.25), 0.05, 0.98))
+    return float(np.clip(min(ratio), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, seed: int = 11) -> tuple[Net, float]:
+def _against(xp: np.ndarray, xu: np.ndarray, seed: int, steps: int, decay: float, parts: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of classifiers of the one group against the other, each for a part that it did not learn from."""
+    zp, zu = np.zeros(len(xp)), np.zeros(len(xu))
+    parts = max(1, min(parts, len(xp), len(xu)))
+    for k in range(parts):
+        net = Net(xp.shape[1], seed=seed)
+        out_p, out_u = np.arange(len(xp)) % parts == k, np.arange(len(xu)) % parts == k
+        p, u = (xp[~out_p], xu[~out_u]) if parts > 1 else (xp, xu)
+
+        def gradient():
+            (ap, a), (au, b) = net.forward(p), net.forward(u)
+            return [x + y for x, y in zip(net.back(p, ap, -_sigmoid(-a) / len(p)), net.back(u, au, _sigmoid(b) / len(u)))]
+
+        net.descend(gradient, steps, decay=decay)
+        zp[out_p], zu[out_u] = net.forward(xp[out_p])[1], net.forward(xu[out_u])[1]
+    return zp, zu
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 200, seed: int = 11) -> tuple[Net, float]:
     """The network of least non-negative risk, and the prior that it used."""
     net = Net(positive.shape[1], seed=seed)
     net.center, net.scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     xp, xu = net.form(positive), net.form(unlabelled)
+    decay = 1e-3 + 4.0 / (len(xp) + len(xu))  # few texts: a simpler network
     if prior is None:
-        other = Net(positive.shape[1], seed=seed + 1)
-
-        def against():
-            (ap, zp), (au, zu) = other.forward(xp), other.forward(xu)
-            return [a + b for a, b in zip(other.back(xp, ap, -_sigmoid(-zp) / len(xp)), other.back(xu, au, _sigmoid(zu) / len(xu)))]
-
-        other.descend(against, steps // 2)
-        prior = class_prior(other.forward(xp)[1], other.forward(xu)[1])
+        prior = class_prior(*_against(xp, xu, seed + 1, 150, 4e-3))
     softplus = lambda z: np.logaddexp(0, z)
 
     def risk():
@@ -172,7 +184,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
             gp, gu = prior * _sigmoid(zp) / len(xp), -_sigmoid(zu) / len(xu)
         return [a + b for a, b in zip(net.back(xp, ap, gp), net.back(xu, au, gu))]
 
-    net.descend(risk, steps)
+    net.descend(risk, steps, decay=decay)
     return net, prior
 
 
