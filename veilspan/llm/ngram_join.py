@@ -62,43 +62,67 @@ def shingles(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return row[new], tok[new]
 
 
+_KEYED = "key long, run long, kind int, a binary, b binary"
+_KEYED_TYPES = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _emit(name: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, row: np.ndarray, tok: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A run's rows (key, run, kind, a, b) from its documents and (row, tok) in order of tok: what goes to buckets, and what only the
+    run itself needs (kinds 0 and 1)."""
+    out = [(-1 - name, name, 0, ids.tobytes(), np.concatenate([n, sig]).tobytes())]
+    at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+    count = np.diff(np.append(at, len(tok)))
+    hot = count >= HOT_IN_RUN
+    mine = np.repeat(hot, count)
+    if hot.any():
+        out.append((-1 - name, name, 1, _pack(tok[mine]), row[mine].astype(np.uint16).tobytes()))
+    bounds = (np.arange(1, buckets, dtype=np.float64) * (2.0**48 / buckets)).astype(np.uint64)
+    for kind, t, rest in ((2, tok[~mine], row[~mine].astype(np.uint16)), (3, tok[at[hot]], count[hot].astype(np.uint32))):
+        cut = np.concatenate([[0], np.searchsorted(t, bounds), [len(t)]])
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            out.append((b, name, kind, _pack(t[cut[b] : cut[b + 1]]), rest[cut[b] : cut[b + 1]].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _KEYED_TYPES.types)], schema=_KEYED_TYPES)
+
+
+def _name(number: int) -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 24) + number
+
+
 def _runs(buckets: int, k: int):
-    """Batches of (doc_id, text) to rows (key, run, kind, a, b): what goes to buckets, and what only the run itself needs."""
+    """Batches of (doc_id, text) to keyed rows."""
 
     def run(frames):
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
+        number = 0
         for whole in frames:
             for batch in _text.batches([whole]):
-                name = (part << 24) + number
-                number += 1
                 row, tok = shingles(batch.column("text"), k)
                 n = np.bincount(row, minlength=batch.num_rows)
-                by_doc = np.argsort(row, kind="stable")
                 sums = np.zeros(len(row) + 1, np.uint64)
-                np.cumsum(_text.mix(tok[by_doc] + _text.ODD[6]), out=sums[1:])
+                np.cumsum(_text.mix(tok[np.argsort(row, kind="stable")] + _text.ODD[6]), out=sums[1:])
                 edge = np.concatenate([[0], np.cumsum(n)])
                 sig = _text.mix(sums[edge[1:]] - sums[edge[:-1]])
-                ids = batch.column("doc_id").cast(pa.int64())
-                out = [(-1 - name, name, 0, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False).tobytes(), np.concatenate([n.astype(np.int64), sig.view(np.int64)]).tobytes())]
-                at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-                count = np.diff(np.append(at, len(tok)))
-                hot = count >= HOT_IN_RUN
-                mine = np.repeat(hot, count)
-                if hot.any():
-                    out.append((-1 - name, name, 1, _pack(tok[mine]), row[mine].astype(np.uint16).tobytes()))
-                light, heavy = tok[~mine], tok[at[hot]]
-                light_row, heavy_n = row[~mine].astype(np.uint16), count[hot].astype(np.uint32)
-                bounds = (np.arange(1, buckets, dtype=np.float64) * (2.0**48 / buckets)).astype(np.uint64)
-                cut, cut2 = np.concatenate([[0], np.searchsorted(light, bounds), [len(light)]]), np.concatenate([[0], np.searchsorted(heavy, bounds), [len(heavy)]])
-                for b in range(buckets):
-                    if cut[b + 1] > cut[b]:
-                        out.append((b, name, 2, _pack(light[cut[b] : cut[b + 1]]), light_row[cut[b] : cut[b + 1]].tobytes()))
-                    if cut2[b + 1] > cut2[b]:
-                        out.append((b, name, 3, _pack(heavy[cut2[b] : cut2[b + 1]]), heavy_n[cut2[b] : cut2[b + 1]].tobytes()))
-                key, run_, kind, a, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(run_, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(c, pa.binary())], ["key", "run", "kind", "a", "b"])
+                ids = batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+                yield _emit(_name(number), ids, n.astype(np.int64), sig.view(np.int64), row, tok, buckets)
+                number += 1
+
+    return run
+
+
+def _reruns(buckets: int):
+    """Batches of (doc_id, n, tokens) to keyed rows."""
+
+    def run(frames):
+        number = 0
+        for whole in frames:
+            for batch in _text.batches([whole]):
+                sets = [_unpack(x) for x in batch.column("tokens").to_pylist()]
+                row, tok = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.uint64)])
+                order = np.argsort(tok, kind="stable")
+                n = batch.column("n").to_numpy(zero_copy_only=False)
+                yield _emit(_name(number), batch.column("doc_id").to_numpy(zero_copy_only=False), n, np.zeros(len(n), np.int64), row[order], tok[order], buckets)
+                number += 1
 
     return run
 
@@ -141,8 +165,9 @@ _DOC = "doc_id long, n long, sig long, shared int, prefix binary, others array<b
 _DOC_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shared", pa.int32()), ("prefix", pa.binary()), ("others", pa.list_(pa.binary())), ("tokens", pa.binary())])
 
 
-def _documents(num: int, den: int):
-    """One run: a row for each document; prefixes and tokens where it can have a partner (the first of equal sets only)."""
+def _documents(num: int, den: int, ranks: bool):
+    """One run: a row for each document; its shared tokens where it can have a partner. Without ranks: of equal sets the first only.
+    With ranks: its prefixes too, and no row for the others."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "c"))))
@@ -168,23 +193,25 @@ def _documents(num: int, den: int):
         needs = _NEEDS(n, num, den)
         live = (n > 0) & (shared >= needs)
         seen: dict[tuple[int, int], int] = {}
-        for i in np.lexsort((ids,)).tolist():
+        for i in np.argsort(ids, kind="stable").tolist() if not ranks else ():
             if live[i] and seen.setdefault((int(n[i]), int(sig[i])), i) != i:
                 live[i] = False
         keep = live[doc]
         tok, doc, df = tok[keep], doc[keep], df[keep]
         edge = np.concatenate([[0], np.cumsum(np.where(live, shared, 0))])
         width = n - needs + 1 - (n - shared)  # of the prefix, less the shingles that no other document has
-        ranked = [np.lexsort((_ties(tok, o), df, doc)) for o in range(ORDERS)]
+        ranked = [np.lexsort((_ties(tok, o), df, doc)) for o in range(ORDERS if ranks else 0)]
         plain = np.lexsort((tok, doc))
         prefix, others, tokens = [None] * len(ids), [None] * len(ids), [None] * len(ids)
         for i in np.flatnonzero(live).tolist():
             s, w = edge[i], edge[i] + max(0, width[i])
-            prefix[i] = tok[ranked[0][s:w]].tobytes()
-            others[i] = [np.sort(tok[r[s:w]]).astype(np.uint32).tobytes() for r in ranked[1:]]
+            if ranks:
+                prefix[i] = tok[ranked[0][s:w]].tobytes()
+                others[i] = [np.sort(tok[r[s:w]].astype(np.uint32)).tobytes() for r in ranked[1:]]
             tokens[i] = _pack(tok[plain[s : edge[i + 1]]])
         null = ids == -(2**63)
-        return pa.table([pa.array(ids, mask=null), n, sig, shared.astype(np.int32), prefix, others, tokens], schema=_DOC_TYPES)
+        out = pa.table([pa.array(ids, mask=null), n, sig, shared.astype(np.int32), prefix, others, tokens], schema=_DOC_TYPES)
+        return out.filter(pa.array(live)) if ranks else out
 
     return run
 
@@ -212,13 +239,16 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     small_batches(spark, 2048)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * own.rdd.getNumPartitions())
-    counted = own.mapInArrow(_runs(buckets, k), "key long, run long, kind int, a binary, b binary").groupBy("key").applyInArrow(_count, _ROWS)
-    found = materialize(counted.groupBy("run").applyInArrow(_documents(num, den), _DOC))
-    small_batches(spark)
+    counted = own.mapInArrow(_runs(buckets, k), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)
+    found = materialize(counted.groupBy("run").applyInArrow(_documents(num, den, False), _DOC))
     classes = materialize(found.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("class_id")))
-    live = found.where(F.col("prefix").isNotNull()).select("doc_id", "n", "sig", "shared").join(classes, ["n", "sig"]).where("doc_id = class_id").select("doc_id", "n", "shared").distinct()
-    sets = found.where(F.col("prefix").isNotNull())
-    live = materialize(live)
+    # once more among one document of each class: copies must not make a shingle look shared
+    single = found.where("tokens IS NOT NULL").select("doc_id", "n", "sig").join(classes, ["n", "sig"]).where("doc_id = class_id").select("doc_id").distinct()
+    single = found.where("tokens IS NOT NULL").select("doc_id", "n", "tokens").join(single, "doc_id")
+    counted = single.mapInArrow(_reruns(buckets), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)
+    sets = materialize(counted.groupBy("run").applyInArrow(_documents(num, den, True), _DOC))
+    small_batches(spark)
+    live = sets.select("doc_id", "n", "shared")
 
     def spread(frames):
         for batch in frames:
@@ -226,24 +256,27 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
             each = [len(x) // 8 for x in data]
             take = pa.array(np.repeat(np.arange(len(data)), each))
             flat = np.frombuffer(b"".join(data), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), *(batch.column(c).take(take) for c in ("doc_id", "n", "shared"))], ["tok", "node", "n", "shared"])
+            rank = pa.array(np.concatenate([*(np.arange(x) for x in each), np.zeros(0, np.int64)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(batch.column(c).take(take) for c in ("doc_id", "n", "shared")), rank], ["tok", "node", "n", "shared", "rank"])
 
-    postings = found.where("prefix IS NOT NULL").select("doc_id", "prefix").join(live, "doc_id").select("doc_id", "n", "shared", "prefix")
-    postings = materialize(postings.mapInArrow(spread, "tok long, node long, n long, shared int"))
-    possible = lambda a, b: (den * F.least(a.n, b.n) >= num * F.greatest(a.n, b.n)) & (den * F.least(a.shared, b.shared) >= num * (a.n + b.n - F.least(a.shared, b.shared)))
+    postings = materialize(sets.select("doc_id", "n", "shared", "prefix").mapInArrow(spread, "tok long, node long, n long, shared int, rank int"))
+    # sizes that allow the similarity; and a pair's first common shingle leaves each enough shared ones, itself included, for the overlap
+    possible = lambda a, b: (den * F.least(a.n, b.n) >= num * F.greatest(a.n, b.n)) & ((den + num) * F.least(a.shared - a.rank, b.shared - b.rank) >= num * (a.n + b.n))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), "n", "others", "tokens")
         right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("others").alias("others_b"), F.col("tokens").alias("tokens_b"))
         return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(num, den), "a long, b long"))
 
+    # the first representative is the document with the fewest shingles of its own: most likely what the others are copies of
+    first = lambda turn: F.struct((F.col("n") - F.col("shared")) / F.col("n"), F.xxhash64("component")) if not turn else F.struct(F.xxhash64("component", F.lit(turn)))
     label = live.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
     known: DataFrame | None = None
     for turn in range(2):
         at = postings.join(label, "node")
         lead = at.groupBy("tok").agg(
-            F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "component", "node", "n", "shared")).alias("r"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        ).where("lo <> hi").select("tok", "r.component", "r.node", "r.n", "r.shared")
+            F.min(F.struct(first(turn).alias("h"), "component", "node", "n", "shared", "rank")).alias("r"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        ).where("lo <> hi").select("tok", "r.component", "r.node", "r.n", "r.shared", "r.rank")
         x, y = at.alias("x"), lead.alias("y")
         pairs = x.join(y, F.col("x.tok") == F.col("y.tok")).where(F.col("x.component") != F.col("y.component"))
         pairs = pairs.where(possible(_Of("x"), _Of("y"))).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
@@ -256,19 +289,22 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     at = postings.join(label, "node")
     mixed = at.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
     at = materialize(at.join(mixed, "tok"))
-    x, y = at.alias("x"), at.alias("y")
-    pairs = x.join(y, F.col("x.tok") == F.col("y.tok")).where((F.col("x.component") < F.col("y.component")) & possible(_Of("x"), _Of("y")))
+    # the smaller of two shares at least 2 num / (den + num) of itself: few of its shingles can be the first common one
+    small = at.where((den + num) * (F.col("shared") - F.col("rank")) >= 2 * num * F.col("n"))
+    x, y = small.alias("x"), at.alias("y")
+    smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.component") != F.col("y.component")) & smaller & possible(_Of("x"), _Of("y")))
     known = known.unionByName(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
     out = found.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id")
-    discard(at, postings, live)
+    discard(at, postings, sets)
     return out, known
 
 
 class _Of:
-    """Columns n and shared of an aliased side."""
+    """Columns n, shared and rank of an aliased side."""
 
     def __init__(self, side: str):
-        self.n, self.shared = F.col(f"{side}.n"), F.col(f"{side}.shared")
+        self.n, self.shared, self.rank = (F.col(f"{side}.{c}") for c in ("n", "shared", "rank"))
 
 
 def similar(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
