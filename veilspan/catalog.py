@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["identifier_inventory"](spark, sf_dir)
