@@ -264,19 +264,25 @@ class Vocabulary:
                 base += len(ids)
         return np.concatenate(flat), place_of, count_of
 
-    def decode(self, ids) -> str:
-        """Text of ids: control pieces say nothing, bytes that are not UTF-8 become U+FFFD, null and impossible ids are unknown."""
+    def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of flat ids cut at n + 1 offsets: control pieces say nothing, bytes that are not UTF-8 become U+FFFD, ids that no
+        piece has are unknown."""
         if self._bytes_of is None:
-            self._bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, k in zip(self.pieces, self.kinds)]
-        known, odd = self._bytes_of, self._bytes_of[self.unknown] if self.kinds[self.unknown] == UNKNOWN else b""
-        try:
-            data = b"".join(map(known.__getitem__, ids)) if min(ids, default=0) >= 0 else None
-        except (IndexError, TypeError):
-            data = None
-        if data is None:
-            data = b"".join(known[i] if i is not None and 0 <= i < len(known) else odd for i in ids)
-        text = data.decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+            parts = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, k in zip(self.pieces, self.kinds)]
+            size = np.array([len(x) for x in parts], np.int64)
+            self._bytes_of = (np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size)
+        pool, begin, size = self._bytes_of
+        ids = np.where((ids >= 0) & (ids < len(size)), ids, self.unknown)
+        count = size[ids]
+        sums = np.concatenate([[0], np.cumsum(count)])
+        data = pool[np.repeat(begin[ids] - sums[:-1], count) + np.arange(sums[-1])].tobytes()
+        edge = sums[offsets].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(edge, edge[1:])]
+        return [t[1:] if self.dummy_prefix and t.startswith(" ") else t for t in texts]
+
+    def decode(self, ids) -> str:
+        ids = np.array([-1 if i is None else i for i in ids], np.int64)
+        return self.decode_flat(ids, np.array([0, len(ids)]))[0]
 
 
 def load(spark: SparkSession, path: str) -> Vocabulary:
@@ -363,11 +369,9 @@ def decode_column(vocabulary: Vocabulary, ids_column: str = "ids"):
     """Text of an array<int>; null arrays are empty."""
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        out = []
-        offsets, flat = column.offsets.to_pylist(), column.values.to_pylist()
-        for i in range(len(column)):
-            out.append(vocabulary.decode(flat[offsets[i] : offsets[i + 1]]) if column[i].is_valid else "")
-        return pa.array(out, pa.string())
+        offsets = np.asarray(column.offsets, np.int64)
+        flat = np.asarray(column.values.fill_null(-1), np.int64)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.int64)
+        return pa.array(vocabulary.decode_flat(flat, offsets - offsets[0]) if len(column) else [], pa.string())
 
     return run(F.col(ids_column))
 
