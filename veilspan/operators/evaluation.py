@@ -193,3 +193,45 @@ def merge_boxes(boxes: DataFrame, gap: float = 6.0, same_line: float = 2.0) -> D
     edge = F.max(F.col("x") + F.col("width")).over(line.rowsBetween(Window.unboundedPreceding, -1))
     b = b.withColumn("new", F.when(edge.isNull() | (F.col("x") > edge + gap), 1).otherwise(0)).withColumn("island", F.sum("new").over(line))
     return b.groupBy("doc_id", "page", "line", "island").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"), F.count("*").alias("boxes")).drop("line", "island")
+
+
+def cache_keys(prompts: DataFrame, config: str) -> DataFrame:
+    """prompts (prompt, text) with key: the first 32 hex digits of a hash of all that decides a response."""
+    sep = F.decode(F.unhex(F.lit("00")), "utf-8")
+    return prompts.withColumn("key", F.substring(F.sha2(F.concat(F.lit(config), sep, "prompt", sep, "text", sep), 256), 1, 32))
+
+
+def cached(prompts: DataFrame, responses: DataFrame, schema: int) -> DataFrame:
+    """prompts with the response of an equal key and schema, null where there is none."""
+    return prompts.join(responses.where(F.col("schema") == schema).select("key", "response").dropDuplicates(["key"]), "key", "left")
+
+
+def shards(values: DataFrame, index: str, held_out: int = 9, parts: int = 10) -> DataFrame:
+    """values with split: those whose index falls on held_out are for development, so that no value is in both."""
+    return values.withColumn("split", F.when(F.pmod(F.col(index), F.lit(parts)) == held_out, "dev").otherwise("train"))
+
+
+def upweight(rows: DataFrame, is_hard: Column, times: int = 3) -> DataFrame:
+    """Hard rows so many times, others once."""
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.when(is_hard, times).otherwise(1)))).drop("_k")
+
+
+def contaminated(train: DataFrame, test: DataFrame, column: str = "text") -> DataFrame:
+    """Training rows whose text is in the test set: must be empty."""
+    return train.join(test.select(column).distinct(), column, "left_semi")
+
+
+def locate_values(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, data_type, s, e) of claimed values (doc_id, data_type, value) in their texts, longest value first, no place twice."""
+    v = values.where(F.length("value") > 0).groupBy("doc_id").agg(F.collect_set(F.struct("value", "data_type")).alias("v"))
+    quote = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+    def places(x):
+        gaps = F.split(F.col("text"), quote(x.value), -1)
+        n = F.length(x.value)
+        start = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, g: a + F.length(g)) + (i - 1) * n)
+        return F.when(F.size(gaps) > 1, F.transform(start, lambda s: F.struct((-n).alias("k"), s.alias("s"), (s + n).alias("e"), x.data_type.alias("data_type")))).otherwise(F.array().cast("array<struct<k:int,s:int,e:int,data_type:string>>"))
+
+    found = F.flatten(F.transform("v", places))
+    order = lambda a, b: F.when(F.struct(a.k, a.s, a.data_type) < F.struct(b.k, b.s, b.data_type), -1).otherwise(1)
+    return docs.join(v, "doc_id").select("doc_id", F.explode(X.keep_best(found, order)).alias("x")).select("doc_id", "x.data_type", "x.s", "x.e")

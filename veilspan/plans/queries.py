@@ -134,6 +134,33 @@ def orphan_digits(spark, sf):
     return d.select("doc_id", F.size("r").cast("long").alias("runs"), F.aggregate("r", F.lit(0), lambda a, x: a + F.length(x.value)).cast("long").alias("digits"))
 
 
+@query()
+def detect_documents(spark, sf):
+    """The whole detector over documents: spans by type and layer. Its cues and boundaries are beyond RE2, so there is no SQL twin."""
+    rows = structured.span_rows(structured.detect(table(spark, sf, "documents").select("doc_id", "text")))
+    return risk.breakdown(rows)
+
+
+@query("SELECT event_id, CAST(threshold AS DOUBLE) AS n FROM (SELECT event_id, event_id % 7 AS threshold FROM events WHERE event_id % 11 = 0)")
+def second_look_digits(spark, sf):
+    """Every eleventh event as a text with 13 digits that fail the check: n of them, found by the second look alone."""
+    e = table(spark, sf, "events").where("event_id % 11 = 0").selectExpr("event_id AS doc_id", "concat('x ', repeat('1234567890123 ', CAST(event_id % 7 AS INT))) AS text")
+    d = structured.detect(e)
+    return d.select(F.col("doc_id").alias("event_id"), F.size(F.filter("spans", lambda x: x.score == 0.6)).cast("double").alias("n"))
+
+
+@query(f"WITH {_CARDS} SELECT doc_id, 'CREDIT_CARD' AS data_type, count(*) AS n FROM cards GROUP BY doc_id UNION ALL SELECT doc_id, 'EMAIL', count(*) FROM emails GROUP BY doc_id")
+def type_counts(spark, sf):
+    rows = identifiers.find(table(spark, sf, "documents").select("doc_id", "text"), ("CREDIT_CARD", "EMAIL"))
+    return rows.groupBy("doc_id", "data_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CARDS} SELECT 'CREDIT_CARD' AS data_type, 'FP' AS redact_type, count(*) AS n FROM cards HAVING count(*) > 0 UNION ALL SELECT 'EMAIL', 'FP', count(*) FROM emails HAVING count(*) > 0")
+def breakdown_ranked(spark, sf):
+    rows = identifiers.find(table(spark, sf, "documents").select("doc_id", "text"), ("CREDIT_CARD", "EMAIL")).withColumn("redact_type", F.lit("FP"))
+    return risk.breakdown(rows)
+
+
 # --- overlaps ---------------------------------------------------------------------------------------------------------------------
 _SPANS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 + l_partkey % 7 AS INT) AS s, CAST(l_linenumber * 10 + l_partkey % 7 + 4 + l_suppkey % 12 AS INT) AS e, CASE WHEN l_suppkey % 3 = 0 THEN 'FP' ELSE 'TB' END AS layer, CAST(l_linenumber AS INT) AS ord FROM lineitem"
 
@@ -287,6 +314,12 @@ def token_ordinals(spark, sf):
     return pairs.groupBy("session_id", "data_type").agg(F.count("*").alias("tokens"), F.sum("ordinal").cast("long").alias("ordinals"))
 
 
+@query(f"WITH {_CARDS}, v AS (SELECT source AS session_id, v FROM cards JOIN documents USING (doc_id) UNION SELECT source, v FROM emails JOIN documents USING (doc_id)) SELECT session_id, count(*) AS used, CAST(0 AS BIGINT) AS unused FROM v GROUP BY 1")
+def restore_summary(spark, sf):
+    docs, spans, pairs = _found(spark, sf)
+    return masking.restore_summary(masking.mask(docs, spans, pairs), pairs)
+
+
 @query(f"WITH {_CARDS} SELECT doc_id, 'CREDIT_CARD' AS data_type, v AS original, true AS valid, true AS differs FROM (SELECT DISTINCT doc_id, v FROM cards)")
 def surrogates(spark, sf):
     """Replacement cards pass the check and are other numbers of the same form."""
@@ -417,6 +450,26 @@ def perf_compare(spark, sf):
     return evaluation.compare_runs(now, base).select("metric", "verdict")
 
 
+@query("SELECT p_partkey, substring(sha256(concat('cfg', chr(0), p_name, chr(0), p_brand, chr(0))), 1, 32) AS key FROM part")
+def cache_keys(spark, sf):
+    return evaluation.cache_keys(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("prompt"), F.col("p_brand").alias("text")), "cfg").select("p_partkey", "key")
+
+
+@query("SELECT split, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN c_custkey % 10 = 9 THEN 'dev' ELSE 'train' END AS split, CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 1 END AS k FROM customer) GROUP BY split")
+def training_shards(spark, sf):
+    rows = evaluation.shards(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    return evaluation.upweight(rows, F.col("c_custkey") % 4 == 0).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey AS doc_id, data_type, CAST(s AS BIGINT) AS s FROM (SELECT n_nationkey, 'NAME' AS data_type, 3 AS s FROM nation UNION ALL SELECT n_nationkey, 'NAME', 3 + length(n_name) + length(' a [x.y] b') FROM nation UNION ALL SELECT n_nationkey, 'ID_NUMBER', 6 + length(n_name) FROM nation)")
+def locate_values(spark, sf):
+    """The name occurs twice, the bracketed value once."""
+    n = table(spark, sf, "nation")
+    docs = n.select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("to "), "n_name", F.lit(" a [x.y] b"), "n_name").alias("text"))
+    values = n.select(F.col("n_nationkey").alias("doc_id"), F.explode(F.array(F.struct(F.lit("NAME").alias("data_type"), F.col("n_name").alias("value")), F.struct(F.lit("ID_NUMBER").alias("data_type"), F.lit("[x.y]").alias("value")))).alias("x")).select("doc_id", "x.*")
+    return evaluation.locate_values(docs, values).select("doc_id", "data_type", F.col("s").cast("long").alias("s"))
+
+
 @query()
 def bootstrap_interval(spark, sf):
     """Documents resampled by hash: no SQL twin, as DuckDB has another hash."""
