@@ -106,7 +106,7 @@ def whole(words: np.ndarray) -> np.uint64:
     return h[0]
 
 
-def batches(it, rows_bytes: int = 8 << 20):
+def batches(it, rows_bytes: int = 3 << 20):
     """Arrow batches cut so that each holds about so many bytes (or one row)."""
     for batch in it:
         n = batch.num_rows

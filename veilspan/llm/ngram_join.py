@@ -236,7 +236,7 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     """(classes, links): a row (doc_id, n_shingles, class_id) for each document, where class_id is the smallest doc_id of an equal set
     (null without words), and verified links (a, b) between class_ids that connect all that are similar."""
     spark = docs.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark, 1024)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * own.rdd.getNumPartitions())
     counted = own.mapInArrow(_runs(buckets, k), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)

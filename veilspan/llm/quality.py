@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     other = _sampled(docs, id_column, max_unlabelled, docs.count(), 6).select(F.lit(0).alias("p"), text_of(text_column).alias("_text"))
 
     def measure(frames):
-        for batch in frames:
+        for batch in _text.batches(frames, 1 << 20):
             x = style(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array([r.tobytes() for r in x], pa.binary())], ["p", "x"])
 
@@ -223,7 +223,7 @@ def score_column(net: Net | None, text_column: str = "text"):
     def run(texts: pa.Array) -> pa.Array:
         if net is None:
             return pa.array(np.full(len(texts), 0.5))
-        out = [_sigmoid(net.logit(style(b.column(0)))) for b in _text.batches([pa.RecordBatch.from_arrays([texts], ["t"])])]
+        out = [_sigmoid(net.logit(style(b.column(0)))) for b in _text.batches([pa.RecordBatch.from_arrays([texts], ["t"])], 1 << 20)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return run(text_of(text_column))

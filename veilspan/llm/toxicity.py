@@ -19,8 +19,8 @@ from ._text import U
 from ._util import discard, fold, materialize, small_batches, text_of
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
-MAX_TRAIN = 12_000  # labelled texts that are fitted on, at most about
-MAX_CANDIDATES = 100_000  # features that are looked at, at most
+MAX_TRAIN = 8_000  # labelled texts that are fitted on, at most about
+MAX_CANDIDATES = 60_000  # features that are looked at, at most
 MAX_FEATURES = 4_000  # features of the model, at most
 THRESHOLD = 0.3
 # Terms for groups of people; those of a line are swapped for one another.
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     def present(frames):
         for batch in frames:
-            for b in _text.batches([batch]):
+            for b in _text.batches([batch], 1 << 20):
                 row, f = occurrences(b.column("_text"))
                 order = np.lexsort((f, row))
                 row, f = row[order], f[order]
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     def hits(frames):
         lookup = Lookup(look_keys)
-        for batch in frames:
+        for batch in _text.batches(frames, 1 << 20):
             texts = batch.column("_text").to_pylist()
             swapped = [(i, s) for i, t in enumerate(texts) if (s := swap(t)) is not None]
             owner = [*range(len(texts)), *(i for i, _ in swapped)]
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     def sparse(rows):
         lists = [np.frombuffer(r["at"], np.int32) for r in rows]
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)
+        return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
 
     y = np.array([r.y for r in plain], float)
     rows, cols = sparse(plain)
@@ -226,7 +226,7 @@ def score_column(model: Model, text_column: str = "text"):
     """A score from 0 to 1 for each text; null and empty texts have that of a text without evidence."""
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        out = [model.score(b.column(0)) for b in _text.batches([pa.RecordBatch.from_arrays([texts], ["t"])])]
+        out = [model.score(b.column(0)) for b in _text.batches([pa.RecordBatch.from_arrays([texts], ["t"])], 1 << 20)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return run(text_of(text_column))
