@@ -29,3 +29,45 @@ def test_a_chain_that_is_not_alike_keeps_its_exact_parts(spark):
         at = 30 + 25 + 25 + t % 6
         assert covers(found, 2 * t + 1, at, at + 55), t
     assert all(r.identity >= passages.IDENTITY and r.n_words >= passages.MIN_WORDS for r in found)
+
+
+def test_whole_passages_are_found_behind_earlier_documents_with_parts_of_them(spark):
+    rng = random.Random(32)
+    rows, want = [], []
+
+    def add(*parts):
+        text = [words(rng, 20), *parts, words(rng, 20)]
+        rows.append((len(rows), " ".join(text)))
+
+    for _ in range(15):
+        p = words(rng, 60).split()
+        for held in ((p[:40], p[20:], p, p), (p[:45], p, p)):
+            for h in held:
+                add(" ".join(h))
+            want.append((len(rows) - 1, 20, 80))
+    lines = [words(rng, rng.randint(12, 24)) for _ in range(5)]
+    for line in lines:
+        add(line)
+    for _ in range(2):
+        add(*lines)
+    want.append((len(rows) - 1, 20, 20 + sum(len(x.split()) for x in lines)))
+    for _ in range(2):
+        add("so " * 90)
+    want.append((len(rows) - 1, 20, 110))
+    found = passages.repeats(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    for doc, start, end in want:
+        assert covers(found, doc, start, end), doc
+
+
+def test_no_common_run_of_words_is_left_out(spark):
+    rng = random.Random(33)
+    pool = [words(rng, rng.randint(5, 40)) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.8 else words(rng, rng.randint(1, 10)) for _ in range(rng.randint(2, 12)))) for i in range(120)]
+    found = passages.repeats(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    least, seen = passages.MIN_WORDS, set()
+    for i, text in rows:
+        w = text.split()
+        runs = [tuple(w[s : s + least]) for s in range(len(w) - least + 1)]
+        for s, r in enumerate(runs):
+            assert r not in seen or covers(found, i, s, s + least), (i, s)
+        seen.update(runs)
