@@ -1,8 +1,11 @@
 """Cases that operators once left out: each of these tests failed before the operator did the whole job."""
 
 import random
+import textwrap
 
-from veilspan.llm import passages
+import pytest
+
+from veilspan.llm import licenses, passages
 
 DOCS = "doc_id long, text string"
 
@@ -71,3 +74,24 @@ def test_no_common_run_of_words_is_left_out(spark):
         for s, r in enumerate(runs):
             assert r not in seen or covers(found, i, s, s + least), (i, s)
         seen.update(runs)
+
+
+# --- 9 ----------------------------------------------------------------------------------------------------------------------------
+def test_wrapped_licenses_are_found_whole(spark):
+    names = ["MIT", "BSD-2-Clause", "ISC", "Apache-2.0"]
+    wrapped = {n: "\n".join(textwrap.wrap(licenses.TEMPLATES[n], 80)) for n in names}
+    rows = [(i, "Some words before.\n" + wrapped[n] + "\nAnd after it.\n") for i, n in enumerate(names)]
+    rows += [(10 + i, "/*\n" + "".join(f" * {x}\n" for x in wrapped[n].split("\n")) + " */\nint main() {}") for i, n in enumerate(names)]
+    got = licenses.scan(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in got) == sorted((k + i, n, True) for i, n in enumerate(names) for k in (0, 10))
+
+
+@pytest.mark.parametrize("before, after", [(20, 20), (80, 100), (250, 250), (3000, 3000)])
+def test_short_notices_in_long_lines_are_found(spark, before, after):
+    rng = random.Random(34)
+    near = lambda n: words(rng, n // 5)
+    notices = [licenses.TEMPLATES[n] for n in ("CC-BY-NC-4.0/line", "MIT/line", "Apache-2.0/line")]
+    rows = [(i, f"{near(before)} {x} {near(after)}") for i, x in enumerate(notices)] + [(9, f"{near(before)} a license under the seat {near(after)}")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: r.license for i, r in got.items()} == {0: "CC-BY-NC-4.0/line", 1: "MIT/line", 2: "Apache-2.0/line"}
+    assert all(r.exact for r in got.values())

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -102,6 +104,61 @@ class Scanner:
         return name, -g, missing + added == 0, missing, added, " ".join(steps)
 
 
+    def near(self, text: str, cues: re.Pattern, done: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(start, end) of the parts of a text about a cue that have the words of a template, whatever the lines; done: parts known already."""
+        found = list(WORD.finditer(text))
+        have, starts = [m[0].lower() for m in found], [m.start() for m in found]
+        out: dict[tuple[int, int], None] = {}
+        for cue in cues.finditer(text):
+            if any(s <= cue.start() and cue.end() <= e for s, e in done):
+                continue
+            at = max(0, bisect_right(starts, cue.start()) - 1)
+            for _, want, _ in self.known:
+                n, slack = len(want), max(2, len(want) // 10)
+                low = max(0, at - n - slack)
+                part = have[low : at + n + slack]
+                kinds = set(want)
+                if len(kinds.intersection(part)) < 0.5 * len(kinds):
+                    continue
+                place: dict[str, list[int]] = {}
+                for j, w in enumerate(want):
+                    place.setdefault(w, []).append(j)
+                votes = [0] * (len(part) + n + slack + 1)  # by where the template would begin, plus n
+                for i, w in enumerate(part):
+                    for j in place.get(w, ()):
+                        votes[i - j + n] += 1
+                total = list(accumulate(votes, initial=0))
+                first = max(range(len(votes) - slack), key=lambda d: total[d + slack] - total[d]) - n
+                s = max(0, first - slack)
+                runs = [m for m in difflib.SequenceMatcher(None, want, part[s : first + n + 2 * slack], autojunk=False).get_matching_blocks() if m.size]
+                if sum(m.size for m in runs) >= 0.5 * n:
+                    end = found[low + s + runs[-1].b + runs[-1].size - 1].end()
+                    out[found[low + s + runs[0].b].start(), end + (text[end : end + 1] in (".", ")"))] = None
+        return list(out)
+
+    def scan_text(self, text: str, cues: re.Pattern, size: int, least_gain: float) -> list[tuple]:
+        """(block, start, n_chars, *scan) of the blocks of cue lines, and of the parts about cues, that a template explains; where
+        they overlap, of the one that agrees with the template in most words."""
+        out, last = [], -1
+        for n, start, block in blocks(text, cues, size):
+            last = n
+            if found := self.scan(block, least_gain):
+                out.append((n, start, len(block), *found))
+        sizes = {name: len(want) for name, want, _ in self.known}
+        # a block of a few words more or less may be the start of a longer notice: only what is exact in itself and has no cue beside it is done
+        done = [(x[1], x[1] + x[2]) for x in out if x[5] and not any(y is not x and abs(y[1] - x[1] - x[2]) < 2 for y in out) and sizes[x[3]] >= 20]
+        for s, e in self.near(text, cues, done):
+            # a few words out of the midst of prose must agree almost all
+            if (found := self.scan(text[s:e], least_gain)) and (sizes[found[0]] >= 20 or found[3] + found[4] <= 0.2 * sizes[found[0]]):
+                last += 1
+                out.append((last, s, e - s, *found))
+        kept: list[tuple] = []
+        for x in sorted(out, key=lambda x: (x[6] + x[7] - sizes[x[3]], x[0])):
+            if all(x[1] >= y[1] + y[2] or y[1] >= x[1] + x[2] for y in kept):
+                kept.append(x)
+        return sorted(kept)
+
+
 def blocks(text: str, cues: re.Pattern, size: int) -> list[tuple[int, int, str]]:
     """Number, start and text of the lines, or runs of lines, that have a cue. Consecutive lines of one notice stay together."""
     out, n, at = [], 0, 0
@@ -134,7 +191,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str | Column =
     """One row for each block that a template explains: doc_id, block, start and n_chars (characters), license, gain, exact, missing,
     added (words), differences ("-" for the template's words that are absent, "+" for others in their place).
 
-    Blocks are lines with a cue, with their neighbours that have one. Null and empty texts give no row, repeated rows one each.
+    Blocks are lines with a cue, with their neighbours that have one, and parts of the text about a cue that have the words of a
+    template, over several lines or within a long one; these are numbered after the others. Of blocks that overlap there is one row. Null and empty texts give no row, repeated rows one each.
     Texts without a cue never reach Python. No shuffle.
     """
     small_batches(docs.sparkSession)
@@ -145,9 +203,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str | Column =
         for pdf in frames:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text):
-                for n, start, block in blocks(text, pattern, block_chars):
-                    if found := scanner.scan(block, least_gain):
-                        rows.append((doc, n, start, len(block), *found))
+                rows += [(doc, *x) for x in scanner.scan_text(text, pattern, block_chars, least_gain)]
             yield pd.DataFrame(rows, columns=["doc_id", "block", "start", "n_chars", "license", "gain", "exact", "missing", "added", "differences"])
 
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
