@@ -5,7 +5,7 @@ import textwrap
 
 import pytest
 
-from veilspan.llm import licenses, passages
+from veilspan.llm import extraction, licenses, passages
 
 DOCS = "doc_id long, text string"
 
@@ -76,6 +76,16 @@ def test_no_common_run_of_words_is_left_out(spark):
         seen.update(runs)
 
 
+# --- 6 ----------------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("end", ["</head>", ""])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_heads_without_an_end_tag_do_not_swallow_the_page(spark, end, body):
+    text = "First words of a text that is long enough to be one. " * 3
+    html = f"<!doctype html><html><head><meta charset=utf-8><title>no</title><style>p{{}}</style><script>no()</script><link rel=x href=y>{end}{body}<article><h1>A title</h1><p>{text}</p></article></html>"
+    got = extraction.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert got[0].text.split() == ("A title " + text).split()
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------------------
 def test_wrapped_licenses_are_found_whole(spark):
     names = ["MIT", "BSD-2-Clause", "ISC", "Apache-2.0"]

@@ -6,7 +6,7 @@ import html
 import re
 
 # Elements of HTML by role.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math", "head", "title", "select", "datalist", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math", "title", "select", "datalist", "canvas", "audio", "video")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output picture q ruby rb rt rp s samp small source span strike strong sub sup time track tt u var wbr input param embed area map slot".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont frame".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd tr td th tbody thead tfoot".split())
@@ -90,7 +90,7 @@ class Page:
                         break
                     if tags[stack[i]] in ("td", "th", "table") and name in ("div", "section", "p", "article"):
                         break
-            elif name in ("html", "body", "meta", "link", "base"):
+            elif name in ("html", "head", "body", "meta", "link", "base"):  # the end tag of a head may be absent: no node, only what never shows is skipped
                 flush()
                 if name == "body":
                     attrs = m[4] or m[7] or ""
