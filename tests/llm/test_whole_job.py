@@ -5,7 +5,7 @@ import textwrap
 
 import pytest
 
-from veilspan.llm import extraction, licenses, passages
+from veilspan.llm import extraction, licenses, ngram_join, passages
 
 DOCS = "doc_id long, text string"
 
@@ -19,6 +19,17 @@ def covers(found, doc, start, end):
     return any(r.doc_id == doc and r.start_word <= start and r.start_word + r.n_words >= end for r in found)
 
 
+# --- 2 ----------------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("parts", [1, 5])
+def test_documents_without_an_id_are_linked(spark, parts):
+    rng = random.Random(35)
+    a, b, c, d = (words(rng, 100) for _ in range(4))
+    rows = [(None, a), (5, a), (9, a + " end"), (None, b), (20, b + " end"), (None, c), (None, c + " end"), (30, d), (None, words(rng, 100))]
+    got = ngram_join.similar(spark.createDataFrame([(*r,) for r in rows], DOCS).repartition(parts)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {5: 5, 9: 5, 20: 20, 30: 30}
+    assert sorted(r.component_id or 0 for r in got if r.doc_id is None) == [0, 0, 0, 5, 20]
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------------------------
 def test_a_chain_that_is_not_alike_keeps_its_exact_parts(spark):
     rng = random.Random(31)

@@ -193,7 +193,7 @@ def _documents(num: int, den: int, ranks: bool):
         needs = _NEEDS(n, num, den)
         live = (n > 0) & (shared >= needs)
         seen: dict[tuple[int, int], int] = {}
-        for i in np.argsort(ids, kind="stable").tolist() if not ranks else ():
+        for i in np.lexsort((ids, ids == -(2**63))).tolist() if not ranks else ():  # null ids last: a class is named by another if it has one
             if live[i] and seen.setdefault((int(n[i]), int(sig[i])), i) != i:
                 live[i] = False
         keep = live[doc]
@@ -232,9 +232,10 @@ def _verify(num: int, den: int):
     return run
 
 
-def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): a row (doc_id, n_shingles, class_id) for each document, where class_id is the smallest doc_id of an equal set
-    (null without words), and verified links (a, b) between class_ids that connect all that are similar."""
+def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame, int]:
+    """(classes, links, top): a row (doc_id, n_shingles, class_id) for each document, where class_id is the smallest doc_id of an equal set
+    (null without words), and verified links (a, b) between class_ids that connect all that are similar. Sets that only documents
+    without an id have get class_ids above top, the largest doc_id."""
     spark = docs.sparkSession
     small_batches(spark, 1024)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -242,9 +243,19 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     counted = own.mapInArrow(_runs(buckets, k), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)
     found = materialize(counted.groupBy("run").applyInArrow(_documents(num, den, False), _DOC))
     classes = materialize(found.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("class_id")))
+    seen = found.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull() & (F.col("n") > 0))).first()
+    top = -1 if seen[0] is None else max(-1, int(seen[0]))
+    if seen[1]:
+        room = 2**63 - 2 - top
+        if room < 2**40:
+            raise ValueError("doc_ids leave no numbers for documents without one")
+        classes = materialize(classes.withColumn("class_id", F.coalesce("class_id", F.lit(top + 1) + F.pmod(F.xxhash64("n", "sig"), F.lit(room)))))
     # once more among one document of each class: copies must not make a shingle look shared
     single = found.where("tokens IS NOT NULL").select("doc_id", "n", "sig").join(classes, ["n", "sig"]).where("doc_id = class_id").select("doc_id").distinct()
     single = found.where("tokens IS NOT NULL").select("doc_id", "n", "tokens").join(single, "doc_id")
+    if seen[1]:
+        nameless = found.where("doc_id IS NULL AND tokens IS NOT NULL").join(classes.where(F.col("class_id") > top), ["n", "sig"])
+        single = single.unionByName(nameless.groupBy("class_id", "n").agg(F.any_value("tokens").alias("tokens")).withColumnRenamed("class_id", "doc_id"))
     counted = single.mapInArrow(_reruns(buckets), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)
     sets = materialize(counted.groupBy("run").applyInArrow(_documents(num, den, True), _DOC))
     small_batches(spark)
@@ -297,7 +308,7 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     known = known.unionByName(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
     out = found.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     discard(at, postings, sets)
-    return out, known
+    return out, known, top
 
 
 class _Of:
@@ -314,7 +325,7 @@ def similar(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> Data
     get the smallest id of their group, or null if there is none. Rows with the same id count as one document that is similar to what either is similar to. An empty table
     gives an empty result. Further columns are ignored.
     """
-    classes, known = links(docs, k, num, den)
+    classes, known, top = links(docs, k, num, den)
     comp = components(known)
     out = classes.join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.coalesce("component", "class_id", "doc_id") <= top, F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
