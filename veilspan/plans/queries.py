@@ -143,8 +143,8 @@ def detect_documents(spark, sf):
 
 @query("SELECT event_id, CAST(threshold AS DOUBLE) AS n FROM (SELECT event_id, event_id % 7 AS threshold FROM events WHERE event_id % 11 = 0)")
 def second_look_digits(spark, sf):
-    """Every eleventh event as a text with 13 digits that fail the check: n of them, found by the second look alone."""
-    e = table(spark, sf, "events").where("event_id % 11 = 0").selectExpr("event_id AS doc_id", "concat('x ', repeat('1234567890123 ', CAST(event_id % 7 AS INT))) AS text")
+    """Each event as a text with 13 digits that fail the check: n of them, found by the second look alone."""
+    e = table(spark, sf, "events").selectExpr("event_id AS doc_id", "concat('x ', repeat('1234567890123 ', CAST(event_id % 7 AS INT))) AS text")
     d = structured.detect(e)
     return d.select(F.col("doc_id").alias("event_id"), F.size(F.filter("spans", lambda x: x.score == 0.6)).cast("double").alias("n"))
 
