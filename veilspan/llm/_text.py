@@ -107,11 +107,11 @@ def whole(words: np.ndarray) -> np.uint64:
 
 
 def batches(it, rows_bytes: int = 3 << 20):
-    """Arrow batches cut so that each holds about so many bytes (or one row)."""
+    """Arrow batches cut so that each holds about so many bytes (or one row), and rows that 16 bits can number."""
     for batch in it:
         n = batch.num_rows
         size = max(1, batch.nbytes)
-        step = max(1, int(n * rows_bytes / size)) if size > rows_bytes else n
+        step = min(65_535, max(1, int(n * rows_bytes / size)) if size > rows_bytes else n)
         for i in range(0, n, max(1, step)):
             yield batch.slice(i, step)
 
