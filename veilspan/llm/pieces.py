@@ -8,6 +8,7 @@ make the merges instead, best pair first in each unit; the ids are those of the
 
 from __future__ import annotations
 
+import hashlib
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._text import _BLOCK, _INV, _POW, U
-from ._util import small_batches, text_of
+from ._util import text_of
 
 SPACE = "▁"
 BASE = int(_text.ODD[0])
@@ -78,9 +79,12 @@ class Vocabulary:
         self.longest = max((len(pieces[i]) for i in normal), default=1)
         self.low_score = float(self.scores.min()) - 10.0 if len(self.scores) else -10.0
         joined = sorted({c for i in normal if len(pieces[i]) > 1 for c in _codes(pieces[i]).tolist()})
-        self.joined = np.array(joined, np.uint32)  # characters that occur in longer pieces; others stand alone
+        self.alone = np.ones(0x110000, bool)  # characters that occur in no longer piece stand alone
+        self.alone[joined] = False
         self.inner_space = any(SPACE in p.lstrip(SPACE) for i in normal for p in [pieces[i]])
         self._bytes_of = None
+        content = repr((pieces, list(scores), list(kinds), unigram, byte_fallback, dummy_prefix)).encode("utf-8", "surrogatepass")
+        self.digest = hashlib.sha256(content).hexdigest()
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash among the keys, -1 where it is none."""
@@ -97,8 +101,7 @@ class Vocabulary:
         if not self.inner_space:
             is_space = codes == ord(SPACE)
             new[1:n] |= is_space[1:] & ~is_space[:-1]
-        at = np.minimum(np.searchsorted(self.joined, codes), max(len(self.joined) - 1, 0))
-        alone = self.joined[at] != codes if len(self.joined) else np.ones(n, bool)
+        alone = self.alone[codes]
         new[:n] |= alone
         new[1:] |= alone
         return np.flatnonzero(new[:n])
@@ -298,14 +301,54 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts; units that were met before are not encoded again."""
+    """Encodes batches of texts; units that were met before are not encoded again.
+
+    What is known stands in two sorted levels: new units join the small one, which joins the large one when it has grown to a quarter
+    of it. Above most_units all is forgotten, so memory is bounded.
+    """
 
     def __init__(self, vocabulary: Vocabulary, most_units: int = 1_000_000):
         self.v, self.most = vocabulary, most_units
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # keys, where their ids begin, how many
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Puts ids at the end of the pool, which doubles when it is full; gives where they begin."""
+        at = self.used
+        if at + len(ids) > len(self.pool):
+            bigger = np.zeros(max(2 * len(self.pool), at + len(ids)), np.int32)
+            bigger[:at] = self.pool[:at]
+            self.pool = bigger
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    @staticmethod
+    def _joined(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
+
+    def _known(self, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these sorted units begin in the pool, and how many there are."""
+        place, count = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, begin, size in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                place[hit], count[hit] = begin[at[hit]], size[at[hit]]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            ids, begin, size = self.v.encode_units(codes, starts[new], ends[new])
+            place[new], count[new] = begin + self._keep(ids), size
+            large, small = self.levels
+            small = self._joined(small, (keys[new], place[new], count[new]))
+            if 4 * len(small[0]) > len(large[0]):
+                large, small = self._joined(large, small), tuple(x[:0] for x in small)
+            self.levels = [large, small]
+        return place, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets."""
@@ -319,20 +362,10 @@ class Encoder:
         ends = np.append(starts[1:], len(codes))
         keys = _text.mix(_hashes(_values(codes), starts, ends) + (ends - starts).astype(np.uint64) * _text.ODD[1])
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if sum(len(x[0]) for x in self.levels) > self.most:
             self._clear()
-        at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != unique if len(self.keys) else np.ones(len(unique), bool)
-        if new.any():
-            ids, place, count = v.encode_units(codes, starts[first[new]], ends[first[new]])
-            place = place + len(self.pool)
-            self.pool = np.concatenate([self.pool, ids])
-            keys2 = np.concatenate([self.keys, unique[new]])
-            order = np.argsort(keys2, kind="stable")
-            self.keys = keys2[order]
-            self.at, self.count = np.concatenate([self.at, place])[order], np.concatenate([self.count, count])[order]
-            at = np.searchsorted(self.keys, unique)
-        count, place = self.count[at][inverse], self.at[at][inverse]
+        place, count = self._known(unique, codes, starts[first], ends[first])
+        count, place = count[inverse], place[inverse]
         total = int(count.sum())
         shift = np.cumsum(count) - count
         flat = self.pool[np.repeat(place - shift, count) + np.arange(total)]
@@ -354,15 +387,15 @@ def encode_column(vocabulary: Vocabulary, text_column: str = "text"):
     return run(text_of(text_column))
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """The task's encoder, which keeps what it has met from one batch to the next."""
-    if id(vocabulary) not in _ENCODERS:
+    """The worker's encoder of this vocabulary, which keeps what it has met from one task to the next."""
+    if vocabulary.digest not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[id(vocabulary)] = Encoder(vocabulary)
-    return _ENCODERS[id(vocabulary)]
+        _ENCODERS[vocabulary.digest] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary.digest]
 
 
 def decode_column(vocabulary: Vocabulary, ids_column: str = "ids"):
@@ -377,10 +410,11 @@ def decode_column(vocabulary: Vocabulary, ids_column: str = "ids"):
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text", out: str = "ids") -> DataFrame:
-    small_batches(docs.sparkSession)
+    """docs with ids. Null texts count as empty, empty ones have no ids; a column that has the name already is replaced. Repeated rows
+    are rows; an empty table stays empty."""
     return docs.withColumn(out, encode_column(vocabulary, text_column))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", out: str = "text") -> DataFrame:
-    small_batches(rows.sparkSession)
+    """rows with texts. Null ids count as empty; a column that has the name already is replaced. An empty table stays empty."""
     return rows.withColumn(out, decode_column(vocabulary, ids_column))
