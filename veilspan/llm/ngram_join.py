@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import _text
 from ._text import U
 from .components import components
-from ._util import discard, materialize, small_batches, text_of
+from ._util import discard, materialize, text_of
 
 K, NUM, DEN = 5, 80, 100  # words of a shingle; similarity NUM / DEN
 ORDERS = 3
@@ -66,10 +66,10 @@ _KEYED = "key long, run long, kind int, a binary, b binary"
 _KEYED_TYPES = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _emit(name: int, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, row: np.ndarray, tok: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _emit(name: int, ids: np.ndarray, n: np.ndarray, sigs: np.ndarray, row: np.ndarray, tok: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A run's rows (key, run, kind, a, b) from its documents and (row, tok) in order of tok: what goes to buckets, and what only the
     run itself needs (kinds 0 and 1)."""
-    out = [(-1 - name, name, 0, ids.tobytes(), np.concatenate([n, sig]).tobytes())]
+    out = [(-1 - name, name, 0, ids.tobytes(), np.concatenate([n, *sigs]).tobytes())]
     at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
     count = np.diff(np.append(at, len(tok)))
     hot = count >= HOT_IN_RUN
@@ -99,12 +99,14 @@ def _runs(buckets: int, k: int):
             for batch in _text.batches([whole]):
                 row, tok = shingles(batch.column("text"), k)
                 n = np.bincount(row, minlength=batch.num_rows)
-                sums = np.zeros(len(row) + 1, np.uint64)
-                np.cumsum(_text.mix(tok[np.argsort(row, kind="stable")] + _text.ODD[6]), out=sums[1:])
                 edge = np.concatenate([[0], np.cumsum(n)])
-                sig = _text.mix(sums[edge[1:]] - sums[edge[:-1]])
+                mine, sigs = tok[np.argsort(row, kind="stable")], []
+                for odd in (_text.ODD[6], _text.ODD[7]):  # two sums: sets are equal where 128 bits are
+                    sums = np.zeros(len(row) + 1, np.uint64)
+                    np.cumsum(_text.mix(mine * odd + odd), out=sums[1:])
+                    sigs.append(_text.mix(sums[edge[1:]] - sums[edge[:-1]]).view(np.int64))
                 ids = batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-                yield _emit(_name(number), ids, n.astype(np.int64), sig.view(np.int64), row, tok, buckets)
+                yield _emit(_name(number), ids, n.astype(np.int64), np.stack(sigs), row, tok, buckets)
                 number += 1
 
     return run
@@ -121,7 +123,7 @@ def _reruns(buckets: int):
                 row, tok = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.uint64)])
                 order = np.argsort(tok, kind="stable")
                 n = batch.column("n").to_numpy(zero_copy_only=False)
-                yield _emit(_name(number), batch.column("doc_id").to_numpy(zero_copy_only=False), n, np.zeros(len(n), np.int64), row[order], tok[order], buckets)
+                yield _emit(_name(number), batch.column("doc_id").to_numpy(zero_copy_only=False), n, np.zeros((2, len(n)), np.int64), row[order], tok[order], buckets)
                 number += 1
 
     return run
@@ -161,8 +163,8 @@ def _ties(tok: np.ndarray, order: int) -> np.ndarray:
     return tok if not order else _text.mix(tok + _text.ODD[40 + order])
 
 
-_DOC = "doc_id long, n long, sig long, shared int, prefix binary, others array<binary>, tokens binary"
-_DOC_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shared", pa.int32()), ("prefix", pa.binary()), ("others", pa.list_(pa.binary())), ("tokens", pa.binary())])
+_DOC = "doc_id long, n long, sig long, sig2 long, shared int, prefix binary, others array<binary>, tokens binary"
+_DOC_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("shared", pa.int32()), ("prefix", pa.binary()), ("others", pa.list_(pa.binary())), ("tokens", pa.binary())])
 
 
 def _documents(num: int, den: int, ranks: bool):
@@ -173,7 +175,7 @@ def _documents(num: int, den: int, ranks: bool):
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "c"))))
         ids, rest = next((a, b) for k, a, b, _ in rows if k == 0)
         ids = np.frombuffer(ids, np.int64)
-        n, sig = np.frombuffer(rest, np.int64).reshape(2, -1)
+        n, sig, sig2 = np.frombuffer(rest, np.int64).reshape(3, -1)
         toks, docs, freq = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, a, b, c in rows:
             if k == 2:
@@ -192,9 +194,9 @@ def _documents(num: int, den: int, ranks: bool):
         shared = np.bincount(doc, minlength=len(ids))
         needs = _NEEDS(n, num, den)
         live = (n > 0) & (shared >= needs)
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[tuple[int, int, int], int] = {}
         for i in np.lexsort((ids, ids == -(2**63))).tolist() if not ranks else ():  # null ids last: a class is named by another if it has one
-            if live[i] and seen.setdefault((int(n[i]), int(sig[i])), i) != i:
+            if live[i] and seen.setdefault((int(n[i]), int(sig[i]), int(sig2[i])), i) != i:
                 live[i] = False
         keep = live[doc]
         tok, doc, df = tok[keep], doc[keep], df[keep]
@@ -210,7 +212,7 @@ def _documents(num: int, den: int, ranks: bool):
                 others[i] = [np.sort(tok[r[s:w]].astype(np.uint32)).tobytes() for r in ranked[1:]]
             tokens[i] = _pack(tok[plain[s : edge[i + 1]]])
         null = ids == -(2**63)
-        out = pa.table([pa.array(ids, mask=null), n, sig, shared.astype(np.int32), prefix, others, tokens], schema=_DOC_TYPES)
+        out = pa.table([pa.array(ids, mask=null), n, sig, sig2, shared.astype(np.int32), prefix, others, tokens], schema=_DOC_TYPES)
         return out.filter(pa.array(live)) if ranks else out
 
     return run
@@ -237,28 +239,28 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     (null without words), and verified links (a, b) between class_ids that connect all that are similar. Sets that only documents
     without an id have get class_ids above top, the largest doc_id."""
     spark = docs.sparkSession
-    small_batches(spark, 1024)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * own.rdd.getNumPartitions())
     counted = own.mapInArrow(_runs(buckets, k), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)
     found = materialize(counted.groupBy("run").applyInArrow(_documents(num, den, False), _DOC))
-    classes = materialize(found.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("class_id")))
+    classes = materialize(found.where("n > 0").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("class_id")))
     seen = found.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull() & (F.col("n") > 0))).first()
     top = -1 if seen[0] is None else max(-1, int(seen[0]))
     if seen[1]:
         room = 2**63 - 2 - top
         if room < 2**40:
             raise ValueError("doc_ids leave no numbers for documents without one")
-        classes = materialize(classes.withColumn("class_id", F.coalesce("class_id", F.lit(top + 1) + F.pmod(F.xxhash64("n", "sig"), F.lit(room)))))
+        classes = materialize(classes.withColumn("class_id", F.coalesce("class_id", F.lit(top + 1) + F.pmod(F.xxhash64("n", "sig", "sig2"), F.lit(room)))))
     # once more among one document of each class: copies must not make a shingle look shared
-    single = found.where("tokens IS NOT NULL").select("doc_id", "n", "sig").join(classes, ["n", "sig"]).where("doc_id = class_id").select("doc_id").distinct()
+    single = found.where("tokens IS NOT NULL").select("doc_id", "n", "sig", "sig2").join(classes, ["n", "sig", "sig2"]).where("doc_id = class_id").select("doc_id").distinct()
     single = found.where("tokens IS NOT NULL").select("doc_id", "n", "tokens").join(single, "doc_id")
     if seen[1]:
-        nameless = found.where("doc_id IS NULL AND tokens IS NOT NULL").join(classes.where(F.col("class_id") > top), ["n", "sig"])
+        nameless = found.where("doc_id IS NULL AND tokens IS NOT NULL").join(classes.where(F.col("class_id") > top), ["n", "sig", "sig2"])
         single = single.unionByName(nameless.groupBy("class_id", "n").agg(F.any_value("tokens").alias("tokens")).withColumnRenamed("class_id", "doc_id"))
+    single = materialize(single)  # runs name rows by their place in a batch: it must be the same if a task runs again
     counted = single.mapInArrow(_reruns(buckets), _KEYED).groupBy("key").applyInArrow(_count, _ROWS)
     sets = materialize(counted.groupBy("run").applyInArrow(_documents(num, den, True), _DOC))
-    small_batches(spark)
+    discard(single)
     live = sets.select("doc_id", "n", "shared")
 
     def spread(frames):
@@ -282,7 +284,7 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     # the first representative is the document with the fewest shingles of its own: most likely what the others are copies of
     first = lambda turn: F.struct((F.col("n") - F.col("shared")) / F.col("n"), F.xxhash64("component")) if not turn else F.struct(F.xxhash64("component", F.lit(turn)))
     label = live.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
-    known: DataFrame | None = None
+    parts: list[DataFrame] = []
     for turn in range(2):
         at = postings.join(label, "node")
         lead = at.groupBy("tok").agg(
@@ -292,10 +294,11 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
         pairs = x.join(y, F.col("x.tok") == F.col("y.tok")).where(F.col("x.component") != F.col("y.component"))
         pairs = pairs.where(possible(_Of("x"), _Of("y"))).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        new = verified(pairs)
-        known = new if known is None else known.unionByName(new)
+        parts.append(verified(pairs))
+        known = parts[0] if not turn else known.unionByName(parts[-1])
         found_now = components(known)
-        label = materialize(live.select(F.col("doc_id").alias("node")).join(found_now, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        before, label = label, materialize(live.select(F.col("doc_id").alias("node")).join(found_now, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        discard(found_now, *([before] if turn else []))
     # all the rest: pairs that share a prefix shingle and are not connected yet
     at = postings.join(label, "node")
     mixed = at.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
@@ -305,9 +308,11 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     x, y = small.alias("x"), at.alias("y")
     smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
     pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.component") != F.col("y.component")) & smaller & possible(_Of("x"), _Of("y")))
-    known = known.unionByName(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
-    out = found.select("doc_id", "n", "sig").join(classes, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id")
-    discard(at, postings, sets)
+    parts.append(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+    known = known.unionByName(parts[-1])
+    out = materialize(found.select("doc_id", "n", "sig", "sig2").join(classes, ["n", "sig", "sig2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id"))
+    known = materialize(known)
+    discard(at, postings, sets, label, found, classes, *parts)
     return out, known, top
 
 
@@ -322,10 +327,13 @@ def similar(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> Data
     """doc_id, n_shingles, component_id for each row: the smallest doc_id that links reach, itself included.
 
     Null and empty texts have no shingles and are linked with nothing; equal texts are linked. Null ids are linked like others, and
-    get the smallest id of their group, or null if there is none. Rows with the same id count as one document that is similar to what either is similar to. An empty table
-    gives an empty result. Further columns are ignored.
+    get the smallest id of their group, or null if there is none. Rows with the same id count as one document that is similar to what
+    either is similar to. Texts of any length are read whole. An empty table gives an empty result. Further columns are ignored,
+    whatever their names.
     """
     classes, known, top = links(docs, k, num, den)
     comp = components(known)
     out = classes.join(comp.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.coalesce("component", "class_id", "doc_id") <= top, F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
+    out = materialize(out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.coalesce("component", "class_id", "doc_id") <= top, F.coalesce("component", "class_id", "doc_id")).alias("component_id")))
+    discard(classes, known, comp)
+    return out
