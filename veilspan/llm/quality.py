@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._util import fold, small_batches, text_of
+from ._util import fold, free_name, share_of, text_of
 
-MAX_POSITIVE = 6_000  # trusted texts that are fitted on, at most about
-MAX_UNLABELLED = 12_000  # other texts that are fitted on, at most about
+MAX_POSITIVE = 6_000  # trusted texts that are fitted on, at most
+MAX_UNLABELLED = 12_000  # other texts that are fitted on, at most
 _UP = np.zeros(256, bool)
 _UP[65:91] = True
 _LOW = np.zeros(256, bool)
@@ -188,32 +188,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     return net, prior
 
 
-def _sampled(df: DataFrame, column: str, n: int, total: int, seed: int) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, n / max(1, total)) * 1_000_000))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Net | None:
-    """Fits on bounded samples, picked by a hash of the id: trusted texts, and texts of which no label is looked at.
+    """Fits on at most max_positive trusted texts and max_unlabelled texts of which no label is looked at, picked by hashes of id and text.
 
-    An id with a label 1 and another label is not trusted; null labels count as none. None if there is no trusted text.
+    An id with a label 1 and another label is not trusted; null labels count as none, null texts as empty. Rows that share an id are
+    rows of their own. None if there is no trusted text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    trusted = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.min(F.col(label_column).cast("int")).alias("_y")).where(F.col("_y") == 1)
-    trusted = _sampled(trusted, "_id", max_positive, trusted.count(), 5).select("_id")
+    key = free_name(labels, "_id")
+    trusted = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias(key)).agg(F.min(F.col(label_column).cast("int")).alias("_y")).where(F.col("_y") == 1)
+    trusted = trusted.orderBy(F.xxhash64(key, F.lit(5)), key).limit(max_positive).select(F.col(key).alias("_id"))  # ids alone: safe to broadcast
     texts = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text"))
-    own = texts.join(F.broadcast(trusted), "_id").select(F.lit(1).alias("p"), "_text")  # at most about max_positive ids
-    other = _sampled(docs, id_column, max_unlabelled, docs.count(), 6).select(F.lit(0).alias("p"), text_of(text_column).alias("_text"))
+    texts = texts.withColumn("_h", F.xxhash64("_id", "_text", F.lit(6)))
+    own = texts.join(F.broadcast(trusted), "_id").select(F.lit(1).alias("p"), "_text", "_h")
+    other = texts.where(share_of(docs.count(), max_unlabelled + max_unlabelled // 8, "_h")).select(F.lit(0).alias("p"), "_text", "_h")
 
     def measure(frames):
         for batch in _text.batches(frames, 1 << 20):
             x = style(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array([r.tobytes() for r in x], pa.binary())], ["p", "x"])
-
-    rows = own.unionByName(other).mapInArrow(measure, "p int, x binary").collect()  # bounded by max_positive + max_unlabelled rows of fixed size
-    x = [np.stack([np.frombuffer(b, float) for b in sorted(bytes(r.x) for r in rows if r.p == k)]) if any(r.p == k for r in rows) else None for k in (1, 0)]
-    if x[0] is None or x[1] is None:
-        return None
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("_h"), pa.array([r.tobytes() for r in x], pa.binary())], ["p", "h", "x"])
+
+    x = []
+    for side, most in ((own, max_positive), (other, max_unlabelled)):
+        rows = side.mapInArrow(measure, "p int, h long, x binary").orderBy("h", "x").limit(most).collect()  # so many rows of fixed size at most, though an id may have many
+        if not rows:
+            return None
+        x.append(np.stack([np.frombuffer(b, float) for b in sorted(bytes(r.x) for r in rows)]))
     return fit(*x, prior)[0]
 
 
@@ -230,7 +229,11 @@ def score_column(net: Net | None, text_column: str = "text"):
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, threshold: float = 0.5, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; labels count only where crc32(doc_id) mod parts is not held."""
+    """doc_id, held_out, score, predicted for each document; labels count only where crc32(doc_id) mod parts is not held.
+
+    Null and empty texts get the score of an empty text, texts of any length are measured whole, equal texts have equal scores. Null ids
+    are not held out. Repeated rows are rows, an empty table gives an empty result, further columns are ignored, whatever their names.
+    """
     net = train(docs, labels.where(fold("doc_id", parts) != held), **options)
     out = docs.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), score_column(net).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._text import U
-from ._util import discard, fold, materialize, small_batches, text_of
+from ._util import discard, fold, free_name, materialize, text_of
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
-MAX_TRAIN = 8_000  # labelled texts that are fitted on, at most about
-MAX_CANDIDATES = 60_000  # features that are looked at, at most
-MAX_FEATURES = 4_000  # features of the model, at most
+MAX_TRAIN = 12_000  # labelled texts that are fitted on, at most
+SURE = 1.5  # standard errors by which a feature's lift must differ from none
 THRESHOLD = 0.3
 # Terms for groups of people; those of a line are swapped for one another.
 IDENTITIES: tuple[tuple[str, ...], ...] = (
@@ -138,18 +137,15 @@ def _fit(rows, cols, n, d, y, pair, pair_rows, pair_cols, penalty: float, ridge:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", penalty: float = 4.0, ridge: float = 2e-5, identities=IDENTITIES, max_train: int = MAX_TRAIN, seed: int = 3) -> Model:
-    """Fits on at most about max_train labelled texts (picked by a hash of the id). Labels: one row for each id counts, the largest.
+    """Fits on at most max_train labelled texts, picked by a hash of the id. Labels: one row for each id counts, the largest.
 
-    Null labels, labels without a document and documents without a label take no part. Without labels of both kinds the model
-    scores every text 0.0001 (only label 0, or none) or 0.9999 (only label 1).
+    Features are counted in all texts of the sample; those that toxic texts have clearly more often are used. Null labels, labels
+    without a document and documents without a label take no part; null texts count as empty, rows that share an id are rows of their
+    own. Without labels of both kinds the model scores every text 0.0001 (only label 0, or none) or 0.9999 (only label 1).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label_column).cast("int")).alias("_y"))
-    total = known.count()
-    share = min(1.0, max_train / max(1, total))
-    # at most about max_train small rows: safe to broadcast
-    known = known.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    key = free_name(labels, "_id")
+    known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias(key)).agg(F.max(F.col(label_column).cast("int")).alias("_y"))
+    known = known.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max_train).select(F.col(key).alias("_id"), "_y")  # ids and labels alone: safe to broadcast
     texts = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text"))
     sample = materialize(texts.join(F.broadcast(known), "_id").select("_id", "_y", "_text"))
     kinds = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -158,68 +154,52 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return Model(np.zeros(0, np.uint64), np.zeros(0), 9.21 if kinds.get(1) else -9.21)
 
     def present(frames):
-        for batch in frames:
-            for b in _text.batches([batch], 1 << 20):
-                row, f = occurrences(b.column("_text"))
-                order = np.lexsort((f, row))
-                row, f = row[order], f[order]
-                new = np.ones(len(f), bool)
-                new[1:] = (f[1:] != f[:-1]) | (row[1:] != row[:-1])
-                feats, n = np.unique(f[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(feats.view(np.int64)), pa.array(n.astype(np.int64))], ["f", "n"])
+        for batch in _text.batches(frames, 1 << 20):
+            row, f = occurrences(batch.column("_text"))
+            order = np.lexsort((f, row))
+            row, f = row[order], f[order]
+            new = np.ones(len(f), bool)
+            new[1:] = (f[1:] != f[:-1]) | (row[1:] != row[:-1])
+            feats, at = np.unique(f[new], return_inverse=True)
+            y = np.array(batch.column("_y").to_pylist(), np.int64)[row[new]]
+            pos = np.bincount(at, y, len(feats)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(feats.view(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(feats)) - pos)], ["f", "pos", "neg"])
 
     least = max(3, kinds[1] // 400)
-    counts = sample.where(F.col("_y") == 1).select("_text").mapInArrow(present, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    common = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).toPandas()
-    keys = common.f.to_numpy(np.int64).view(np.uint64)
+    counts = sample.select("_y", "_text").mapInArrow(present, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # evidence for toxicity alone: words that clean texts use more often say nothing about the rest of a text
+    lift = F.log((F.col("pos") + 0.5) / (kinds[1] + 1.0)) - F.log((F.col("neg") + 0.5) / (kinds[0] + 1.0))
+    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    strong = counts.where((F.col("pos") >= least) & (lift > 1.0) & (lift > SURE * error)).select("f").toPandas()  # as many as a bounded sample can show
+    keys = strong.f.to_numpy(np.int64).view(np.uint64)
     swap = swapper(identities)
     if identities:
-        extra = occurrences(pa.array([t for g in identities for t in g]))[1]
-        keys = np.unique(np.concatenate([keys, extra]))
-    look_keys = np.sort(keys)
+        keys = np.concatenate([keys, occurrences(pa.array([t for g in identities for t in g]))[1]])
+    look_keys = np.unique(keys)
 
     def hits(frames):
         lookup = Lookup(look_keys)
         for batch in _text.batches(frames, 1 << 20):
             texts = batch.column("_text").to_pylist()
             swapped = [(i, s) for i, t in enumerate(texts) if (s := swap(t)) is not None]
-            owner = [*range(len(texts)), *(i for i, _ in swapped)]
             row, at = lookup.hits(*occurrences(pa.array([*texts, *(s for _, s in swapped)], pa.string())))
-            lists = np.split(at.astype(np.int32), np.searchsorted(row, np.arange(1, len(owner)))) if owner else []
-            ids, y = batch.column("_id").to_pylist(), batch.column("_y").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in owner], pa.int64()), pa.array([y[i] for i in owner], pa.int32()), pa.array([k >= len(texts) for k in range(len(owner))]), pa.array([x.tobytes() for x in lists], pa.binary())], ["id", "y", "swapped", "at"])
+            lists = [x.tobytes() for x in np.split(at.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts) + len(swapped))))] if texts else []
+            twin = dict(zip((i for i, _ in swapped), lists[len(texts) :]))
+            cols = (batch.column("_y"), batch.column("_h"), pa.array(lists[: len(texts)], pa.binary()), pa.array([twin.get(i) for i in range(len(texts))], pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(cols), ["y", "h", "at", "twin"])
 
-    found = sample.mapInArrow(hits, "id long, y int, swapped boolean, at binary").orderBy("id", "swapped", "at").collect()  # bounded by max_train
+    rows = sample.withColumn("_h", F.xxhash64("_id", "_text", F.lit(seed))).mapInArrow(hits, "y int, h long, at binary, twin binary")
+    found = rows.orderBy("h", "at", "twin").limit(max_train).collect()  # so many rows at most, though an id may have many
     discard(sample)
-    plain = [r for r in found if not r.swapped]
-    where = {}
-    for i, r in enumerate(plain):
-        where.setdefault(r.id, i)
-    twins = [r for r in found if r.swapped]
-
-    def sparse(rows):
-        lists = [np.frombuffer(r["at"], np.int32) for r in rows]
+    paired = [i for i, r in enumerate(found) if r.twin is not None]
+
+    def sparse(lists):
+        lists = [np.frombuffer(x, np.int32) for x in lists]
         return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
 
-    y = np.array([r.y for r in plain], float)
-    rows, cols = sparse(plain)
-    n, d = len(plain), len(look_keys)
-    pos, neg = np.bincount(cols, y[rows], d), np.bincount(cols, 1 - y[rows], d)
-    np_, nn = y.sum(), n - y.sum()
-    lift = np.log((pos + 0.5) / (np_ + 1)) - np.log((neg + 0.5) / (nn + 1))
-    weight = (pos + neg) * np.abs(lift) * (pos >= least)
-    picked = np.zeros(d, bool)
-    # evidence for toxicity alone: words that clean texts use more often say nothing about the rest of a text
-    strong = np.flatnonzero((lift > 1.0) & (weight > 0))
-    picked[strong[np.argsort(-weight[strong], kind="stable")[:MAX_FEATURES]]] = True
-    if identities:
-        picked[np.isin(look_keys, extra)] = True
-    to = np.cumsum(picked) - 1
-    keep = picked[cols]
-    t_rows, t_cols = sparse(twins)
-    t_keep = picked[t_cols]
-    w, b = _fit(rows[keep], to[cols[keep]], n, int(picked.sum()), y, np.array([where[r.id] for r in twins], np.int64), t_rows[t_keep], to[t_cols[t_keep]], penalty, ridge)
-    return Model(look_keys[picked], w, b)
+    y = np.array([r.y for r in found], float)
+    w, b = _fit(*sparse([r["at"] for r in found]), len(found), len(look_keys), y, np.array(paired, np.int64), *sparse([found[i]["twin"] for i in paired]), penalty, ridge)
+    return Model(look_keys, w, b)
 
 
 def score_column(model: Model, text_column: str = "text"):
@@ -233,7 +213,12 @@ def score_column(model: Model, text_column: str = "text"):
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; labels count only where crc32(doc_id) mod parts is not held."""
+    """doc_id, held_out, score, predicted for each document; labels count only where crc32(doc_id) mod parts is not held.
+
+    Null and empty texts get the score of a text without evidence, texts of any length are read whole, equal texts have equal scores.
+    Null ids are not held out. Repeated rows are rows, an empty table gives an empty result, further columns are ignored, whatever
+    their names.
+    """
     model = train(docs, labels.where(fold("doc_id", parts) != held), **options)
     out = docs.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), score_column(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
