@@ -59,7 +59,7 @@ def test_fingerprints_shift_and_follow_order(spark):
 
 def test_ranges_join_up(spark, monkeypatch):
     d = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
-    monkeypatch.setattr(fingerprint, "with_next", lambda docs, f=fingerprint.with_next: f(docs, 40))
+    monkeypatch.setattr(fingerprint, "with_next", lambda docs, f=fingerprint.with_next: f(docs, 13))
     assert fingerprint.edit_report(d).count() == 500
 
 

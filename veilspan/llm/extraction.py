@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_batches
 from .html_tree import Page
 
 # Tags and name parts that features tell apart.
@@ -325,7 +324,6 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     Null html is empty. Repeated rows are rows. Further columns are ignored, whatever their names.
     """
     model = model or default_model()
-    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._text import U
-from ._util import small_batches, text_of
+from ._util import text_of
 
 LEAST, WANTED, MOST = 12, 32, 128  # bytes
 STRICT, EASY = U(0x3F) << U(58), U(0x0F) << U(60)  # 1 in 64 before the wanted size, 1 in 16 after
@@ -97,8 +97,8 @@ class Fingerprint:
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text", out: str = "fingerprint") -> DataFrame:
-    """All columns of docs and the fingerprint as a string. Null and empty texts have the empty string. No shuffle."""
-    small_batches(docs.sparkSession)
+    """All columns of docs and the fingerprint as a string; a column of that name is replaced. Null and empty texts have the empty
+    string. No shuffle."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -114,7 +114,6 @@ def edited(text: str, following: str) -> str:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-RANGE_ROWS = 4_000
 
 
 def range_of(value, bounds: list[int]):
@@ -132,36 +131,46 @@ def range_of(value, bounds: list[int]):
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda s: s.lo)
 
 
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, copy, doc_id, text), dealt so that each part holds a range of ids in order, then a copy of the next part's first row.
 
-    One shuffle of the texts. The bounds of the ranges come from the ids alone; the driver holds one id for each range. Rows with
-    equal ids follow each other by text; null ids come first. copy: 0 own, 1 next part's first, 2 the first of all, after the last.
+    One shuffle of the texts. The bounds of the ranges come from the ids alone; the driver holds one for each part, of which there are
+    as many as splits or shuffle partitions. Rows with equal ids follow each other by a hash of the text, and an id with more rows than
+    a part takes several; null ids come first. copy: 0 own, 1 next part's first, 2 the first of all, after the last.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
-    n = max(1, -(-ids.count() // range_rows))
-    bounds = sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text_of().alias("text"))
-    part = range_of(F.col("id"), bounds)
-    heads = {r.part: r.id for r in ids.select("id", part.alias("part")).groupBy("part").agg(F.min("id").alias("id")).collect()}
-    order = sorted(heads)
-    first = {h: (order[i - 1], 1) if i else (order[-1], 2) for i, p in enumerate(order) for h in [heads[p]]}
-    schema = "id long, to int, copy int"
-    copies = spark.createDataFrame([(h, *x) for h, x in first.items()], schema)
-    own = base.select(part.alias("part"), F.lit(0).alias("copy"), "id", "text")
-    extra = base.join(F.broadcast(copies), "id").select(F.col("to").alias("part"), "copy", "id", "text")  # one row for each range
+    n = parts or max(base.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = sorted(int(x) for x in base.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)) if n > 1 else []
+    bounds = sorted(set(quantiles))
+    part = range_of(F.col("id"), bounds) * F.lit(n + 1).cast("long")
+    # ids that are the bound of several ranges have more rows than one part: those are dealt on by the hash of the text
+    hot = {b: quantiles.count(b) for b in bounds if quantiles.count(b) > 1}
+    keyed = base.withColumn("h", F.xxhash64("text") if hot else F.lit(0).cast("long"))
+    if hot:
+        pieces = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("id")), F.lit(1))
+        own = F.floor((F.col("h").cast("double") / float(2**64) + 0.5) * pieces).cast("long")
+        first_of = F.when(pieces > 1, F.least(own, pieces - 1)).otherwise(F.when(F.element_at(F.create_map(*[F.lit(x) for b in hot for x in (bounds.index(b) + 1, n)]), range_of(F.col("id"), bounds)).isNotNull(), F.lit(n)).otherwise(0))
+        part = part + first_of
+    keyed = keyed.withColumn("part", part)
+    heads = sorted(((r.part, r.h.id, r.h.h) for r in keyed.groupBy("part").agg(F.min(F.struct("id", "h")).alias("h")).collect()))  # one row for each part
+    place = {p: i for i, (p, _, _) in enumerate(heads)}
+    copies = [(i, h, place[heads[k - 1][0]], 1 if k else 2) for k, (_, i, h) in enumerate(heads)]
+    copies = spark.createDataFrame(copies, "id long, h long, to int, copy int")
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in place.items() for x in kv]), F.col("part")) if place else F.lit(0)
+    own = keyed.select(number.alias("part"), F.lit(0).alias("copy"), "id", "h", "text")
+    extra = keyed.drop("part").join(F.broadcast(copies), ["id", "h"]).groupBy(F.col("to").alias("part"), "copy", "id", "h").agg(F.min("text").alias("text"))  # one row for each part
     dealt = own.unionByName(extra)
-    return dealt.repartitionById(max(1, len(order) and order[-1] + 1), F.col("part")).sortWithinPartitions("part", "copy", "id", "text")
+    return dealt.repartitionById(max(1, len(heads)), F.col("part")).sortWithinPartitions("part", "copy", "id", "h", "text")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """The fingerprint of each text and of its edited text, and how much of the first lies in the second and in the next document's.
 
-    The next document is the one of next higher doc_id, equal ids by text; the first follows the last. Null texts are empty, null
-    ids come first and are returned as null. Equal texts have equal fingerprints. An empty table gives an empty result.
+    The next document is the one of next higher doc_id, equal ids by a hash of the text; the first follows the last. Null texts are
+    empty, empty ones have the empty fingerprint, texts of any length are read whole. Null ids come first and are returned as null.
+    Equal texts have equal fingerprints. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession, 256)
 
     def run(frames):
         import hashlib

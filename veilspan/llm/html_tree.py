@@ -6,7 +6,8 @@ import html
 import re
 
 # Elements of HTML by role.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math", "title", "select", "datalist", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title")  # without an end tag they go on to the end of the page
+SOFT = ("noscript", "template", "svg", "iframe", "object", "math", "select", "datalist", "canvas", "audio", "video")  # without one only the tag goes
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output picture q ruby rb rt rp s samp small source span strike strong sub sup time track tt u var wbr input param embed area map slot".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont frame".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd tr td th tbody thead tfoot".split())
@@ -15,6 +16,7 @@ BOUND = frozenset("ul ol table div section article body blockquote td th nav mai
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(?P<soft>" + "|".join(SOFT) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>[^<]*+(?:<(?!/?(?P=soft)\b)[^<]*+)*+</(?P=soft)\s*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)(?:>|\Z)",
     re.S | re.I,
 )
@@ -69,11 +71,13 @@ class Page:
                 if link:
                     linked += len(piece.strip())
             at = m.end()
-            name = m[3] or m[6]
+            name = m[4] or m[7]
             if name is None:
                 continue
             name = name.lower()
-            closing = bool(m[2] or m[5])
+            closing = bool(m[3] or m[6])
+            if name in SOFT:  # its end tag is absent, or this is one alone
+                continue
             if name == "br":
                 parts.append(" ")
             elif name in INLINE:
@@ -93,7 +97,7 @@ class Page:
             elif name in ("html", "head", "body", "meta", "link", "base"):  # the end tag of a head may be absent: no node, only what never shows is skipped
                 flush()
                 if name == "body":
-                    attrs = m[4] or m[7] or ""
+                    attrs = m[5] or m[8] or ""
                     if not any(tags[s] == "body" for s in stack):
                         stack.append(self._node("body", attrs if "=" in attrs else "", stack[-1]))
             else:
@@ -114,7 +118,7 @@ class Page:
                             del stack[i:]
                         elif t in BOUND or t == "tbody":
                             break
-                attrs = m[4] or m[7] or ""
+                attrs = m[5] or m[8] or ""
                 if name not in VOID:
                     node = self._node(name, " ".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in _ATTR.findall(attrs)) if attrs and len(attrs) > 4 else "", stack[-1])
                     if not attrs.endswith("/"):

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_batches, text_of
+from ._util import text_of
 
 # Wording of public notices and license texts, by SPDX-like id.
 TEMPLATES: dict[str, str] = {
@@ -193,10 +193,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str | Column =
 
     Blocks are lines with a cue, with their neighbours that have one, and parts of the text about a cue that have the words of a
     template, over several lines or within a long one; these are numbered after the others. Of blocks that overlap there is one row. Null and empty texts give no row, repeated rows one each.
-    Texts without a cue never reach Python. No shuffle.
+    Texts of any length are scanned whole; ties go to the name that sorts first; an empty table gives an empty result; further columns are
+    ignored, whatever their names. Texts without a cue never reach Python. No shuffle.
     """
-    small_batches(docs.sparkSession)
     known, pattern = dict(templates or TEMPLATES), re.compile(cues)
+    block_chars = max(block_chars, 2 * max(map(len, known.values()), default=0))  # a template of any length fits into a window
 
     def run(frames):
         scanner = Scanner(known)

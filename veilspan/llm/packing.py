@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize, text_of
+from ._util import discard, materialize, text_of
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 OVERHEAD = 32  # tokens that one more sequence costs, whatever its length
@@ -73,7 +73,7 @@ def pack(items: DataFrame, id_column: str = "doc_id", length_column: str = "n_to
     """One row for each item, or for each piece of an item longer than the largest capacity: where it lies.
 
     Null or negative lengths count as 0; empty items take no room but still get a bin. Null and repeated ids are packed row by row.
-    An empty table gives an empty result. Further columns of items are ignored.
+    Ties of length go by row. An empty table gives an empty result. Further columns of items are ignored, whatever their names.
     """
     top = max(capacities)
     n = F.greatest(F.coalesce(F.col(length_column).cast("long"), F.lit(0)), F.lit(0))
@@ -93,9 +93,12 @@ def pack(items: DataFrame, id_column: str = "doc_id", length_column: str = "n_to
         b, offset, cap = pack_items(pdf.n_tokens.to_numpy(), caps, overhead)
         return pd.DataFrame({"doc_id": pdf.doc_id, "piece": pdf.piece, "start": pdf.start, "n_tokens": pdf.n_tokens, "bin_id": (int(key[0]) << 32) + b, "bin_capacity": cap, "bin_offset": offset})
 
-    return pieces.groupBy("shard").applyInPandas(run, SCHEMA)
+    out = materialize(pieces.groupBy("shard").applyInPandas(run, SCHEMA))
+    discard(rows)
+    return out
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
-    """Packs texts; a document takes its words and one end mark."""
+    """Packs texts; a document takes its words and one end mark. Null and empty texts take the mark alone. For a model's own lengths give
+    pack() the number of ids that its tokenizer makes."""
     return pack(docs.select("doc_id", (word_count("text") + 1).alias("n_tokens")), **options)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import materialize, small_batches
+from ._util import discard, materialize
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 512
@@ -124,8 +124,8 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, i
                     for_query, place = np.nonzero(np.isfinite(score))
                     yield pd.DataFrame({"query_id": qids[qd == d][for_query], "vec_id": found[for_query, place], "score": score[for_query, place]})
 
-    small_batches(rows.sparkSession, 4)
     found = materialize(met.mapInPandas(run, "query_id long, vec_id long, score double"))
-    small_batches(rows.sparkSession)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    discard(found)
+    return out
