@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -106,6 +108,23 @@ def whole(words: np.ndarray) -> np.uint64:
     return h[0]
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: a worker lives on after its task, and others need the memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_TRIM = _trimmer()
+
+
 def batches(it, rows_bytes: int = 3 << 20):
     """Arrow batches cut so that each holds about so many bytes (or one row), and rows that 16 bits can number."""
     for batch in it:
@@ -114,6 +133,7 @@ def batches(it, rows_bytes: int = 3 << 20):
         step = min(65_535, max(1, int(n * rows_bytes / size)) if size > rows_bytes else n)
         for i in range(0, n, max(1, step)):
             yield batch.slice(i, step)
+    give_back()
 
 
 LETTER = np.zeros(256, bool)

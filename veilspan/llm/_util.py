@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batch_bytes(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: str = "4m"):
+    """Within it, Arrow batches of so many bytes (or one row) go to Python and back; afterwards the session is as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/veilspan-{spark.sparkContext.applicationId}"
 

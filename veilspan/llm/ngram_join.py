@@ -135,6 +135,7 @@ _ROW_TYPES = pa.schema([("run", pa.int64()), ("kind", pa.int32()), ("a", pa.bina
 
 def _count(table: pa.Table) -> pa.Table:
     """One bucket: to each run, those of its shingles that occur in two documents or more, with the number (65,535 at most)."""
+    _text.give_back()  # of the group before
     run, kind, a, b = (table.column(c).to_pylist() for c in ("run", "kind", "a", "b"))
     if kind[0] < 2:
         return pa.table({"run": run, "kind": kind, "a": a, "b": b, "c": [None] * len(run)}, schema=_ROW_TYPES)
@@ -172,6 +173,7 @@ def _documents(num: int, den: int, ranks: bool):
     With ranks: its prefixes too, and no row for the others."""
 
     def run(table: pa.Table) -> pa.Table:
+        _text.give_back()  # of the run before
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b", "c"))))
         ids, rest = next((a, b) for k, a, b, _ in rows if k == 0)
         ids = np.frombuffer(ids, np.int64)

@@ -402,9 +402,13 @@ def decode_column(vocabulary: Vocabulary, ids_column: str = "ids"):
     """Text of an array<int>; null arrays are empty."""
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        offsets = np.asarray(column.offsets, np.int64)
-        flat = np.asarray(column.values.fill_null(-1), np.int64)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.int64)
-        return pa.array(vocabulary.decode_flat(flat, offsets - offsets[0]) if len(column) else [], pa.string())
+        out = []
+        for b in _text.batches([pa.RecordBatch.from_arrays([column], ["i"])], 2 << 20):
+            part = b.column(0)
+            offsets = np.asarray(part.offsets, np.int64)
+            flat = np.asarray(part.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1), np.int64)
+            out += vocabulary.decode_flat(flat, offsets - offsets[0])
+        return pa.array(out, pa.string())
 
     return run(F.col(ids_column))
 
