@@ -15,7 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -125,13 +125,13 @@ def _trimmer():
 _TRIM = _trimmer()
 
 
-def batches(it, rows_bytes: int = 3 << 20):
-    """Arrow batches cut so that each holds about so many bytes (or one row), and rows that 16 bits can number."""
+def batches(it, rows_bytes: int = 4 << 20):
+    """Arrow batches cut evenly so that each holds about so many bytes (or one row), and rows that 16 bits can number."""
     for batch in it:
         n = batch.num_rows
-        size = max(1, batch.nbytes)
-        step = min(65_535, max(1, int(n * rows_bytes / size)) if size > rows_bytes else n)
-        for i in range(0, n, max(1, step)):
+        pieces = max(1, -(-batch.nbytes // rows_bytes), -(-n // 65_535))
+        step = max(1, -(-n // pieces))
+        for i in range(0, n, step):
             yield batch.slice(i, step)
     give_back()
 

@@ -38,7 +38,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def batch_bytes(spark: SparkSession, size: str = "4m"):
+def batch_bytes(spark: SparkSession, size: str = "3m"):
     """Within it, Arrow batches of so many bytes (or one row) go to Python and back; afterwards the session is as before."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
