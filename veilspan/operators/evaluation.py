@@ -5,6 +5,7 @@ gold and predictions: (doc_id, s, e, data_type), half-open code-point spans.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,12 +84,31 @@ def exact(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def bootstrap(per_doc: DataFrame, iterations: int = 1000, seed: int = 42, percentile: float = 95.0) -> DataFrame:
-    """low and high of F2 over resampled documents (tp, fp, fn each). Each document is drawn a Poisson(1) number of times, by a hash
-    of (seed, iteration, doc_id): no document moves, and the sums of an iteration combine before the shuffle."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "i", "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52)))
-    times = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940582, 5).otherwise(6)
-    drawn = per_doc.select("doc_id", "tp", "fp", "fn", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")).withColumn("k", times)
-    f2 = drawn.groupBy("i").agg(*[F.sum(F.col(c) * F.col("k")).alias(c) for c in ("tp", "fp", "fn")]).withColumns(rates())
+    """low and high of F2 over resampled documents (tp, fp, fn each): each time as many documents as there are, with replacement.
+
+    The n draws of a resample are dealt over documents as one multinomial draw. Documents lie in blocks; for each resample a seeded
+    generator first deals n over the blocks, then each block's share over its documents, so blocks need nothing of one another and a
+    retried task draws the same.
+    """
+    spark = per_doc.sparkSession
+    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = per_doc.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("_b"))
+    sizes = dict(dealt.groupBy("_b").count().collect())  # one row for each block
+    total, kinds = sum(sizes.values()), sorted(sizes)
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        values = pdf[["tp", "fp", "fn"]].to_numpy()
+        share = np.array([sizes[k] for k in kinds]) / total
+        out = np.empty((iterations, 3), np.int64)
+        for i in range(iterations):
+            own = np.random.default_rng([seed, i]).multinomial(total, share)[kinds.index(key[0])]
+            times = np.random.default_rng([seed, i, key[0] + 1]).multinomial(own, np.full(len(values), 1 / len(values)))
+            out[i] = times @ values
+        return pd.DataFrame({"i": np.arange(iterations), "tp": out[:, 0], "fp": out[:, 1], "fn": out[:, 2]})
+
+    sums = dealt.groupBy("_b").applyInPandas(draw, "i long, tp long, fp long, fn long")
+    f2 = sums.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumns(rates())
     ranked = f2.withColumn("r", F.row_number().over(Window.orderBy("f2", "i")) - 1)  # as many rows as iterations
     tail = (100 - percentile) / 200
     return ranked.agg(F.max(F.when(F.col("r") == int(tail * iterations), F.col("f2"))).alias("low"), F.max(F.when(F.col("r") == min(iterations - 1, int((1 - tail) * iterations)), F.col("f2"))).alias("high"))
@@ -130,31 +150,79 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _matching(left, right) -> int:
     near = [[j for j, y in enumerate(right) if x["s"] < y["e"] and y["s"] < x["e"] and x["data_type"] == y["data_type"]] for x in left]
-    of: dict[int, int] = {}
-
-    def free(i: int, seen: set[int]) -> bool:
-        for j in near[i]:
-            if j not in seen:
-                seen.add(j)
-                if j not in of or free(of[j], seen):
-                    of[j] = i
-                    return True
-        return False
-
-    return sum(free(i, set()) for i in range(len(near)))
+    of: dict[int, int] = {}  # right to left
+    matched = 0
+    for start in range(len(near)):
+        via: dict[int, int] = {}  # right: the left that looked at it first
+        todo, end = [start], None
+        while todo and end is None:
+            i = todo.pop()
+            for j in near[i]:
+                if j not in via:
+                    via[j] = i
+                    if j not in of:
+                        end = j
+                        break
+                    todo.append(of[j])
+        if end is not None:
+            matched += 1
+            while end is not None:  # the path's pairs change places
+                i = via[end]
+                before = next((j for j, k in of.items() if k == i), None) if i != start else None
+                of[end] = i
+                end = before
+    return matched
 
 
 def chain_breaks(log: DataFrame, order: str, previous: str, own: str) -> DataFrame:
-    """Rows whose previous hash is not the hash of the row before (the first row's must be null or empty). The log is small."""
-    before = F.coalesce(F.lag(own).over(Window.orderBy(order)), F.lit(""))
-    return log.withColumn("_ok", F.coalesce(F.col(previous), F.lit("")) == before).where(~F.col("_ok")).drop("_ok")
+    """Rows whose previous hash is not the hash of the row before (the first row's must be null or empty).
+
+    The row before has the largest smaller order. Orders are dealt into ranges; each range looks back within itself, and its first row
+    at the last row of the ranges before, one row for each range.
+    """
+    parts = max(1, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(log.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
+    place = sum((F.when(F.col(order) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    rows = log.withColumn("_range", place)
+    within = Window.partitionBy("_range").orderBy(order)
+    last = rows.groupBy("_range").agg(F.max_by(own, order).alias("_end"))
+    ahead = last.select((F.col("_range")).alias("_r"), F.lag("_end").over(Window.orderBy("_range")).alias("_end"))  # one row for each range
+    rows = rows.withColumns({"_lag": F.lag(own).over(within), "_first": F.row_number().over(within) == 1}).join(F.broadcast(ahead), F.col("_range") == F.col("_r"))
+    before = F.coalesce(F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_lag")), F.lit(""))
+    return rows.where(F.coalesce(F.col(previous), F.lit("")) != before).select(*log.columns)
 
 
 def inversions(rows: DataFrame, group: str, place: str, value: str) -> DataFrame:
-    """(group, inversions): pairs in order by place whose values are in the opposite order."""
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{place}") < F.col(f"b.{place}")) & (F.col(f"a.{value}") > F.col(f"b.{value}")))
-    return pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.count("*").alias("inversions"))
+    """(group, inversions): pairs in order by place whose values are in the opposite order; groups without one are left out.
+
+    The values of a group, in order, are counted by a merge sort; nothing is joined with itself.
+    """
+    @F.pandas_udf("long")
+    def count(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: _inversions(list(v)))
+
+    per = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(value).alias("v")))).alias("_x"))
+    return per.select(group, count(F.transform("_x", lambda x: x.v)).alias("inversions")).where("inversions > 0")
+
+
+def _inversions(v: list) -> int:
+    n, total, width = len(v), 0, 1
+    while width < n:
+        out = []
+        for lo in range(0, n, 2 * width):
+            a, b = v[lo : lo + width], v[lo + width : lo + 2 * width]
+            i = j = 0
+            while i < len(a) and j < len(b):
+                if a[i] <= b[j]:
+                    out.append(a[i])
+                    i += 1
+                else:
+                    out.append(b[j])
+                    j += 1
+                    total += len(a) - i
+            out += a[i:] + b[j:]
+        v, width = out, 2 * width
+    return total
 
 
 def calibrate(scored: DataFrame, grid=tuple(round(0.5 + 0.02 * i, 2) for i in range(25)), slack: float = 0.005) -> DataFrame:

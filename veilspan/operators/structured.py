@@ -8,6 +8,7 @@ with a digit or an "@" or a Thai address word.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
+from ..functions.layout import spread
 
 SPAN = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("data_type", T.StringType()), T.StructField("redact_type", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("value", T.StringType())])
 SPAN_TYPE = T.ArrayType(SPAN)
@@ -276,13 +278,45 @@ def _settle(t: Text, spans: list[Span]) -> list[Span]:
     return [x for x in spans if (x.s, x.e, x.kind) not in gone]
 
 
+class Taken:
+    """Disjoint spans, by start: whether another overlaps one is a question to its two neighbours."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for x in merged((x.s, x.e) for x in spans):
+            self.starts.append(x[0])
+            self.ends.append(x[1])
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect_left(self.starts, e)
+        return i > 0 and self.ends[i - 1] > s
+
+    def add(self, x: Span) -> bool:
+        """Takes a span if it overlaps none; says whether it did."""
+        if self.meets(x.s, x.e):
+            return False
+        i = bisect_left(self.starts, x.s)
+        self.starts.insert(i, x.s)
+        self.ends.insert(i, x.e)
+        return True
+
+
+def merged(ranges) -> list[tuple[int, int]]:
+    """Ranges that overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        elif e > s:
+            out.append((s, e))
+    return out
+
+
 def greedy(spans: list[Span], key, floor: int = 0, exempt: set[tuple[int, int]] = frozenset()) -> list[Span]:
     """Spans in the order of key (stable), each kept unless it overlaps one kept before; by start."""
-    kept: list[Span] = []
-    for x in sorted(spans, key=key):
-        if (x.e - x.s >= floor or (x.s, x.e) in exempt) and not any(x.meets(k) for k in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x.s)
+    taken = Taken()
+    return sorted((x for x in sorted(spans, key=key) if (x.e - x.s >= floor or (x.s, x.e) in exempt) and taken.add(x)), key=lambda x: x.s)
 
 
 def structured(text: str) -> list[Span]:
@@ -295,12 +329,11 @@ def structured(text: str) -> list[Span]:
 
 def second_look(text: str, known: list[Span]) -> list[Span]:
     """Values that only look wrong: failed checks, loose e-mails and dates, and ids damaged in recognition. Not over known spans."""
-    t, taken, out = Text(text), list(known), []
+    t, taken, out = Text(text), Taken(known), []
 
     def offer(s: int, e: int, kind: str, score: float) -> None:
         span = Span(s, e, kind, score)
-        if e - s >= 2 and not any(span.meets(k) for k in taken):
-            taken.append(span)
+        if e - s >= 2 and taken.add(span):
             out.append(span)
 
     for shape, kind, score in (("any_13_digits", "THAI_ID", 0.6), ("any_email", "EMAIL", 0.7), ("any_date", "DATE", 0.6)):
@@ -431,6 +464,7 @@ def detect(docs: DataFrame, text_column: str = "text", layer: str = "all", out:
 
     layer: "structured" for the shapes and checks alone, "all" for the whole detector. Null texts have an empty array.
     """
+    docs = spread(docs)
     text = F.translate(F.coalesce(F.col(text_column), F.lit("")), V.THAI_DIGITS, "0123456789")
     run = _structured_udf if layer == "structured" else _everything_udf
     return docs.withColumn(out, F.when(may_hold(text), run(F.when(may_hold(text), text).otherwise(F.lit("")))).otherwise(F.array().cast(SPAN_TYPE)))

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 LABELS = {"PERSON": "NAME", "ORGANIZATION": "ORGANIZATION", "LOCATION": "LOCATION", "DATE": "DATE", "PER": "NAME", "ORG": "ORGANIZATION", "LOC": "LOCATION", "DTM": "DATE"}
 
 
+MAX_PROTOTYPES = 64
+
+
 def decode(tokens: DataFrame, doc: str = "doc_id", place: str = "i", s: str = "s", e: str = "e", tag: str = "tag") -> DataFrame:
     """(doc, s, e, label) from token rows with B-X, I-X or O: an I- continues only its own label; one that stands alone is nothing.
 
@@ -81,7 +84,9 @@ def tag(docs: DataFrame, load: Callable[[], Callable[[str], list[tuple[str, str]
 
 def nearest_prototype(rows: DataFrame, prototypes: DataFrame, least: float = 0.55, vector: str = "embedding", id_column: str = "vec_id") -> DataFrame:
     """(id, category, cosine) of the closest prototype where it is close enough. Prototypes: (category, vector), a fixed short list."""
-    known = [(r[0], [float(x) for x in r[1]]) for r in prototypes.select("category", "vector").limit(64).collect()]
+    known = [(r[0], [float(x) for x in r[1]]) for r in prototypes.select("category", "vector").limit(MAX_PROTOTYPES + 1).collect()]
+    if len(known) > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes: they are expressions of the plan, join a table instead")
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     v = F.col(vector).cast("array<double>")
     sims = F.array(*[F.struct((F.aggregate(F.zip_with(v, F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / (norm(v) * F.lit(sum(x * x for x in p) ** 0.5))).alias("cosine"), F.lit(c).alias("category")) for c, p in known])

@@ -141,7 +141,7 @@ def detect_documents(spark, sf):
     return risk.breakdown(rows)
 
 
-@query("SELECT event_id, CAST(threshold AS DOUBLE) AS n FROM (SELECT event_id, event_id % 7 AS threshold FROM events WHERE event_id % 11 = 0)")
+@query("SELECT event_id, CAST(threshold AS DOUBLE) AS n FROM (SELECT event_id, event_id % 7 AS threshold FROM events)")
 def second_look_digits(spark, sf):
     """Each event as a text with 13 digits that fail the check: n of them, found by the second look alone."""
     e = table(spark, sf, "events").selectExpr("event_id AS doc_id", "concat('x ', repeat('1234567890123 ', CAST(event_id % 7 AS INT))) AS text")
@@ -472,10 +472,10 @@ def locate_values(spark, sf):
 
 @query()
 def bootstrap_interval(spark, sf):
-    """Documents resampled by hash: no SQL twin, as DuckDB has another hash."""
+    """1,000 resamples of documents: no SQL twin, as DuckDB has other random numbers; tests hold it against a plain resampling."""
     gold, pred = _sides(spark, sf)
     per_doc = evaluation.match(gold, pred).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return evaluation.bootstrap(per_doc, 50)
+    return evaluation.bootstrap(per_doc)
 
 
 @query()
