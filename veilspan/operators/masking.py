@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.layout import settle
 from ..functions.vocabulary import TOKEN_LABELS
 from .identifiers import orphan_digits
 
@@ -36,22 +37,135 @@ def mapping(span_rows: DataFrame, session: str = "session_id", salt: str = "") -
     return out.select(session, "data_type", "original", "ordinal", F.concat(F.lit("["), label_of(F.col("data_type")), F.lit("_"), name, F.lit("_"), nonce, F.lit("_"), F.col("ordinal").cast("string"), F.lit("]")).alias("pseudonym"))
 
 
-def surrogates(span_rows: DataFrame, session: str = "session_id", salt: str = "") -> DataFrame:
-    """Like mapping, but format-preserving: every digit and letter becomes another of its class, check digits are made right again."""
-    distinct = span_rows.select(session, "data_type", F.col("value").alias("original")).distinct()
-    seed = F.sha2(F.concat_ws("|", F.lit(salt), F.col(session).cast("string"), "data_type", "original"), 256)
+# Surrogates for text-based types: invented, and common enough to point at nobody.
+GIVEN = {"m": "กานต์ ชยพล ณัฐวุฒิ ธีรภัทร ปิยะพงษ์ พีรพล ภาคิน วรวุฒิ ศุภชัย อนุชา เอกราช สิทธิกร".split(), "f": "กมลชนก ชลธิชา ณัฐธิดา ดวงพร ปาริชาต พิมพ์ชนก มัลลิกา รัตนาภรณ์ วิภาวี ศศิธร สุชาดา อรทัย".split()}
+FAMILY = "กิตติวงศ์ แก้วมณี จันทร์เพ็ญ ชัยวัฒนา ดำรงกุล ทิพย์วารี นาคสวัสดิ์ บุญประเสริฐ พงษ์ไพบูลย์ มณีรัตน์ รุ่งโรจน์ วงศ์สุวรรณ ศรีประภา สุขสมบูรณ์ อินทรสกุล".split()
+PLACES = "อำเภอเมือง อำเภอบ้านนา อำเภอท่าเรือ เขตบางเขน เขตสาทร เขตหลักสี่ อำเภอบางเลน อำเภอหนองแค".split()
+COMPANIES = ["บริษัท ทองไทยพาณิชย์ จำกัด", "บริษัท รุ่งทรัพย์การค้า จำกัด", "บริษัท ศรีเมืองบริการ จำกัด", "ห้างหุ้นส่วนจำกัด บุญเจริญ", "บริษัท นทีเทค จำกัด", "บริษัท แสงธรรมการพิมพ์ จำกัด"]
+ATTEMPTS = 64
+
+
+def surrogate(kind: Column, original: Column, seed: Column) -> Column:
+    """A value of the same form from a hex digest: digits and letters become others of their class, check digits are made right again,
+    phones keep their first digits, dates stay dates; names, places and companies are drawn from lists."""
     stream = F.split(F.concat(seed, F.sha2(seed, 256), F.sha2(F.reverse(seed), 256)), "")
     digit = lambda i: F.conv(F.element_at(stream, i % 180 + 1), 16, 10).cast("int")
-    chars = F.split("original", "")
-    plain = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.pmod(F.ascii(c) - 48 + 1 + digit(i) % 9, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), F.char(97 + F.pmod(F.ascii(c) - 97 + 1 + digit(i), F.lit(26)))).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(F.ascii(c) - 65 + 1 + digit(i), F.lit(26)))).otherwise(c)), "")
+    number = lambda at, n: F.pmod(F.conv(F.substring(seed, at, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+    pick = lambda at, pool: F.element_at(F.array(*[F.lit(x) for x in pool]), number(at, len(pool)) + 1)
+    kept = F.when(kind == "PHONE", F.when(original.startswith("+"), 4).otherwise(2)).otherwise(0)  # characters that stay
+    chars = F.split(original, "")
+    plain = F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).when(c.rlike("[0-9]"), F.pmod(F.ascii(c) - 48 + 1 + digit(i) % 9, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), F.char(97 + F.pmod(F.ascii(c) - 97 + 1 + digit(i), F.lit(26)))).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(F.ascii(c) - 65 + 1 + digit(i), F.lit(26)))).otherwise(c)), "")
     body = X.only_digits(plain)
-    thai = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + F.substring(body, i, F.lit(1)).cast("int") * (F.lit(14) - i))
-    thai_check = ((F.lit(11) - thai % 11) % 10).cast("string")
-    doubled = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, F.when(F.substring(body, i, F.lit(1)).cast("int") * 2 > 9, F.substring(body, i, F.lit(1)).cast("int") * 2 - 9).otherwise(F.substring(body, i, F.lit(1)).cast("int") * 2)).otherwise(F.substring(body, i, F.lit(1)).cast("int")))
-    card_check = ((F.lit(10) - doubled % 10) % 10).cast("string")
-    end = lambda check: F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), check)
-    value = F.when((F.col("data_type") == "THAI_ID") & (F.length(body) == 13), end(thai_check)).when((F.col("data_type") == "CREDIT_CARD") & (F.length(body) == 16), end(card_check)).otherwise(plain)
-    return distinct.withColumn("pseudonym", value)
+    at = lambda i: F.substring(body, i, F.lit(1)).cast("int")
+    thai = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + at(i) * (F.lit(14) - i))
+    doubled = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, F.when(at(i) * 2 > 9, at(i) * 2 - 9).otherwise(at(i) * 2)).otherwise(at(i)))
+    end = lambda check: F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), check.cast("string"))
+    mark = F.regexp_extract(original, r"([/\-.])", 1)
+    pad = lambda n, width: F.lpad(n.cast("string"), width, "0")
+    year = lambda v: pad(F.pmod(v.cast("int") + 1 + number(17, 9), F.when(F.length(v) == 2, 100).otherwise(10000)), F.length(v))
+    ymd = original.rlike(r"^[0-9]{4}[/\-]")
+    part = lambda i: F.element_at(F.split(original, r"[/\-.]"), i)
+    date = F.when(original.rlike(r"^[0-9]{1,4}[/\-.][0-9]{1,2}[/\-.][0-9]{1,4}$"), F.concat(F.when(ymd, year(part(1))).otherwise(pad(number(1, 28) + 1, 2)), mark, pad(number(9, 12) + 1, 2), mark, F.when(ymd, pad(number(1, 28) + 1, 2)).otherwise(year(part(3)))))
+    given = F.when(original.rlike("^(?:นาง|น\\.ส\\.|ด\\.ญ\\.|เด็กหญิง|Mrs|Ms|Miss)"), pick(1, GIVEN["f"])).when(original.rlike("^(?:นาย|ด\\.ช\\.|เด็กชาย|Mr)"), pick(1, GIVEN["m"])).otherwise(pick(1, GIVEN["m"] + GIVEN["f"]))
+    name = F.when(F.trim(original).rlike(r"(?U)\S\s+\S"), F.concat_ws(" ", given, pick(9, FAMILY))).otherwise(given)
+    dates = kind.isin("DATE", "DATE_OF_BIRTH")
+    return (
+        F.when((kind == "THAI_ID") & (F.length(body) == 13), end((F.lit(11) - thai % 11) % 10)).when((kind == "CREDIT_CARD") & (F.length(body) == 16), end((F.lit(10) - doubled % 10) % 10))
+        .when(dates, F.coalesce(date, F.concat_ws("/", pad(number(1, 28) + 1, 2), pad(number(9, 12) + 1, 2), (number(17, 50) + 2490).cast("string"))))
+        .when(kind == "NAME", name).when(kind == "SURNAME", pick(9, FAMILY)).when(kind == "ADDRESS", F.concat_ws(" ", (number(9, 999) + 1).cast("string"), pick(1, PLACES)))
+        .when(kind == "LOCATION", pick(1, PLACES)).when(kind == "ORGANIZATION", pick(1, COMPANIES)).otherwise(plain)
+    )
+
+
+def surrogates(span_rows: DataFrame, session: str = "session_id", salt: str = "", attempt: int = 0) -> DataFrame:
+    """(session, data_type, original, pseudonym): one surrogate for each value, see surrogate(). Two values may get the same: assign()
+    rules that out."""
+    distinct = span_rows.select(session, "data_type", F.col("value").alias("original")).distinct()
+    return distinct.withColumn("pseudonym", surrogate(F.col("data_type"), F.col("original"), _seed(session, salt, F.lit(attempt))))
+
+
+def _seed(session: str, salt: str, attempt: Column) -> Column:
+    more = F.when(attempt > 0, F.concat(F.lit("|"), attempt.cast("string"))).otherwise(F.lit(""))
+    return F.sha2(F.concat(F.concat_ws("|", F.lit(salt), F.col(session).cast("string"), "data_type", "original"), more), 256)
+
+
+def compact_identity(value: Column) -> Column:
+    """Letters, marks and numbers alone, compatibility forms and case folded: values that a reader takes for the same."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def fold(column):
+        def one(v):
+            return "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if unicodedata.category(c)[0] in "LMN")
+
+        return column.map(one, na_action="ignore")
+
+    other = value.rlike(r"[^\x00-\x7F]")
+    return F.when(other, fold(F.when(other, value))).otherwise(F.regexp_replace(F.lower(value), "[^a-z0-9]", ""))
+
+
+def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", prior: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
+    """(session, data_type, original, pseudonym, seeded): surrogates that restore to one value each.
+
+    prior: pairs (session, original, pseudonym) that a caller brought; they are kept (seeded) where they do not show their original,
+    and a pseudonym that stands for two originals is an error. Others are drawn in rounds: all values that have none yet draw at once,
+    a draw fails if it shows its original, is an original of the session or is taken; of values that draw the same the smallest
+    keeps it. What is left after the last round is an error, as no value may go out unmasked.
+    """
+    wanted = settle(span_rows.select(session, "data_type", F.col("value").alias("original")).distinct())
+    bare = lambda c: compact_identity(F.col(c))
+    shows = lambda: F.col("_p").contains(F.col("_o"))
+    empty = wanted.limit(0).select(session, "data_type", "original", F.lit("").alias("pseudonym"), F.lit(True).alias("seeded"))
+    done, taken = empty, empty.select(session, "pseudonym")
+    if prior is not None:
+        clash = prior.groupBy(session, "pseudonym").agg(F.countDistinct("original").alias("n")).where("n > 1").limit(1).count()
+        if clash:
+            raise ValueError("a pseudonym of the prior mapping stands for two originals")
+        one = prior.groupBy(session, "original").agg(F.min("pseudonym").alias("pseudonym"))
+        own = wanted.join(one, [session, "original"]).withColumns({"_o": bare("original"), "_p": bare("pseudonym")})
+        done = settle(own.where((F.col("_p") != "") & ~shows()).select(session, "data_type", "original", "pseudonym", F.lit(True).alias("seeded")))
+        taken = prior.select(session, "pseudonym").distinct()
+    originals = wanted.select(session, F.col("original").alias("pseudonym")).distinct()
+    left = wanted.join(done.select(session, "data_type", "original"), [session, "data_type", "original"], "left_anti")
+    for attempt in range(attempts + 1):
+        if not left.limit(1).count():
+            return done
+        drawn = left.withColumn("pseudonym", surrogate(F.col("data_type"), F.col("original"), _seed(session, salt, F.lit(attempt)))).withColumns({"_o": bare("original"), "_p": bare("pseudonym")})
+        free = drawn.where((F.col("_p") != "") & ~shows()).drop("_o", "_p").join(originals, [session, "pseudonym"], "left_anti").join(taken, [session, "pseudonym"], "left_anti")
+        won = free.groupBy(session, "pseudonym").agg(F.min(F.struct("data_type", "original")).alias("x")).select(session, "x.*", "pseudonym", F.lit(False).alias("seeded"))
+        done = settle(done.unionByName(won.select(done.columns)))
+        taken = done.select(session, "pseudonym").distinct() if prior is None else done.select(session, "pseudonym").unionByName(prior.select(session, "pseudonym")).distinct()
+        left = wanted.join(done.select(session, "data_type", "original"), [session, "data_type", "original"], "left_anti")
+    if left.limit(1).count():
+        raise ValueError(f"no free surrogate after {attempts} attempts")
+    return done
+
+
+def consistency(masked: DataFrame, pairs: DataFrame, session: str = "session_id", id_column: str = "doc_id") -> DataFrame:
+    """masked texts in which an original that still stands somewhere, outside the highlights, is replaced too."""
+    from .restoring import occurrences
+
+    turned = pairs.select(session, F.col("original").alias("pseudonym"), F.col("pseudonym").alias("original"))
+    d = masked.join(occurrences(masked, turned, session, "masked", id_column, guarded=False), id_column, "left")
+    loose = F.filter(F.coalesce("found", F.array().cast("array<struct<s:int,e:int,pseudonym:string,original:string>>")), lambda x: ~F.exists("highlights", lambda h: (h.s < x.e) & (x.s < h.e)))
+    d = d.withColumn("found", loose)
+    text = F.when(F.size("found") == 0, F.col("masked")).otherwise(X.rebuild(F.col("masked"), F.col("found"), lambda x: x.original))
+    moved = F.transform("highlights", lambda h: F.struct((h.s + _shift(h.s)).cast("int").alias("s"), (h.e + _shift(h.s)).cast("int").alias("e"), h.data_type.alias("data_type")))
+    added = F.transform("found", lambda x: F.struct((x.s + _shift(x.s)).cast("int").alias("s"), (x.s + _shift(x.s) + F.length(x.original)).cast("int").alias("e"), F.lit("CONSISTENCY").alias("data_type")))
+    return d.withColumns({"masked": text, "highlights": F.array_sort(F.concat(moved, added))}).drop("found")
+
+
+def _shift(at: Column) -> Column:
+    """How far replacements before a place move it."""
+    return F.aggregate("found", F.lit(0), lambda a, x: F.when(x.s < at, a + F.length(x.original) - (x.e - x.s)).otherwise(a))
+
+
+def exported(pairs: DataFrame, session: str = "session_id") -> DataFrame:
+    """(session, pairs, trusted): a map from pseudonyms to originals; and the pseudonyms that were minted here: not brought by the
+    caller, and not showing their original. For sessions of a size that one row holds."""
+    own = pairs if "seeded" in pairs.columns else pairs.withColumn("seeded", F.lit(False))
+    trusted = ~F.col("seeded") & (F.length("pseudonym") > 0) & ~F.col("pseudonym").contains(F.col("original"))
+    return own.groupBy(session).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("pseudonym", "original")))).alias("pairs"), F.array_sort(F.collect_set(F.when(trusted, F.col("pseudonym")))).alias("trusted"))
 
 
 def mask(docs: DataFrame, span_rows: DataFrame, pairs: DataFrame, session: str = "session_id", text_column: str = "text") -> DataFrame:
