@@ -128,3 +128,35 @@ INJECTION: tuple[tuple[str, str, str], ...] = (
     ("exfiltration", "high", r"\b(?:reveal|print|output|repeat|leak|dump|show|tell|give|share|disclose|what(?:'s|\s+is)|write\s+out)\b.{0,40}\b(?:system|hidden)\s+(?:prompt|instruction)s?\b|(?:แสดง|เปิดเผย|พิมพ์|บอก|ขอดู|ขอ).{0,40}ตารางจับคู่โทเคน"),
     ("suspicious_payload", "low", r"[A-Za-z0-9+/=]{120,}"),
 )
+
+# --- names -----------------------------------------------------------------------------------------------------------------------
+TITLE_WORDS = ("นาย", "นางสาว", "นาง", "น.ส.", "ด.ช.", "ด.ญ.", "เด็กชาย", "เด็กหญิง")
+INTRODUCTIONS = ("ผมชื่อ", "ดิฉันชื่อ", "ฉันชื่อ", "หนูชื่อ", "กระผมชื่อ", "ข้าพเจ้าชื่อ", "ลงชื่อ", "ข้าพเจ้า")
+NOT_NAMES = frozenset(
+    """ชื่อ นามสกุล คือ ครับ ค่ะ คะ นะ และ ที่ ของ จาก อยู่ เป็น อายุ มา ไป ได้ เบอร์ อีเมล โทร เลข หมายเลข บัตร บัตรประชาชน เลขบัตรประชาชน ประชาชน รหัส รหัสพนักงาน พนักงาน บัญชี เลขบัญชี เลขที่บัญชี
+    ธนาคาร โทรศัพท์ มือถือ ที่อยู่ ทะเบียน เอกสาร เลขที่ หนังสือเดินทาง ลายมือชื่อ รายการ เงื่อนไข เลขประจำตัว ตำแหน่ง อาชีพ ขอแสดงความนับถือ เรียน วันเกิด ความสัมพันธ์ ประจำตัว""".split()
+)
+NAME_STOPS = frozenset("ต้อง ควร จะ ให้ โปรด กรุณา สามารถ ขอ กรอก แนบ แสดง ชำระ ดำเนิน ดำเนินการ ยอมรับ ได้ ได้รับ รับ อยู่ เป็น คือ ประสงค์ ทุก ราย ท่าน".split())
+ACCOUNT_KINDS = frozenset("ออมทรัพย์ กระแสรายวัน ฝากประจำ".split())
+ORGANISATION_LEADS = tuple("บริษัท ห้าง ธนาคาร โรงพยาบาล มหาวิทยาลัย โรงเรียน สำนักงาน โรงงาน มูลนิธิ โครงการ สมาคม สหกรณ์ หน่วยงาน หจก บจก".split())
+ROLES: dict[str, str] = {  # a role, and what may not follow it at once
+    "ผู้ค้ำประกันเงินกู้": "ต้อง ควร มี ร่วม", "ผู้รับมอบอำนาจ": "ต้อง ควร ช่วง", "ผู้รับการตรวจ": "ต้อง ควร", "ผู้ยื่นอุทธรณ์": "ต้อง ควร", "ผู้ยื่นคำร้อง": "ต้อง ควร", "ผู้ค้ำประกัน": "ต้อง ควร มี ร่วม",
+    "ผู้เอาประกันภัย": "ต้อง ควร", "ผู้เสียหาย": "ต้อง ควร ได้ แจ้ง ถูก มี ให้ ไม่ จะ ทั้ง", "ผู้ปกครอง": "ต้อง ควร ของ นักเรียน และ", "ผู้สั่งซื้อ": "สินค้า ต้อง ควร", "ผู้ถือบัตร": "ต้อง ควร สามารถ ทุก",
+    "ผู้เดินทาง": "ต้อง ควร ทุก ที่", "ผู้ขับขี่": "ต้อง ควร ที่ ทุก", "ผู้ติดต่อกรณีฉุกเฉิน": "ต้อง ควร ติดต่อ โทร ได้ แจ้ง", "ผู้ติดต่อ": "หลัก สำรอง สอบถาม กลับ ได้ ประสาน กรณี", "ผู้สมัคร": "งาน สอบ ทุก ที่ สามารถ รหัส",
+    "ผู้แจ้ง": "ความ เบาะแส เตือน", "ผู้ยื่น": "ภาษี แบบ", "ผู้ป่วย": "ใน นอก ราย ทุก ต้อง ควร ที่ จะ ได้ เรื้อรัง", "ผู้กู้": "ร่วม ยืม ต้อง ควร", "มอบอำนาจให้": "", "ออกให้": "", "ชื่อบัญชี": "ผู้ใช้",
+}
+SPACED_ROLES = frozenset(("มอบอำนาจให้", "ออกให้"))  # count only with a space after them
+ROLE_LINKS, ROLE_KINDS = ("คือ", "ชื่อ", "ได้แก่"), ("หญิง", "ชาย")
+NAME_LABELS: dict[str, str] = {
+    "line": r"(?m)^[ \t]*ชื่อ(?:-นามสกุล)?(?:[ \t:：]+|[ \t:：]*\r?\n)",
+    "inline": r"(?:สัญชาติ|คำนำหน้า|เพศ)[^\r\n]{0,30}?(?<![ก-๛])ชื่อ(?:-นามสกุล)?[ \t:：]+",
+    "kin": r"(?:คุณแม่|คุณพ่อ|แม่|พ่อ|พี่สาว|พี่ชาย|พี่|น้องสาว|น้องชาย|น้อง|ลูกสาว|ลูก|ภรรยา|สามี|ป้า|ลุง|ย่า|ยาย|ปู่|ตา|หลาน|เพื่อน|แฟน)ชื่อ[ \t:：]*",
+    "roster": r"(?m)(?:^|(?<=\s))(?:ลำดับที่[ \t]*\d+[ \t.]*|\d{1,3}\.[ \t]+)",
+    "latin": r"(?:Name|ชื่อ)[ \t]*[:：=][ \t]*|(?:Name|ชื่อ)[ \t]+|contact person[ \t:：]*|(?:Mrs|Ms|Mr)\.?[ \t]+|ผู้ยื่น[ \t]+|ผู้แจ้ง[ \t]+|ที่นั่งสอบ[ \t]*[A-Za-z]?\d+[ \t]+",
+}
+ROSTER_HEADER = r"รายชื่อ|ผู้เข้าสอบ|ผู้เข้าพัก|ผู้มีสิทธิ์|ผู้ผ่านการ|ทะเบียนผู้|ผลการคัดเลือก|ผู้มาประชุม|ผู้เข้าร่วมประชุม"
+BEFORE_PASSPORT = r"(?<![ก-๛])([ก-๛]{2,25}[ \t][ก-๛]{2,25})[ \t]+(?=passport|[A-Z]{2}\d{7})"
+LATIN_NAME = r"[A-Z][a-z]{1,20}(?:[ \t](?:[A-Z]\.|[A-Z][a-z]{1,20})){1,3}"
+NOT_LATIN_NAMES = frozenset("bank company limited public hospital university hotel road river province district tower office department faculty school service customer group branch building resort airport station palace temple market mall co ltd plc".split())
+DOCUMENT_HEADS = r"รายชื่อ|หนังสือ|ใบรับรอง|ใบสมัคร|ใบเสร็จ|แบบฟอร์ม|แบบคำขอ|เอกสาร|ตาราง|บันทึก|ประกาศ|สำเนา|ทะเบียน"
+NAME_CUE_ON_NEXT_LINE = r"(?:นาย|นางสาว|นาง|น\.ส\.|ด\.ช\.|ด\.ญ\.|เด็กชาย|เด็กหญิง|ชื่อ)"

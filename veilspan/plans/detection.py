@@ -1 +1,108 @@
-"""Queries."""
+"""Queries on names and on what surrounds a tagger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import names
+from .queries import made, query, table
+
+_GIVEN, _FAMILY = "CASE c_custkey % 3 WHEN 0 THEN 'วิชัย' WHEN 1 THEN 'รัตนา' ELSE 'สมหญิง' END", "CASE c_custkey % 4 WHEN 0 THEN 'แสงวิเชียร' WHEN 1 THEN 'รักถิ่น' WHEN 2 THEN 'ใจดี' ELSE 'ทองอินทร์' END"
+_NAME = f"concat({_GIVEN}, ' ', {_FAMILY})"
+_LEADS = ["ผู้ป่วย ", "ผู้ป่วยหญิง ", "ผู้กู้คือ ", "ข้าพเจ้า ", "คุณแม่ชื่อ ", "ชื่อ-นามสกุล: ", "นาย ", "รายชื่อผู้เข้าสอบ 1. ", "มอบอำนาจให้ "]
+_VETOED = ["ผู้ป่วยใน ", "ผู้กู้ร่วม ", "มอบอำนาจให้แก่", "ผู้แจ้งความ ", "ดูรายชื่อ ", "ที่ 1. "]
+_lead = lambda xs: "CASE c_custkey % " + str(len(xs)) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
+
+
+def _name_rows(docs):
+    d = names.detect_names(docs)
+    return d.select("doc_id", F.explode("names").alias("x")).select("doc_id", F.col("x.s").cast("long").alias("s"), "x.value")
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(length({_lead(_LEADS)}) AS BIGINT) AS s, {_NAME} AS value FROM customer")
+def names_by_cue(spark, sf):
+    """Roles, labels, kin, titles, introductions and roster numbers, each before a given and a family name."""
+    return _name_rows(made(spark, sf, "customer", "c_custkey", f"concat({_lead(_LEADS)}, {_NAME}, CASE c_custkey % 2 WHEN 0 THEN chr(10) ELSE ' อายุ 52 ปี' END)"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS found FROM customer")
+def names_vetoed(spark, sf):
+    """The same words where they introduce no person: followed by what makes them prose, or an organisation."""
+    text = f"CASE WHEN c_custkey % 7 = 0 THEN 'ผู้ป่วย โรงพยาบาล กลาง' WHEN c_custkey % 7 = 1 THEN 'ผู้ปกครอง ต้อง มาพบ' ELSE concat({_lead(_VETOED)}, {_NAME}) END"
+    d = names.detect_names(made(spark, sf, "customer", "c_custkey", text))
+    return d.select("doc_id", F.size("names").cast("long").alias("found"))
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(CASE c_custkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 0 ELSE 15 END AS BIGINT) AS s, CASE c_custkey % 4 WHEN 0 THEN 'John A. Smith' WHEN 1 THEN 'Anna Berg' WHEN 2 THEN 'Peter Pan' ELSE 'Maria Costa' END AS value FROM customer WHERE c_custkey % 5 <> 0""")
+def latin_names(spark, sf):
+    """Names in Latin letters after a cue or before a passport; a bank is no person."""
+    text = "CASE WHEN c_custkey % 5 = 0 THEN 'Name: Bangkok Bank' ELSE CASE c_custkey % 4 WHEN 0 THEN 'Name: John A. Smith' WHEN 1 THEN 'Mr. Anna Berg' WHEN 2 THEN 'Peter Pan AB1234567' ELSE 'contact person Maria Costa' END END"
+    return _name_rows(made(spark, sf, "customer", "c_custkey", text))
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(2 AS BIGINT) AS found FROM customer")
+def names_in_conjunction(spark, sf):
+    """A patient and the one after "and"; a third is joined to no name that a cue found."""
+    text = f"concat('ผู้ป่วย ', {_NAME}, ' และ มานะ ทองดี และ ปิติ รักเรียน')"
+    d = names.detect_names(made(spark, sf, "customer", "c_custkey", text))
+    return d.select("doc_id", F.size("names").cast("long").alias("found"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'ADDRESS' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'DATE_OF_BIRTH' ELSE 'ORGANIZATION' END AS data_type FROM events WHERE event_id % 6 NOT IN (3, 5)""")
+def cue_upgrades(spark, sf):
+    """Places after an address word, dates after a birth word; serial numbers and fees go."""
+    k = F.col("event_id") % 6
+    lead = F.when(k == 0, "ที่อยู่ ").when(k == 2, "เกิดวันที่ ").otherwise("ไป ")
+    value = F.when(k < 2, "เมืองใหม่").when(k == 2, "1 พ.ค. 2520").when(k == 3, "65012345").when(k == 4, "บริษัทดี").otherwise("ค่าธรรมเนียมดี")
+    kind = F.when(k < 2, "LOCATION").when(k < 4, "DATE").otherwise("ORGANIZATION")
+    d = table(spark, sf, "events").select("event_id", F.concat(lead, value).alias("text"), F.length(lead).alias("s"), F.length(F.concat(lead, value)).alias("e"), kind.alias("data_type"))
+    return names.upgrade(d).select("event_id", "data_type")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, true AS whole FROM documents WHERE length(text) > 0")
+def sentence_cover(spark, sf):
+    """Sentences of each document follow one another and make up its text."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    s = names.sentences(docs)
+    gap = F.col("s") != F.coalesce(F.lag("e").over(Window.partitionBy("doc_id").orderBy("i")), F.lit(0))
+    return s.withColumn("gap", gap).groupBy("doc_id").agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("covered"), (~F.max("gap")).alias("whole"))
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS spans, CAST(sum(i) AS BIGINT) AS places FROM (SELECT event_id // 20 AS doc_id, event_id % 20 AS i FROM events) GROUP BY doc_id")
+def stride_chunks(spark, sf):
+    """Twenty sentences of ten characters in chunks of thirty with a sentence of margin: each sentence's span is kept once."""
+    k = F.col("event_id")
+    s = table(spark, sf, "events").select(F.floor(k / 20).alias("doc_id"), (k % 20).cast("int").alias("i"), (k % 20 * 10).cast("int").alias("s"), (k % 20 * 10 + 10).cast("int").alias("e"))
+    c = names.stride(s, core=30)
+    inside = c.join(s.withColumnsRenamed({"s": "a", "e": "b"}), "doc_id").where("a >= s AND b <= e")
+    found = names.in_core(inside.select("doc_id", (F.col("a") - F.col("s")).alias("x"), (F.col("b") - F.col("s")).alias("y"), F.col("s").alias("chunk_s"), "core_s", "core_e", "i").withColumnsRenamed({"x": "s", "y": "e"}))
+    return found.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum("i").cast("long").alias("places"))
+
+
+@query("SELECT event_id // 10 AS doc_id, event_id % 10 AS i, CASE WHEN event_id % 3 = 0 THEN 'O' ELSE 'B-PERSON' END AS tag FROM events")
+def window_vote(spark, sf):
+    """Each token is in two windows; the surer label wins, and what is surest but below the floor is nothing."""
+    k = F.col("event_id")
+    e = table(spark, sf, "events").select(F.floor(k / 10).alias("doc_id"), (k % 10).alias("i"), (k % 10 * 5).alias("s"), (k % 10 * 5 + 4).alias("e"), k)
+    a = e.withColumn("tag", F.lit("B-PERSON")).withColumn("prob", F.when(k % 3 == 0, 0.4).otherwise(0.9))
+    b = e.withColumn("tag", F.lit("O")).withColumn("prob", F.lit(0.3))
+    return names.vote(a.unionByName(b), {"PERSON": 0.5}).select("doc_id", "i", "tag")
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS legal FROM events")
+def tagger_contract(spark, sf):
+    """A word is missing, an I- begins a run, or it goes on with another label: then the answer does not count."""
+    k = F.col("event_id") % 4
+    t = lambda w, tag: F.struct(F.lit(w).alias("word"), F.lit(tag).alias("tag"))
+    rows = F.when(k == 0, F.array(t("ann ", "B-PER"), t("lee", "I-PER"), t(" ok", "O"))).when(k == 1, F.array(t("ann", "B-PER"), t("lee", "I-PER"))).when(k == 2, F.array(t("ann", "I-PER"), t("lee", "O"), t("ok", "O"))).otherwise(F.array(t("ann", "B-PER"), t("lee", "I-ORG"), t("ok", "O")))
+    return table(spark, sf, "events").select("event_id", names.covers_text(rows, F.lit("ann lee ok")).alias("legal"))
+
+
+@query("SELECT CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS engine, CASE WHEN event_id % 2 = 0 THEN 'NAME' ELSE 'ADDRESS' END AS data_type, count(*) AS n FROM events GROUP BY ALL")
+def strategy_route(spark, sf):
+    """Addresses from the second engine, all else from the first."""
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "NAME").otherwise("ADDRESS").alias("data_type"))
+    both = names.union_route(e.withColumn("engine", F.lit(1).cast("long")), e.withColumn("engine", F.lit(2).cast("long")), "ADDRESS")
+    return both.groupBy("engine", "data_type").agg(F.count("*").alias("n"))
