@@ -54,7 +54,9 @@ def surrogate(kind: Column, original: Column, seed: Column) -> Column:
     pick = lambda at, pool: F.element_at(F.array(*[F.lit(x) for x in pool]), number(at, len(pool)) + 1)
     kept = F.when(kind == "PHONE", F.when(original.startswith("+"), 4).otherwise(2)).otherwise(0)  # characters that stay
     chars = F.split(original, "")
-    plain = F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).when(c.rlike("[0-9]"), F.pmod(F.ascii(c) - 48 + 1 + digit(i) % 9, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), F.char(97 + F.pmod(F.ascii(c) - 97 + 1 + digit(i), F.lit(26)))).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(F.ascii(c) - 65 + 1 + digit(i), F.lit(26)))).otherwise(c)), "")
+    thai_letters = F.array(*[F.lit(chr(c)) for c in range(ord("ก"), ord("ฮ") + 1)])
+    other_letter = lambda c, i: F.element_at(thai_letters, (F.pmod(F.array_position(thai_letters, c) + digit(i) * 2 + digit(i + 90) % 2, F.lit(46)) + 1).cast("int"))
+    plain = F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).when((kind == "VEHICLE_PLATE") & c.rlike("[ก-ฮ]"), other_letter(c, i)).when(c.rlike("[0-9]"), F.pmod(F.ascii(c) - 48 + 1 + digit(i) % 9, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), F.char(97 + F.pmod(F.ascii(c) - 97 + 1 + digit(i), F.lit(26)))).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(F.ascii(c) - 65 + 1 + digit(i), F.lit(26)))).otherwise(c)), "")
     body = X.only_digits(plain)
     at = lambda i: F.substring(body, i, F.lit(1)).cast("int")
     thai = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + at(i) * (F.lit(14) - i))

@@ -194,8 +194,8 @@ def hygiene(text: str, s: int, e: int, words: Words = _whole) -> list[tuple[int,
 
     def strict(lo: int, hi: int) -> tuple[int, int] | None:
         seg = text[lo:hi]
-        lo += len(seg) - len(seg.lstrip())
-        seg = seg.strip().rstrip(",.;:()").rstrip()
+        lo += len(seg) - len(seg.lstrip(" \t.):"))
+        seg = seg.strip(" \t.):").rstrip(",.;:() \t\r")
         first = words(seg.split()[0])[0] if seg.split() else ""
         good = len(seg) >= 2 and _SEGMENT.fullmatch(seg) and not _HEAD.match(seg) and first not in V.NOT_NAMES and first not in V.NAME_STOPS and not seg.startswith(V.ORGANISATION_LEADS)
         return (lo, lo + len(seg)) if good else None
