@@ -224,7 +224,7 @@ def _verify(num: int, den: int):
     def run(frames):
         for batch in frames:
             keep = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "n_b", "others", "others_b", "tokens", "tokens_b")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "others_a", "others_b", "tokens_a", "tokens_b")))
             for n, m, o, p, a, b in rows:
                 ok = all(len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))) for x, y in zip(o, p))
                 if ok:
@@ -279,8 +279,9 @@ def links(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> tuple[
     possible = lambda a, b: (den * F.least(a.n, b.n) >= num * F.greatest(a.n, b.n)) & ((den + num) * F.least(a.shared - a.rank, b.shared - b.rank) >= num * (a.n + b.n))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("doc_id").alias("a"), "n", "others", "tokens")
-        right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("others").alias("others_b"), F.col("tokens").alias("tokens_b"))
+        # both sides rename every column: their exchanges are then the same, and the sets are shuffled once
+        side = lambda key: sets.select(F.col("doc_id").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in ("n", "others", "tokens")))
+        left, right = side("a"), side("b")
         return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(num, den), "a long, b long"))
 
     # the first representative is the document with the fewest shingles of its own: most likely what the others are copies of

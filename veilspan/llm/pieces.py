@@ -300,6 +300,14 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], model.trainer_spec.model_type == 1, model.trainer_spec.byte_fallback, model.normalizer_spec.add_dummy_prefix)
 
 
+def by_rank(vocabulary: Vocabulary) -> Vocabulary:
+    """The pieces of a vocabulary as a unigram model: the score of a piece is minus the logarithm of its place among them, as frequent
+    pieces come first. Encoding then goes through Viterbi. The ids are the same pieces', the cuts may be others."""
+    order = {i: n for n, i in enumerate(j for j, k in enumerate(vocabulary.kinds) if k in (NORMAL, UNUSED))}
+    scores = [-float(np.log(2 + order[i])) if i in order else 0.0 for i in range(len(vocabulary.pieces))]
+    return Vocabulary(vocabulary.pieces, scores, vocabulary.kinds, True, vocabulary.byte_fallback, vocabulary.dummy_prefix)
+
+
 class Encoder:
     """Encodes batches of texts; units that were met before are not encoded again.
 

@@ -59,7 +59,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL)
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_again"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_ngram_join, op3_packing, op4_passages, op5_quality, op6_extraction, op7_nearest, op8_toxicity, op9_licenses, op10_pieces)}
+def unigram_pieces(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    """Like op10_pieces, by Viterbi over the same pieces as a unigram model."""
+    vocabulary = pieces.by_rank(pieces.load(spark, model_path))
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary, out="decoded")
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_again"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint, op2_ngram_join, op3_packing, op4_passages, op5_quality, op6_extraction, op7_nearest, op8_toxicity, op9_licenses, op10_pieces, unigram_pieces)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": """
