@@ -24,6 +24,14 @@ def test_spans_equal_python(spark, shape):
         assert [(x.s, x.e, x.value) for x in r.x] == [(*m.span(1), m[1]) for m in re.finditer(SHAPES[shape], r.text)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 4097])
+def test_spans_of_many_matches(spark, n):
+    text = "é 12😀 " * n + "end"
+    d = spark.createDataFrame([(0, text), (1, None), (2, "")], "i int, text string")
+    got = [[tuple(x) for x in r.x] for r in d.orderBy("i").select(X.spans("text", "[0-9]+").alias("x")).collect()]
+    assert got == [[(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)], [], []]
+
+
 def test_cleaning(spark):
     d = spark.createDataFrame([("  a   b \t\n\n\n\n é๑​  ",)], "text string")
     assert d.select(X.clean("text")).head()[0] == "a b\n\n é1"

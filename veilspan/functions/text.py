@@ -15,23 +15,45 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is evaluated once. What a lambda takes from outside is evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_BLOCK = 64
+
+
 def spans(text: str | Column, pattern: str, ignore_case: bool = False) -> Column:
     """array<struct<s,e,value>> of all matches, in order, with code-point offsets (s inclusive, e exclusive).
 
     The gaps around the matches and the matches alternate, so running sums of their lengths are the offsets. (regexp_instr counts
-    UTF-16 units and would be wrong after an astral character.)
+    UTF-16 units and would be wrong after an astral character.) Adding to an array copies it: many matches are summed in blocks of
+    about the square root of their number, which then move to where their block begins.
     """
     t, p = _c(text), "(?Ud" + ("iu" if ignore_case else "") + ")" + pattern
     found, gaps = F.regexp_extract_all(t, F.lit(p), F.lit(0)), F.split(t, p, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,value:string>>")
 
     def step(acc, pair):
         s = acc.at + F.length(pair.gap)
         e = s + F.length(pair.value)
         return F.struct(e.alias("at"), F.concat(acc.out, F.array(F.struct(s.alias("s"), e.alias("e"), pair.value.alias("value")))).alias("out"))
 
-    pairs = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.element_at(gaps, i + 1).alias("gap")))
-    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.aggregate(pairs, start, step, lambda a: a.out)).otherwise(F.array().cast("array<struct<s:int,e:int,value:string>>"))
+    def fold(pairs):
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def move(acc, block):
+        moved = F.transform(block.out, lambda x: F.struct((x.s + acc.at).alias("s"), (x.e + acc.at).alias("e"), x.value.alias("value")))
+        return F.struct((acc.at + block.at).alias("at"), F.concat(acc.out, F.array(moved)).alias("out"))
+
+    def blocks(pairs):
+        size = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        each = F.transform(F.sequence(F.lit(0), F.size(pairs) - 1, size), lambda at: fold(F.slice(pairs, at + 1, size)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,value:string>>>").alias("out"))
+        return F.aggregate(each, start, move, lambda a: F.flatten(a.out))
+
+    pairs = F.filter(F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap"))), lambda x: x.value.isNotNull())
+    return F.coalesce(let(pairs, lambda p: F.when(F.size(p) <= _BLOCK, fold(p)["out"]).otherwise(blocks(p))), none)
 
 
 def only_digits(value: str | Column) -> Column:
@@ -45,9 +67,12 @@ def luhn_ok(value: str | Column) -> Column:
 
 def thai_id_ok(value: str | Column) -> Column:
     """13 digits whose last is the check digit: (11 - sum of digit * (14 - place) mod 11) mod 10."""
-    digits = only_digits(value)
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + F.substring(digits, i, F.lit(1)).cast("int") * (F.lit(14) - i))
-    return (F.length(digits) == 13) & ((F.lit(11) - total % 11) % 10 == F.substring(digits, 13, 1).cast("int"))
+
+    def right(digits):
+        total = sum((F.substring(digits, i, 1).cast("int") * (14 - i) for i in range(2, 13)), F.substring(digits, 1, 1).cast("int") * 13)
+        return (F.length(digits) == 13) & ((F.lit(11) - total % 11) % 10 == F.substring(digits, 13, 1).cast("int"))
+
+    return let(only_digits(value), right)
 
 
 def iban_ok(value: str | Column) -> Column:

@@ -295,10 +295,11 @@ def locate_values(docs: DataFrame, values: DataFrame) -> DataFrame:
     quote = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
     def places(x):
-        gaps = F.split(F.col("text"), quote(x.value), -1)
         n = F.length(x.value)
-        start = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, g: a + F.length(g)) + (i - 1) * n)
-        return F.when(F.size(gaps) > 1, F.transform(start, lambda s: F.struct((-n).alias("k"), s.alias("s"), (s + n).alias("e"), x.data_type.alias("data_type")))).otherwise(F.array().cast("array<struct<k:int,s:int,e:int,data_type:string>>"))
+        spot = lambda s: F.struct((-n).alias("k"), s.alias("s"), (s + n).alias("e"), x.data_type.alias("data_type"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,s:int,e:int,data_type:string>>").alias("out"))
+        step = lambda a, gap: F.struct((a.at + F.length(gap) + n).alias("at"), F.concat(a.out, F.array(spot(a.at + F.length(gap)))).alias("out"))
+        return X.let(F.split(F.col("text"), quote(x.value), -1), lambda gaps: F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda a: a.out))
 
     found = F.flatten(F.transform("v", places))
     order = lambda a, b: F.when(F.struct(a.k, a.s, a.data_type) < F.struct(b.k, b.s, b.data_type), -1).otherwise(1)

@@ -297,7 +297,7 @@ def sentences(docs: DataFrame, text_column: str = "text", id_column: str = "doc_
     from ..functions import text as X
 
     cuts = X.spans(F.coalesce(F.col(text_column), F.lit("")), r"[^\n]*?(?:[.!?](?=\s)[ \t]*|\n|[^\n](?=\n?\z)\n?)")
-    return docs.select(F.col(id_column), F.posexplode(cuts).alias("i", "x")).select(id_column, "i", "x.s", "x.e")
+    return spread(docs).select(F.col(id_column), F.posexplode(cuts).alias("i", "x")).select(id_column, "i", "x.s", "x.e")
 
 
 def stride(sentence_rows: DataFrame, core: int = 500, margin: int = 1, doc: str = "doc_id") -> DataFrame:
