@@ -49,19 +49,26 @@ def surrogate(kind: Column, original: Column, seed: Column) -> Column:
     """A value of the same form from a hex digest: digits and letters become others of their class, check digits are made right again,
     phones keep their first digits, dates stay dates; names, places and companies are drawn from lists."""
     stream = F.split(F.concat(seed, F.sha2(seed, 256), F.sha2(F.reverse(seed), 256)), "")
-    digit = lambda i: F.conv(F.element_at(stream, i % 180 + 1), 16, 10).cast("int")
     number = lambda at, n: F.pmod(F.conv(F.substring(seed, at, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
     pick = lambda at, pool: F.element_at(F.array(*[F.lit(x) for x in pool]), number(at, len(pool)) + 1)
     kept = F.when(kind == "PHONE", F.when(original.startswith("+"), 4).otherwise(2)).otherwise(0)  # characters that stay
-    chars = F.split(original, "")
     thai_letters = F.array(*[F.lit(chr(c)) for c in range(ord("ก"), ord("ฮ") + 1)])
-    other_letter = lambda c, i: F.element_at(thai_letters, (F.pmod(F.array_position(thai_letters, c) + digit(i) * 2 + digit(i + 90) % 2, F.lit(46)) + 1).cast("int"))
-    plain = F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).when((kind == "VEHICLE_PLATE") & c.rlike("[ก-ฮ]"), other_letter(c, i)).when(c.rlike("[0-9]"), F.pmod(F.ascii(c) - 48 + 1 + digit(i) % 9, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), F.char(97 + F.pmod(F.ascii(c) - 97 + 1 + digit(i), F.lit(26)))).when(c.rlike("[A-Z]"), F.char(65 + F.pmod(F.ascii(c) - 65 + 1 + digit(i), F.lit(26)))).otherwise(c)), "")
-    body = X.only_digits(plain)
-    at = lambda i: F.substring(body, i, F.lit(1)).cast("int")
-    thai = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + at(i) * (F.lit(14) - i))
-    doubled = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, F.when(at(i) * 2 > 9, at(i) * 2 - 9).otherwise(at(i) * 2)).otherwise(at(i)))
-    end = lambda check: F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), check.cast("string"))
+
+    def drawn(stream):
+        digit = lambda i: F.conv(F.element_at(stream, i % 180 + 1), 16, 10).cast("int")
+        other_letter = lambda c, i: F.element_at(thai_letters, (F.pmod(F.array_position(thai_letters, c) + digit(i) * 2 + digit(i + 90) % 2, F.lit(46)) + 1).cast("int"))
+        small, large = (lambda c, i, first=first: F.char(first + F.pmod(F.ascii(c) - first + 1 + digit(i), F.lit(26))) for first in (97, 65))
+        other = lambda c, i: F.when(i < kept, c).when((kind == "VEHICLE_PLATE") & c.rlike("[ก-ฮ]"), other_letter(c, i)).when(c.rlike("[0-9]"), F.pmod(F.ascii(c) - 48 + 1 + digit(i) % 9, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), small(c, i)).when(c.rlike("[A-Z]"), large(c, i)).otherwise(c)
+        return F.array_join(F.transform(F.split(original, ""), other), "")
+
+    def checked(plain, body):
+        at = lambda i: F.substring(body, i, F.lit(1)).cast("int")
+        thai = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda a, i: a + at(i) * (F.lit(14) - i))
+        doubled = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, F.when(at(i) * 2 > 9, at(i) * 2 - 9).otherwise(at(i) * 2)).otherwise(at(i)))
+        end = lambda check: F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), check.cast("string"))
+        return F.when((kind == "THAI_ID") & (F.length(body) == 13), end((F.lit(11) - thai % 11) % 10)).when((kind == "CREDIT_CARD") & (F.length(body) == 16), end((F.lit(10) - doubled % 10) % 10)).otherwise(plain)
+
+    same_form = X.let(X.let(stream, drawn), lambda plain: X.let(X.only_digits(plain), lambda body: checked(plain, body)))
     mark = F.regexp_extract(original, r"([/\-.])", 1)
     pad = lambda n, width: F.lpad(n.cast("string"), width, "0")
     year = lambda v: pad(F.pmod(v.cast("int") + 1 + number(17, 9), F.when(F.length(v) == 2, 100).otherwise(10000)), F.length(v))
@@ -72,10 +79,9 @@ def surrogate(kind: Column, original: Column, seed: Column) -> Column:
     name = F.when(F.trim(original).rlike(r"(?U)\S\s+\S"), F.concat_ws(" ", given, pick(9, FAMILY))).otherwise(given)
     dates = kind.isin("DATE", "DATE_OF_BIRTH")
     return (
-        F.when((kind == "THAI_ID") & (F.length(body) == 13), end((F.lit(11) - thai % 11) % 10)).when((kind == "CREDIT_CARD") & (F.length(body) == 16), end((F.lit(10) - doubled % 10) % 10))
-        .when(dates, F.coalesce(date, F.concat_ws("/", pad(number(1, 28) + 1, 2), pad(number(9, 12) + 1, 2), (number(17, 50) + 2490).cast("string"))))
+        F.when(dates, F.coalesce(date, F.concat_ws("/", pad(number(1, 28) + 1, 2), pad(number(9, 12) + 1, 2), (number(17, 50) + 2490).cast("string"))))
         .when(kind == "NAME", name).when(kind == "SURNAME", pick(9, FAMILY)).when(kind == "ADDRESS", F.concat_ws(" ", (number(9, 999) + 1).cast("string"), pick(1, PLACES)))
-        .when(kind == "LOCATION", pick(1, PLACES)).when(kind == "ORGANIZATION", pick(1, COMPANIES)).otherwise(plain)
+        .when(kind == "LOCATION", pick(1, PLACES)).when(kind == "ORGANIZATION", pick(1, COMPANIES)).otherwise(same_form)
     )
 
 
@@ -132,7 +138,8 @@ def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", pr
     for attempt in range(attempts + 1):
         if not left.limit(1).count():
             return done
-        drawn = left.withColumn("pseudonym", surrogate(F.col("data_type"), F.col("original"), _seed(session, salt, F.lit(attempt)))).withColumns({"_o": bare("original"), "_p": bare("pseudonym")})
+        # written before Python folds it: a drawing moved into a filter would take the Python function along
+        drawn = settle(left.withColumn("pseudonym", surrogate(F.col("data_type"), F.col("original"), _seed(session, salt, F.lit(attempt))))).withColumns({"_o": bare("original"), "_p": bare("pseudonym")})
         free = drawn.where((F.col("_p") != "") & ~shows()).drop("_o", "_p").join(originals, [session, "pseudonym"], "left_anti").join(taken, [session, "pseudonym"], "left_anti")
         won = free.groupBy(session, "pseudonym").agg(F.min(F.struct("data_type", "original")).alias("x")).select(session, "x.*", "pseudonym", F.lit(False).alias("seeded"))
         done = settle(done.unionByName(won.select(done.columns)))
