@@ -51,12 +51,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte offsets) of words, and the first word of each text (n + 1 numbers)."""
-    if not len(buf):
+    return runs(~space[buf], offs)
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that are inside, none across texts, and the first run of each text (n + 1 numbers)."""
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~space[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    edges = offs[:-1][offs[:-1] < len(buf)]
+    edges = offs[:-1][offs[:-1] < len(inside)]
     first[edges] = inside[edges]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
@@ -66,6 +70,17 @@ def split(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def as_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges, in order and apart, as one string array."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    data = buf[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a polynomial by prefix sums, then mixed with the length."""
     out = np.empty(len(starts), np.uint64)
