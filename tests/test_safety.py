@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions.layout import spread
-from veilspan.operators import benchmark, evaluation, masking, outbound, restoring, structured
+from veilspan.operators import benchmark, evaluation, masking, matching, outbound, structured
 from veilspan.streaming import jobs
 
 
@@ -30,10 +30,9 @@ def test_intent(text, kinds):
     assert [k for _, _, k in outbound.intent(text)] == kinds
 
 
-def test_boundaries(spark):
+def test_boundaries():
     cases = [("x0812345678y", 1, 11, True), ("90812345678", 1, 11, False), ("กบุญขก", 1, 4, False), ("กบุญข", 1, 5, True), ("amail", 1, 5, False), ("[t_1]", 0, 5, True)]
-    d = spark.createDataFrame([c[:3] for c in cases], "t string, s int, e int")
-    assert [r[0] for r in d.select(restoring.boundary_ok(F.col("t"), F.col("s"), F.col("e"))).collect()] == [c[3] for c in cases]
+    assert [matching.stands_alone(t, s, e) for t, s, e, _ in cases] == [c[3] for c in cases]
 
 
 def test_surrogates_keep_form_and_never_collide(spark):

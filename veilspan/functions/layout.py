@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
 
@@ -11,16 +14,34 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is one split, and what follows would run on one core. A scan of many splits is not shuffled.
     """
     spark = df.sparkSession
-    if df.isStreaming or any(node in df._jdf.queryExecution().optimizedPlan().toString() for node in ("Join", "Aggregate", "Repartition", "Window", "Sort", "Union", "Generate")):
+    if df.isStreaming or not _PLAIN.issuperset(_nodes(df._jdf.queryExecution().optimizedPlan())):
         return df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_PLAIN = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "DataSourceV2ScanRelation", "SubqueryAlias"}
+
+
+def _nodes(plan) -> Iterator[str]:
+    """Class names of a logical plan's nodes."""
+    yield plan.getClass().getSimpleName()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once, in the checkpoint folder where the session names one: a loop's next round reads it and its lineage ends."""
+    """df computed once and written to the checkpoint folder: a loop's next round reads it and its lineage ends. A local session without
+    such a folder keeps it in its cache; on a cluster the folder must be named."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+    if not folder and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if folder:
+        path = f"{folder}/veilspan-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return df.cache()

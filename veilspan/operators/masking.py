@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.layout import settle
 from ..functions.vocabulary import TOKEN_LABELS
+from . import matching
 from .identifiers import orphan_digits
 
 def _letters(digest: Column, n: int, letters: str) -> Column:
@@ -42,7 +43,8 @@ GIVEN = {"m": "กานต์ ชยพล ณัฐวุฒิ ธีรภ
 FAMILY = "กิตติวงศ์ แก้วมณี จันทร์เพ็ญ ชัยวัฒนา ดำรงกุล ทิพย์วารี นาคสวัสดิ์ บุญประเสริฐ พงษ์ไพบูลย์ มณีรัตน์ รุ่งโรจน์ วงศ์สุวรรณ ศรีประภา สุขสมบูรณ์ อินทรสกุล".split()
 PLACES = "อำเภอเมือง อำเภอบ้านนา อำเภอท่าเรือ เขตบางเขน เขตสาทร เขตหลักสี่ อำเภอบางเลน อำเภอหนองแค".split()
 COMPANIES = ["บริษัท ทองไทยพาณิชย์ จำกัด", "บริษัท รุ่งทรัพย์การค้า จำกัด", "บริษัท ศรีเมืองบริการ จำกัด", "ห้างหุ้นส่วนจำกัด บุญเจริญ", "บริษัท นทีเทค จำกัด", "บริษัท แสงธรรมการพิมพ์ จำกัด"]
-ATTEMPTS = 64
+ATTEMPTS, TEXT_ATTEMPTS = 64, 8
+TEXT_BASED = ("NAME", "SURNAME", "ADDRESS", "LOCATION", "ORGANIZATION")
 
 
 def surrogate(kind: Column, original: Column, seed: Column) -> Column:
@@ -112,39 +114,58 @@ def compact_identity(value: Column) -> Column:
     return F.when(other, fold(F.when(other, value))).otherwise(F.regexp_replace(F.lower(value), "[^a-z0-9]", ""))
 
 
-def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", prior: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
+def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", prior: DataFrame | None = None, attempts: int = ATTEMPTS, texts: DataFrame | None = None, text_column: str = "text") -> DataFrame:
     """(session, data_type, original, pseudonym, seeded): surrogates that restore to one value each.
 
-    prior: pairs (session, original, pseudonym) that a caller brought; they are kept (seeded) where they do not show their original,
-    and a pseudonym that stands for two originals is an error. Others are drawn in rounds: all values that have none yet draw at once,
-    a draw fails if it shows its original, is an original of the session or is taken; of values that draw the same the smallest
-    keeps it. What is left after the last round is an error, as no value may go out unmasked.
+    texts: (session, text), the texts that are masked. A surrogate that stands in one of its session's texts, as it is or once both are
+    folded to letters, marks and numbers, is refused: restoring would rewrite what stood there before. Without texts nothing is known
+    of them. prior: pairs (session, original, pseudonym) that a caller brought; they are kept (seeded) where they show neither their
+    original nor a part of a text, and a pseudonym that stands for two originals is an error.
+
+    Others are drawn in rounds: all values that have none yet draw at once; a draw fails if it shows its original, is an original of the
+    session, stands in a text or is taken; of values that draw the same the smallest keeps it. Invented names, places and companies are
+    few, so after TEXT_ATTEMPTS rounds these get a number, as in "name#2". What is left after the last round is an error, as no value
+    may go out unmasked.
     """
     wanted = settle(span_rows.select(session, "data_type", F.col("value").alias("original")).distinct())
-    bare = lambda c: compact_identity(F.col(c))
-    shows = lambda: F.col("_p").contains(F.col("_o"))
-    empty = wanted.limit(0).select(session, "data_type", "original", F.lit("").alias("pseudonym"), F.lit(True).alias("seeded"))
-    done, taken = empty, empty.select(session, "pseudonym")
+    key = [session, "data_type", "original"]
+    if texts is not None:  # as they are and folded: a draw is looked for in both ways in both
+        t = texts.select(session, F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+        views = settle(t.unionByName(t.withColumn("_text", compact_identity(F.col("_text")))).distinct())
+    originals = wanted.select(session, F.col("original").alias("pseudonym")).distinct()
+
+    def fit(drawn: DataFrame) -> DataFrame:
+        """Those that hide their original and stand in no text. Written first: a draw moved into a filter would take Python along."""
+        bare = settle(drawn.withColumns({"_o": compact_identity(F.col("original")), "_p": compact_identity(F.col("pseudonym"))}))
+        typed = lambda c: X.canonical(F.col("data_type"), F.col(c))
+        shown = F.col("_p").contains(F.col("_o")) | ((typed("original") != "") & typed("pseudonym").contains(typed("original")))
+        good = bare.where((F.col("_p") != "") & ~shown)
+        if texts is not None:
+            good = settle(good)
+            shown = settle(matching.occurring(views, good.select(session, "pseudonym").unionByName(good.select(session, F.col("_p").alias("pseudonym"))), session, "_text", "pseudonym"))
+            good = good.join(shown, [session, "pseudonym"], "left_anti").join(shown.withColumnRenamed("pseudonym", "_p"), [session, "_p"], "left_anti")
+        return good.drop("_o", "_p")
+
+    done = wanted.limit(0).select(*key, F.lit("").alias("pseudonym"), F.lit(True).alias("seeded"))
     if prior is not None:
-        clash = prior.groupBy(session, "pseudonym").agg(F.countDistinct("original").alias("n")).where("n > 1").limit(1).count()
-        if clash:
+        if prior.groupBy(session, "pseudonym").agg(F.countDistinct("original").alias("n")).where("n > 1").limit(1).count():
             raise ValueError("a pseudonym of the prior mapping stands for two originals")
         one = prior.groupBy(session, "original").agg(F.min("pseudonym").alias("pseudonym"))
-        own = wanted.join(one, [session, "original"]).withColumns({"_o": bare("original"), "_p": bare("pseudonym")})
-        done = settle(own.where((F.col("_p") != "") & ~shows()).select(session, "data_type", "original", "pseudonym", F.lit(True).alias("seeded")))
-        taken = prior.select(session, "pseudonym").distinct()
-    originals = wanted.select(session, F.col("original").alias("pseudonym")).distinct()
-    left = wanted.join(done.select(session, "data_type", "original"), [session, "data_type", "original"], "left_anti")
+        done = settle(fit(wanted.join(one, [session, "original"])).select(*key, "pseudonym", F.lit(True).alias("seeded")))
+    taken = lambda: done.select(session, "pseudonym") if prior is None else done.select(session, "pseudonym").unionByName(prior.select(session, "pseudonym"))
+    left = wanted.join(done.select(key), key, "left_anti")
     for attempt in range(attempts + 1):
         if not left.limit(1).count():
             return done
-        # written before Python folds it: a drawing moved into a filter would take the Python function along
-        drawn = settle(left.withColumn("pseudonym", surrogate(F.col("data_type"), F.col("original"), _seed(session, salt, F.lit(attempt))))).withColumns({"_o": bare("original"), "_p": bare("pseudonym")})
-        free = drawn.where((F.col("_p") != "") & ~shows()).drop("_o", "_p").join(originals, [session, "pseudonym"], "left_anti").join(taken, [session, "pseudonym"], "left_anti")
+        drawn = settle(left.withColumn("pseudonym", surrogate(F.col("data_type"), F.col("original"), _seed(session, salt, F.lit(attempt)))))
+        if attempt >= TEXT_ATTEMPTS:
+            same = Window.partitionBy(session, "pseudonym")
+            number = F.row_number().over(same.orderBy("data_type", "original")) + 1 + (attempt - TEXT_ATTEMPTS) * F.count("*").over(same)
+            drawn = settle(drawn.withColumn("pseudonym", F.when(F.col("data_type").isin(*TEXT_BASED), F.concat("pseudonym", F.lit("#"), number.cast("string"))).otherwise(F.col("pseudonym"))))
+        free = fit(drawn).join(originals, [session, "pseudonym"], "left_anti").join(taken(), [session, "pseudonym"], "left_anti")
         won = free.groupBy(session, "pseudonym").agg(F.min(F.struct("data_type", "original")).alias("x")).select(session, "x.*", "pseudonym", F.lit(False).alias("seeded"))
         done = settle(done.unionByName(won.select(done.columns)))
-        taken = done.select(session, "pseudonym").distinct() if prior is None else done.select(session, "pseudonym").unionByName(prior.select(session, "pseudonym")).distinct()
-        left = wanted.join(done.select(session, "data_type", "original"), [session, "data_type", "original"], "left_anti")
+        left = wanted.join(done.select(key), key, "left_anti")
     if left.limit(1).count():
         raise ValueError(f"no free surrogate after {attempts} attempts")
     return done
@@ -154,7 +175,7 @@ def consistency(masked: DataFrame, pairs: DataFrame, session: str = "session_id"
     """masked texts in which an original that still stands somewhere, outside the highlights, is replaced too."""
     from .restoring import occurrences
 
-    turned = pairs.select(session, F.col("original").alias("pseudonym"), F.col("pseudonym").alias("original"))
+    turned = pairs.groupBy(session, F.col("original").alias("pseudonym")).agg(F.min("pseudonym").alias("original"))  # an original of two types has two
     d = masked.join(occurrences(masked, turned, session, "masked", id_column, guarded=False), id_column, "left")
     loose = F.filter(F.coalesce("found", F.array().cast("array<struct<s:int,e:int,pseudonym:string,original:string>>")), lambda x: ~F.exists("highlights", lambda h: (h.s < x.e) & (x.s < h.e)))
     d = d.withColumn("found", loose)

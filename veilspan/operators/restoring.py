@@ -1,7 +1,7 @@
 """Restoring any kind of pseudonym, and what is checked before a restored text leaves.
 
-Tokens are brackets and are found by one pattern (masking.restore). Surrogates look like ordinary words and numbers, so here the places
-of a text are joined with a session's pseudonyms on their first characters; no document meets the whole mapping.
+Tokens are brackets and are found by one pattern (masking.restore). Surrogates look like ordinary words and numbers: all of a session are
+looked for at once (matching).
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vocabulary import TOKEN_LABELS
+from . import matching
 
-GRAM = 3
 MOST_TOKEN = 130  # characters of a token
 
 
@@ -47,42 +47,11 @@ def is_token_of(candidate: str | Column, data_type: str | Column, legacy: bool =
 
 
 # --- finding pseudonyms -----------------------------------------------------------------------------------------------------------
-def _class(c: Column) -> Column:
-    """digit, thai, latin or null."""
-    return F.when(c.rlike(r"^\p{Nd}$"), "digit").when(c.rlike("^[ก-๎]$"), "thai").when(c.rlike("^[A-Za-z]$"), "latin")
-
-
-def boundary_ok(text: Column, s: Column, e: Column) -> Column:
-    """Whether a match may stand for itself: digits and Latin letters must not go on on either side, Thai letters not on both."""
-    at = lambda i: F.substring(text, i + 1, F.lit(1))
-    first, last = _class(at(s)), _class(at(e - 1))
-    left = F.coalesce((s > 0) & (_class(at(s - 1)) == first), F.lit(False))
-    right = F.coalesce(_class(at(e)) == last, F.lit(False))
-    return ~((left & first.isin("digit", "latin")) | (right & last.isin("digit", "latin")) | (left & right))
-
-
 def occurrences(texts: DataFrame, pairs: DataFrame, session: str = "session_id", text_column: str = "text", id_column: str = "doc_id", guarded: bool = True) -> DataFrame:
     """(id, found): where a session's pseudonyms stand in its texts, array<struct<s,e,pseudonym,original>> by start: longest first,
-    without overlaps; guarded: none that is part of a longer number or word."""
-    known = pairs.where(F.length("pseudonym") > 0).select(session, "pseudonym", "original").groupBy(session, "pseudonym").agg(F.min("original").alias("original"))
-    known = known.withColumn("_n", F.least(F.length("pseudonym"), F.lit(GRAM)))
-    t = F.col(text_column)
-    hits = None
-    for n in sorted(r[0] for r in known.select("_n").distinct().collect()):  # 1 to GRAM
-        at = F.transform(F.sequence(F.lit(0), F.greatest(F.length(t) - n, F.lit(0))), lambda i: F.struct(i.alias("s"), F.substring(t, i + 1, F.lit(n)).alias("gram")))
-        places = texts.where(F.length(t) >= n).select(id_column, session, t.alias("_text"), F.explode(at).alias("_p")).select(id_column, session, "_text", "_p.*")
-        side = known.where(F.col("_n") == n).select(F.col(session).alias("_session"), "pseudonym", "original", F.substring("pseudonym", 1, n).alias("_gram"))
-        met = places.join(side, (F.col(session) == F.col("_session")) & (F.col("gram") == F.col("_gram")))
-        whole = F.substring(F.col("_text"), F.col("s") + 1, F.length("pseudonym")) == F.col("pseudonym")
-        end = F.col("s") + F.length("pseudonym")
-        met = met.where(whole & boundary_ok(F.col("_text"), F.col("s"), end)) if guarded else met.where(whole)
-        met = met.select(id_column, F.struct((-F.length("pseudonym")).alias("k"), "s", end.alias("e"), "pseudonym", "original").alias("x"))
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
-        return texts.select(id_column, F.array().cast("array<struct<s:int,e:int,pseudonym:string,original:string>>").alias("found")).limit(0)
-    order = lambda a, b: F.when(F.struct(a.k, a.s) < F.struct(b.k, b.s), -1).otherwise(1)
-    kept = X.keep_best(F.collect_list("x"), order)
-    return hits.groupBy(id_column).agg(F.transform(kept, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.pseudonym.alias("pseudonym"), x.original.alias("original"))).alias("found"))
+    without overlaps; guarded: none that is part of a longer number or word. A pseudonym that stands for two originals is an error."""
+    found = matching.find(texts, pairs, session, text_column, id_column, "pseudonym", "original", guarded)
+    return found.select(id_column, F.transform("found", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.pattern.alias("pseudonym"), x.value.alias("original"))).alias("found"))
 
 
 def restore_all(replies: DataFrame, pairs: DataFrame, session: str = "session_id", text_column: str = "masked", id_column: str = "doc_id") -> DataFrame:

@@ -292,13 +292,16 @@ class Taken:
         i = bisect_left(self.starts, e)
         return i > 0 and self.ends[i - 1] > s
 
+    def insert(self, s: int, e: int) -> None:
+        i = bisect_left(self.starts, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
     def add(self, x: Span) -> bool:
         """Takes a span if it overlaps none; says whether it did."""
         if self.meets(x.s, x.e):
             return False
-        i = bisect_left(self.starts, x.s)
-        self.starts.insert(i, x.s)
-        self.ends.insert(i, x.e)
+        self.insert(x.s, x.e)
         return True
 
 

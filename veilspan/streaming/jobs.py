@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import risk, structured
+from ..operators import matching, risk, structured
 from .sessions import dedupe_jobs, fingerprint, mask_message, validate_jobs
 
 OPERATIONS = ("sanitize", "roundtrip", "restore", "analyze", "detect")
@@ -35,41 +36,38 @@ def run_jobs(jobs: DataFrame, salt: str = "") -> DataFrame:
     good = good.withColumn("_text", F.get_json_object("payload", "$.text"))
     good = good.withColumn("error", F.coalesce("error", F.when(F.col("verdict") == "duplicate_conflict", "duplicate_conflict").when(F.col("_text").isNull(), "invalid_payload").when(F.length("_text") > MOST_CHARS, "text_too_long")))
 
-    @F.pandas_udf("string")
-    def work(operation: pd.Series, job: pd.Series, text: pd.Series, payload: pd.Series) -> pd.Series:
+    @F.pandas_udf("result string, error string")
+    def work(operation: pd.Series, job: pd.Series, text: pd.Series, payload: pd.Series) -> pd.DataFrame:
         import json
 
         def one(op, job_id, t, body):
             pairs: dict[str, str] = {}
             if op in ("sanitize", "roundtrip"):
                 masked = mask_message(t, job_id, pairs, salt)
-                back = {v: k.split("|", 1)[1] for k, v in pairs.items()}
-                for token, original in back.items() if op == "roundtrip" else ():
-                    masked = masked.replace(token, original)
-                return json.dumps({"text": masked, "entities": len(pairs)}, ensure_ascii=False)
+                if op == "roundtrip":
+                    masked = matching.rewrite(masked, {v: k.split("|", 1)[1] for k, v in pairs.items()})
+                return {"text": masked, "entities": len(pairs)}
             if op == "restore":
-                for token, original in sorted((json.loads(body).get("pairs") or {}).items(), key=lambda kv: -len(kv[0])):
-                    t = t.replace(token, original)
-                return json.dumps({"text": t}, ensure_ascii=False)
+                known = json.loads(body).get("pairs") or {}
+                if not all(isinstance(x, str) for kv in known.items() for x in kv):
+                    raise ValueError("pairs are texts")
+                return {"text": matching.rewrite(t, known)}
             found = structured.everything(t)
             if op == "detect":
-                return json.dumps({"spans": [[x.s, x.e, x.kind] for x in found]})
-            counts: dict[str, int] = {}
-            for x in found:
-                counts[x.kind] = counts.get(x.kind, 0) + 1
-            return json.dumps({"types": counts})
+                return {"spans": [[x.s, x.e, x.kind] for x in found]}
+            return {"types": dict(Counter(x.kind for x in found))}
 
         out = []
         for row in zip(operation, job, text, payload):
             try:
-                out.append(one(*row))
-            except Exception:  # a job's failure is its own
-                out.append(None)
-        return pd.Series(out, dtype=object)
+                out.append((json.dumps(one(*row), ensure_ascii=False), None))
+            except (ValueError, AttributeError):  # of the payload: its pairs are no mapping of texts
+                out.append((None, "invalid_payload"))
+        return pd.DataFrame(out, columns=["result", "error"])
 
     run = F.col("error").isNull()
-    done = good.withColumn("result", F.when(run, work("operation", "job_id", F.when(run, F.col("_text")).otherwise(F.lit("")), "payload")))
-    return done.withColumn("error", F.when(run & F.col("result").isNull(), "job_failed").otherwise(F.col("error"))).select("job_id", "seq", "verdict", "result", "error")
+    done = good.withColumn("_done", F.when(run, work("operation", "job_id", F.when(run, F.col("_text")).otherwise(F.lit("")), "payload")))
+    return done.select("job_id", "seq", "verdict", F.col("_done.result").alias("result"), F.coalesce("error", F.col("_done.error")).alias("error"))
 
 
 def work_queue(incoming: DataFrame, submit: Callable[[DataFrame, int], None], checkpoint: str, salt: str = ""):
