@@ -7,7 +7,8 @@ names that are written apart do not.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,24 +23,32 @@ _THAI = re.compile("[ก-๛]+")
 _LABEL = {k: re.compile(p) for k, p in V.NAME_LABELS.items()}
 _LATIN = re.compile(V.LATIN_NAME)
 _HEAD = re.compile(V.DOCUMENT_HEADS)
+_PASSPORT_NEXT, _AND = re.compile(r"[ \t]+(?:passport|[A-Z]{2}\d{7})"), re.compile(r"[ \t]*(?:และ|กับ)[ \t]+")
 LONGEST, HEADER_WINDOW, AFTER_WINDOW = 25, 300, 160
 
 
+NAME_CUES = "ผู้|มอบอำนาจ|ออกให้|ชื่อ|ข้าพเจ้า|นาย|นาง|น\\.ส\\.|ด\\.[ชญ]\\.|เด็ก|ลำดับที่|[0-9]\\.[ \t]|Name|contact person|M(?:r|s|rs)[. \t]|passport|[A-Z]{2}[0-9]{7}"
+_CUES = re.compile(NAME_CUES)
+
+
 def _whole(run: str) -> list[str]:
     return [run]
 
 
-def pieces(text: str, at: int, words: Words = _whole, end: int | None = None) -> list[tuple[str, int, int]]:
-    """(word, start, end) from a place to the end of its line: Thai words, single spaces of any length, other runs."""
+_PIECE = re.compile(r"[ก-๛]{1,200}|[ \t]{1,200}|[^ \tก-๛]{1,200}")
+_BLANKS, _BLANK_LINES = re.compile("[ \t]*"), re.compile("[ \t\r\n]*")
+
+
+def pieces(text: str, at: int, words: Words = _whole, end: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) from a place to the end of its line: Thai words, spaces, other runs. Runs longer than any name come in parts,
+    and only what is asked for is read, so that a text full of cues takes time in proportion."""
     stop = text.find("\n", at)
     stop = min(len(text) if stop < 0 else stop, len(text) if end is None else end)
-    out = []
-    for m in re.finditer(r"[ก-๛]+|[ \t]+|[^ \tก-๛]+", text[at:stop]):
-        place = at + m.start()
+    for m in _PIECE.finditer(text, at, stop):
+        place = m.start()
         for w in words(m[0]) if _THAI.fullmatch(m[0]) else [m[0]]:
-            out.append((w, place, place + len(w)))
+            yield w, place, place + len(w)
             place += len(w)
-    return out
 
 
 def may_name(word: str) -> bool:
@@ -47,13 +56,13 @@ def may_name(word: str) -> bool:
     return bool(_THAI.fullmatch(word)) and len(word) <= LONGEST and word not in V.NOT_NAMES and word not in V.TITLE_WORDS and word not in ("ๆ", "ฯ")
 
 
-def two_groups(text: str, at: int, words: Words = _whole, single: bool = False) -> tuple[int, int] | None:
+def two_groups(text: str, at: int, words: Words = _whole, single: bool = False, end: int | None = None) -> tuple[int, int] | None:
     """Place of a given and a family name that begin at a place: two groups of name words with one space between, on one line.
 
     A word that opens prose, at the start of either group, means that this is no name. single: one group is enough.
     """
     groups: list[list[tuple[int, int]]] = [[]]
-    for word, s, e in pieces(text, at, words):
+    for word, s, e in pieces(text, at, words, end):
         if not word.strip(" \t"):
             if groups[-1]:
                 if len(groups) == 2:
@@ -72,14 +81,14 @@ def two_groups(text: str, at: int, words: Words = _whole, single: bool = False)
 
 
 def _organisation(text: str, at: int) -> bool:
-    return text[at:].lstrip(" \t").startswith(V.ORGANISATION_LEADS)
+    return text.startswith(V.ORGANISATION_LEADS, _BLANKS.match(text, at).end())
 
 
 def _skip(text: str, at: int, what: tuple[str, ...]) -> tuple[int, bool]:
     """The place after spaces and any of some words, and whether one of the words stood there."""
     met = False
     while True:
-        here = at + len(text[at:]) - len(text[at:].lstrip(" \t"))
+        here = _BLANKS.match(text, at).end()
         word = next((w for w in what if text.startswith(w, here)), None)
         if word is None:
             return here, met
@@ -96,13 +105,12 @@ def context_names(text: str, words: Words = _whole) -> list[tuple[str, Span]]:
             out.append((kind, Span(*place, "NAME", score, "TB")))
         return place is not None
 
-    claimed: list[tuple[int, int]] = []
+    claimed = bytearray(len(text))
     for role, vetoes in V.ROLES.items():
         for m in re.finditer(role, text):
-            if any(m.start() < e and s < m.end() for s, e in claimed):
+            if 1 in claimed[m.start() : m.end()]:
                 continue
-            rest = text[m.end() :]
-            if role in V.SPACED_ROLES and not rest[:1].isspace() or vetoes and rest.startswith(tuple(vetoes.split())):
+            if role in V.SPACED_ROLES and not text[m.end() : m.end() + 1].isspace() or vetoes and text.startswith(tuple(vetoes.split()), m.end()):
                 continue
             at, _ = _skip(text, m.end(), V.ROLE_LINKS)
             at, kind = _skip(text, at, V.ROLE_KINDS)
@@ -111,10 +119,10 @@ def context_names(text: str, words: Words = _whole) -> list[tuple[str, Span]]:
                 continue
             place = two_groups(text, at, words)
             if add("extended", place, 0.88):
-                claimed.append((m.start(), place[1]))
+                claimed[m.start() : place[1]] = b"\1" * (place[1] - m.start())
     for label, kind, score in (("line", "strong", 0.88), ("inline", "extended", 0.87), ("kin", "extended", 0.88)):
         for m in _LABEL[label].finditer(text):
-            at = m.end() + len(text[m.end() :]) - len(text[m.end() :].lstrip(" \t" if label == "kin" else " \t\r\n"))
+            at = (_BLANKS if label == "kin" else _BLANK_LINES).match(text, m.end()).end()
             if label == "kin" or not _organisation(text, at):
                 add(kind, two_groups(text, at, words), score)
     for m in _LABEL["roster"].finditer(text):
@@ -123,7 +131,7 @@ def context_names(text: str, words: Words = _whole) -> list[tuple[str, Span]]:
     for m in re.finditer(V.BEFORE_PASSPORT, text):
         if all(may_name(g) and g not in V.NAME_STOPS for g in re.split("[ \t]", m[1])):
             add("extended", m.span(1), 0.88)
-    latin = {m2.span() for m in _LABEL["latin"].finditer(text) if (m2 := _LATIN.match(text, m.end()))} | {m.span() for m in _LATIN.finditer(text) if re.match(r"[ \t]+(?:passport|[A-Z]{2}\d{7})", text[m.end() :])}
+    latin = {m2.span() for m in _LABEL["latin"].finditer(text) if (m2 := _LATIN.match(text, m.end()))} | {m.span() for m in _LATIN.finditer(text) if _PASSPORT_NEXT.match(text, m.end())}
     for s, e in sorted(latin):
         if not any(p.rstrip(".").lower() in V.NOT_LATIN_NAMES for p in re.split("[ \t]+", text[s:e])):
             add("extended", (s, e), 0.88)
@@ -141,8 +149,8 @@ def conjunctions(text: str, names: list[Span], words: Words = _whole) -> list[Sp
     """The names that follow known ones after "and" or "with"."""
     out: dict[tuple[int, int], Span] = {}
     for x in names:
-        m = re.compile(r"[ \t]*(?:และ|กับ)[ \t]+").match(text, x.e)
-        place = two_groups(text[: m.end() + AFTER_WINDOW], m.end(), words) if m and x.kind == "NAME" else None
+        m = _AND.match(text, x.e)
+        place = two_groups(text, m.end(), words, end=m.end() + AFTER_WINDOW) if m and x.kind == "NAME" else None
         if place and " " in text[slice(*place)]:
             out.setdefault(place, Span(*place, "NAME", 0.87, "TB"))
     return list(out.values())
@@ -156,7 +164,17 @@ def parallel(text: str, spans: list[Span]) -> list[Span]:
         if line.strip():
             rows.append((s, s + len(line.strip())))
         at += len(line)
-    held = lambda r, kind: any(x.kind == kind and x.s <= r[0] and r[1] <= x.e for x in spans)
+    reach: dict[str, tuple[list[int], list[int]]] = {}  # of a kind: starts, and the furthest end so far
+    for x in sorted(spans):
+        starts, ends = reach.setdefault(x.kind, ([], []))
+        starts.append(x.s)
+        ends.append(max(x.e, ends[-1] if ends else 0))
+
+    def held(r: tuple[int, int], kind: str) -> bool:
+        starts, ends = reach.get(kind, ((), ()))
+        i = bisect_right(starts, r[0])
+        return i > 0 and r[1] <= ends[i - 1]
+
     pairs = [r for r, below in zip(rows, rows[1:]) if re.fullmatch("[ก-๛]{2,25}[ \t]+[ก-๛]{2,25}", text[slice(*r)]) and held(below, "THAI_ID")]
     if not any(held(r, "NAME") for r in pairs):
         return []
@@ -223,41 +241,63 @@ def hygiene(text: str, s: int, e: int, words: Words = _whole) -> list[tuple[int,
     return sorted(out)
 
 
+class Covered:
+    """Characters that are covered, as disjoint ranges in order; ranges that touch are one."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, s: int, e: int) -> bool:
+        i = bisect_right(self.starts, s)
+        return i > 0 and e <= self.ends[i - 1]
+
+    def add(self, s: int, e: int) -> None:
+        i, j = bisect_left(self.ends, s), bisect_right(self.starts, e)
+        if i < j:
+            s, e = min(s, self.starts[i]), max(e, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [s], [e]
+
+
 def covering(spans: list[Span]) -> list[Span]:
     """Spans by score, then start; one is left out only where spans kept before cover each of its characters, so none is uncovered."""
-    kept: list[Span] = []
+    kept, covered = [], Covered()
     for x in sorted(spans, key=lambda x: (-x.score, x.s)):
-        at = x.s
-        for y in sorted((k for k in kept if k.meets(x)), key=lambda k: k.s):
-            if y.s > at:
-                break
-            at = max(at, y.e)
-        if x.e - x.s >= 2 and at < x.e:
+        if x.e - x.s >= 2 and not covered.holds(x.s, x.e):
             kept.append(x)
+            covered.add(x.s, x.e)
     return sorted(kept, key=lambda x: x.s)
 
 
 def prefer_records(spans: list[Span], records: list[Span]) -> list[Span]:
-    """Names of records take the place of text-based spans within them; not of structured ones, nor of any that reaches outside."""
-    kept = list(spans)
-    for r in records:
-        met = [x for x in kept if x.meets(r)]
-        if all(x.layer != "FP" and r.s <= x.s and x.e <= r.e for x in met):
-            kept = [x for x in kept if x not in met] + [r]
-    return sorted(kept, key=lambda x: x.s)
+    """Names of records take the place of text-based spans within them; not of structured ones, nor of any that reaches outside. Spans
+    and records have no overlaps among themselves."""
+    kept = sorted(spans, key=lambda x: x.s)
+    for r in sorted(records, key=lambda x: x.s):
+        i, j = bisect_right(kept, r.s, key=lambda x: x.e), bisect_left(kept, r.e, key=lambda x: x.s)
+        if all(x.layer != "FP" and r.s <= x.s and x.e <= r.e for x in kept[i:j]):
+            kept[i:j] = [r]
+    return kept
 
 
 def find_names(text: str, words: Words = _whole, known: list[Span] = ()) -> list[Span]:
     """Names that the text's own words introduce, those joined to them by "and", and those of records like known ones; no overlaps."""
-    own = covering([x for _, x in context_names(text, words)])
-    own = covering(own + conjunctions(text, own, words))
+    own = introduced(text, words)
     return covering(own + parallel(text, own + list(known)))
 
 
+def introduced(text: str, words: Words = _whole) -> list[Span]:
+    """Names that the text's own words introduce, and those joined to them by "and"."""
+    if not _CUES.search(text):
+        return []
+    own = covering([x for _, x in context_names(text, words)])
+    return covering(own + conjunctions(text, own, words))
+
+
 # --- columns ----------------------------------------------------------------------------------------------------------------------
 def may_hold_names(text: Column) -> Column:
     """Texts without one of the words or signs that introduce a name hold none."""
-    return text.rlike("ผู้|มอบอำนาจ|ออกให้|ชื่อ|ข้าพเจ้า|นาย|นาง|น\\.ส\\.|ด\\.[ชญ]\\.|เด็ก|ลำดับที่|[0-9]\\.[ \t]|Name|contact person|M(?:r|s|rs)[. \t]|passport|[A-Z]{2}[0-9]{7}")
+    return text.rlike(NAME_CUES)
 
 
 def detect_names(docs: DataFrame, text_column: str = "text", load: Callable[[], Words] | None = None, out: str = "names") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -433,11 +433,17 @@ def drop_facilities(text: str, spans: list[Span]) -> list[Span]:
     return [x for x in spans if x not in rooms or not idle(x)]
 
 
-def everything(text: str, tagged: list[Span] = ()) -> list[Span]:
-    """The whole detector: structured data, a tagger's spans if there is one, the second look, and one address for each place."""
+def everything(text: str, tagged: list[Span] = (), words: Callable[[str], list[str]] | None = None) -> list[Span]:
+    """The whole detector: structured data, names by the words around them, a tagger's spans if there is one, the second look, names of
+    records, and one address for each place. words: a tokenizer of Thai runs, see names."""
+    from . import names
+
+    own = (words,) if words else ()
     tagged = list(tagged)
-    first = structured(text) + tagged
-    spans = merge_addresses(text, final(first + second_look(text, first)))
+    first = structured(text) + names.introduced(text, *own) + tagged
+    found = first + second_look(text, first)
+    records = names.parallel(text, found)
+    spans = merge_addresses(text, names.prefer_records(final(found + records), records))
     spans = drop_facilities(text, extend_addresses(text, spans, tagged))
     pupils = {(x.s, x.e) for x in tagged if x.kind == "STUDENT_ID"}
     return [x._replace(kind="STUDENT_ID") if x.kind == "ID_NUMBER" and (x.s, x.e) in pupils else x for x in spans]
@@ -452,25 +458,53 @@ def _structured_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _rows(t, structured(t)))
 
 
-@F.pandas_udf(SPAN_TYPE)
-def _everything_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _rows(t, everything(t)))
+TAGGED_TYPE = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("data_type", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def _everything_udf(load: Callable[[], Callable[[str], list[str]]] | None, with_tagged: bool):
+    def spans(text, tagged, words):
+        return _rows(text, everything(text, [Span(x["s"], x["e"], x["data_type"], x["score"], "TB") for x in (() if tagged is None else tagged)], words))
+
+    @F.pandas_udf(SPAN_TYPE)
+    def alone(texts: pd.Series) -> pd.Series:
+        words = load() if load else None
+        return texts.map(lambda t: spans(t, (), words))
+
+    @F.pandas_udf(SPAN_TYPE)
+    def both(texts: pd.Series, tagged: pd.Series) -> pd.Series:
+        words = load() if load else None
+        return pd.Series([spans(t, x, words) for t, x in zip(texts, tagged)], dtype=object)
+
+    return both if with_tagged else alone
 
 
 def may_hold(text: Column) -> Column:
-    """A cheap native test: texts without a digit, "@" or address word hold nothing that a rule could find."""
+    """A cheap native test: texts without a digit, "@" or address word hold no structured data."""
     return text.rlike(r"[0-9๐-๙@]|แขวง|ตำบล|อำเภอ|เขต|จังหวัด|[ตอจ]\.|ซอย|ถนน|ซ\.|ถ\.|นิคม")
 
 
-def detect(docs: DataFrame, text_column: str = "text", layer: str = "all", out: str = "spans") -> DataFrame:
+def detect(docs: DataFrame, text_column: str = "text", layer: str = "all", out: str = "spans", tagged: str | None = None, load: Callable[[], Callable[[str], list[str]]] | None = None) -> DataFrame:
     """docs with an array of spans (s, e, data_type, redact_type, score, value), code-point offsets, no overlaps, in order.
 
-    layer: "structured" for the shapes and checks alone, "all" for the whole detector. Null texts have an empty array.
+    layer: "structured" for the shapes and checks alone, "all" for the whole detector. tagged: a column with a tagger's spans
+    (array<struct<s,e,data_type,score>>), see passes. load: makes a tokenizer of Thai runs, once for each batch. Null texts have an
+    empty array.
     """
+    from .names import may_hold_names
+
     docs = spread(docs)
     text = F.translate(F.coalesce(F.col(text_column), F.lit("")), V.THAI_DIGITS, "0123456789")
-    run = _structured_udf if layer == "structured" else _everything_udf
-    return docs.withColumn(out, F.when(may_hold(text), run(F.when(may_hold(text), text).otherwise(F.lit("")))).otherwise(F.array().cast(SPAN_TYPE)))
+    hit = may_hold(text) if layer == "structured" else may_hold(text) | may_hold_names(text)
+    if tagged:
+        hit = hit | (F.coalesce(F.size(tagged), F.lit(0)) > 0)
+    shipped = F.when(hit, text).otherwise(F.lit(""))
+    if layer == "structured":
+        found = _structured_udf(shipped)
+    elif tagged:
+        found = _everything_udf(load, True)(shipped, F.col(tagged).cast(TAGGED_TYPE))
+    else:
+        found = _everything_udf(load, False)(shipped)
+    return docs.withColumn(out, F.when(hit, found).otherwise(F.array().cast(SPAN_TYPE)))
 
 
 def span_rows(docs: DataFrame, id_column: str = "doc_id", spans: str = "spans") -> DataFrame:
