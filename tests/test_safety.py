@@ -117,6 +117,36 @@ def test_inversions_and_nearest_part():
         assert d == edits(value, text[s:e]) == min(edits(value, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1))
 
 
+def test_nearest_part_is_the_first_and_shortest_at_any_size():
+    import time
+
+    def plain(value, text):
+        row = [(0, -j) for j in range(len(text) + 1)]  # edits, minus the start
+        for i, c in enumerate(value, 1):
+            new = [(i, 0)]
+            for j, d in enumerate(text, 1):
+                new.append(min((row[j - 1][0] + (c != d), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+            row = new
+        end = min(range(len(text) + 1), key=lambda j: (row[j][0], j))
+        return row[end][0], -row[end][1], end
+
+    rng = random.Random(5)
+    for _ in range(400):
+        value, text = "".join(rng.choice("abก") for _ in range(rng.randint(0, 90 if rng.random() < 0.1 else 8))), "".join(rng.choice("abกd") for _ in range(rng.randint(0, 120)))
+        assert benchmark.nearest_part(value, text) == plain(value, text)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    began = time.perf_counter()
+    assert benchmark.nearest_part(text[50_000:50_200], text) == (0, 50_000, 50_200)
+    assert time.perf_counter() - began < 2
+
+
+def test_readings_of_long_texts_are_measured(spark):
+    text = "x" * 500_000 + "สมชาย ใจดี"
+    values = spark.createDataFrame([(1, 0, "สมชาย ใจดี"), (1, 1, "สมชาย ใจด"), (2, 0, "a")], "doc_id long, i int, value string")
+    got = benchmark.reading_accuracy(values, spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.i, r.status, r.accuracy) for r in got) == [(1, 0, "measured", 1.0), (1, 1, "alignment_conflict", 1.0), (2, 0, "skipped", None)]
+
+
 def test_overlaps_of_many_spans_are_quick():
     import time
 

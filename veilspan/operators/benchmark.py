@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import evaluation
+from .structured import Span, Taken
 
 # The types that are scored, and the layers of the slices.
 SHARED = ("THAI_ID", "PHONE", "EMAIL", "BANK_ACCOUNT", "CREDIT_CARD", "PASSPORT", "VEHICLE_PLATE", "STUDENT_ID", "DATE_OF_BIRTH", "NAME", "ADDRESS")
@@ -165,31 +167,48 @@ def validate_draft(records: DataFrame, minimums: dict[str, int] | None = None, t
 
 
 # --- readings ---------------------------------------------------------------------------------------------------------------------
+def distances(value: str, text: str, anchored: bool = False) -> Iterator[int]:
+    """Edits from a value to the part of a text that ends before each character and after the last, with the part's best start; anchored:
+    to the whole text so far. A column of the table of edits is two numbers of a bit for each character of the value."""
+    n = len(value)
+    where: dict[str, int] = {}
+    for i, c in enumerate(value):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last, up, down, edits = (1 << n) - 1, n - 1, (1 << n) - 1, 0, n
+    yield edits
+    for c in text:
+        same = where.get(c, 0)
+        level = (((same & up) + up) ^ up) | same
+        right, left = (down | ~(level | up)) & full, up & level
+        if n:
+            edits += (right >> last & 1) - (left >> last & 1)
+        elif anchored:
+            edits += 1
+        same |= down
+        right, left = (right << 1 | anchored) & full, left << 1 & full
+        up, down = (left | ~(same | right)) & full, right & same
+        yield edits
+
+
 def nearest_part(value: str, text: str) -> tuple[int, int, int]:
     """(edits, start, end) of the part of a text that is closest to a value; the first such, and of those that end there the shortest."""
-    row = [(0, j) for j in range(len(text) + 1)]  # edits, start
-    for i, c in enumerate(value, 1):
-        new = [(i, 0)]
-        for j, d in enumerate(text, 1):
-            new.append(min((row[j - 1][0] + (c != d), -row[j - 1][1]), (row[j][0] + 1, -row[j][1]), (new[j - 1][0] + 1, -new[j - 1][1])))
-            new[j] = (new[j][0], -new[j][1])
-        row = new
-    end = min(range(len(text) + 1), key=lambda j: (row[j][0], j))
-    return row[end][0], row[end][1], end
-
-
-def reading_accuracy(values: DataFrame, texts: DataFrame, most_cells: int = 4_000_000) -> DataFrame:
+    edits, end = min((d, j) for j, d in enumerate(distances(value, text)))
+    length = next(k for k, d in enumerate(distances(value[::-1], text[max(0, end - len(value) - edits) : end][::-1], True)) if d == edits)
+    return edits, end - length, end
+
+
+def reading_accuracy(values: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, i, status, accuracy) of expected values (doc_id, i, value) in texts that were read: 1 - edits / length at the closest
-    part. The best takes its place first; another that needs the same place is in conflict. Too large a table is skipped, and told."""
+    part. The best takes its place first; another that needs the same place is in conflict. A text without characters is skipped."""
     kind = "array<struct<i:int,status:string,accuracy:double>>"
 
     @F.pandas_udf(kind)
     def run(text: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
         for t, rows in zip(text, wanted):
-            done, taken = [], []
+            done, taken = [], Taken()
             for r in rows:
-                if len(r["value"]) * len(t) > most_cells or not t:
+                if not t:
                     done.append((1, 0.0, 0, r["i"], "skipped", None, 0, 0))
                 else:
                     edits, s, e = nearest_part(r["value"], t)
@@ -197,11 +216,8 @@ def reading_accuracy(values: DataFrame, texts: DataFrame, most_cells: int = 4_00
                     done.append((0, -accuracy, edits, r["i"], "measured", accuracy, s, e))
             res = []
             for _, _, _, i, status, accuracy, s, e in sorted(done, key=lambda x: x[:4]):
-                if status == "measured" and s < e:
-                    if any(s < b and a < e for a, b in taken):
-                        status = "alignment_conflict"
-                    else:
-                        taken.append((s, e))
+                if status == "measured" and s < e and not taken.add(Span(s, e, "", 0.0)):
+                    status = "alignment_conflict"
                 res.append({"i": i, "status": status, "accuracy": accuracy})
             out.append(res)
         return pd.Series(out, dtype=object)

@@ -79,7 +79,8 @@ def tag(docs: DataFrame, load: Callable[[], Callable[[str], list[tuple[str, str]
                     rows.append(([], True))
             yield pd.DataFrame({"tokens": [r[0] for r in rows], "skipped": [r[1] for r in rows]})
 
-    return docs.withColumn("_t", run(F.col(text_column))).withColumns({"tokens": F.col("_t.tokens"), "skipped": F.col("_t.skipped")}).drop("_t")
+    # a model is dear: Spark must not move it before the filters and joins that select what is tagged
+    return docs.withColumn("_t", run.asNondeterministic()(F.col(text_column))).withColumns({"tokens": F.col("_t.tokens"), "skipped": F.col("_t.skipped")}).drop("_t")
 
 
 def nearest_prototype(rows: DataFrame, prototypes: DataFrame, least: float = 0.55, vector: str = "embedding", id_column: str = "vec_id") -> DataFrame:

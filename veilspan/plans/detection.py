@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import names
+from ..operators import names, passes, structured, thaiwords
+from .cases import CUSTOMER_ID, thai_id
 from .queries import made, query, table
 
 _GIVEN, _FAMILY = "CASE c_custkey % 3 WHEN 0 THEN 'วิชัย' WHEN 1 THEN 'รัตนา' ELSE 'สมหญิง' END", "CASE c_custkey % 4 WHEN 0 THEN 'แสงวิเชียร' WHEN 1 THEN 'รักถิ่น' WHEN 2 THEN 'ใจดี' ELSE 'ทองอินทร์' END"
@@ -106,3 +107,74 @@ def strategy_route(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "NAME").otherwise("ADDRESS").alias("data_type"))
     both = names.union_route(e.withColumn("engine", F.lit(1).cast("long")), e.withColumn("engine", F.lit(2).cast("long")), "ADDRESS")
     return both.groupBy("engine", "data_type").agg(F.count("*").alias("n"))
+
+
+_LISTED = "นาย อายุ ปี ผู้ติดต่อ โทร".split()
+
+
+@query(f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(3 AS BIGINT) AS s, {_NAME} AS value FROM customer")
+def names_glued(spark, sf):
+    """A title before and a label behind a name without spaces, told apart by a word list."""
+    load = thaiwords.tokenizer(spark.createDataFrame([(w,) for w in _LISTED], "word string"))
+    d = names.detect_names(made(spark, sf, "customer", "c_custkey", f"concat('นาย', {_NAME}, 'อายุ 52 ปี')"), load=load)
+    return d.select("doc_id", F.explode("names").alias("x")).select("doc_id", F.col("x.s").cast("long").alias("s"), "x.value")
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'NAME' AS data_type, {_NAME} AS value FROM customer UNION ALL
+    SELECT CAST(c_custkey AS BIGINT), 'PHONE', concat('08', lpad(CAST(c_custkey AS VARCHAR), 8, '0')) FROM customer""")
+def detected_names(spark, sf):
+    """The whole detector finds a name by its role, and the phone behind it."""
+    d = structured.detect(made(spark, sf, "customer", "c_custkey", f"concat('ผู้ติดต่อ ', {_NAME}, ' โทร 08', lpad(CAST(c_custkey AS STRING), 8, '0'))"))
+    return structured.span_rows(d).select("doc_id", "data_type", "value")
+
+
+def _scripted():
+    """A stand-in for a model: alone, a line gives its two first words as a name; several lines with "!" are one LAW, with "~" it gives
+    first names only; the place is known everywhere."""
+
+    def load():
+        def tagger(text):
+            words = text.split()
+            if "!" in text and "\n" in text:
+                return [(w, ("B-" if i == 0 else "I-") + "LAW") for i, w in enumerate(words)]
+            out = []
+            for line in text.split("\n"):
+                own = line.split()
+                named = len(own) >= 2 and own[0] in ("วิชัย", "รัตนา", "สมหญิง")
+                for i, w in enumerate(own):
+                    tag = "B-PERSON" if named and i == 0 else "I-PERSON" if named and i == 1 and not ("~" in text and "\n" in text) else "B-LOCATION" if w == "เชียงใหม่" else "O"
+                    out.append((w, tag))
+            return out
+
+        return tagger
+
+    return load
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'NAME' AS data_type, {_NAME} AS value FROM customer WHERE c_custkey % 4 < 3 UNION ALL
+    SELECT CAST(c_custkey AS BIGINT), 'LOCATION', 'เชียงใหม่' FROM customer WHERE c_custkey % 4 = 0""")
+def tagged_twice(spark, sf):
+    """A name that the first pass gives, one of a stride that was tagged as nothing, one that goes on to the right, and none."""
+    text = f"CASE c_custkey % 4 WHEN 0 THEN concat({_NAME}, ' อยู่ เชียงใหม่') WHEN 1 THEN concat('ที่ !', chr(10), {_NAME}, chr(10)) WHEN 2 THEN concat('~ รายการ', chr(10), {_NAME}, chr(10)) ELSE 'ไม่มี ใคร' END"
+    docs = made(spark, sf, "customer", "c_custkey", text)
+    rows = passes.tag_twice(docs, _scripted())
+    return rows.join(docs, "doc_id").select("doc_id", "data_type", F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s")).alias("value"))
+
+
+_ID = thai_id(CUSTOMER_ID)
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, kinds FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NAME THAI_ID NAME THAI_ID' WHEN 1 THEN 'ADDRESS:ตำบลบางพระ อาคารใหญ่' WHEN 2 THEN '' ELSE 'STUDENT_ID' END AS kinds FROM customer)""")
+def tagger_in_detector(spark, sf):
+    """What a tagger's spans do in the detector: a record's line is a name though tagged as a place; an address grows over the tagger's;
+    a room in a booking is nothing; a number that the tagger knows for a student's is one."""
+    text = f"CASE c_custkey % 4 WHEN 0 THEN concat({_NAME}, chr(10), {_ID}, chr(10), 'ชูใจ รักดี', chr(10), {_ID}) WHEN 1 THEN 'ที่อยู่ ตำบลบางพระ อาคารใหญ่' WHEN 2 THEN 'ขอจองใช้ ห้องประชุม 301 ในวันนี้' ELSE 'หมายเลข 65012345 ครับ' END"
+    d = made(spark, sf, "customer", "c_custkey", text)
+    k = F.col("doc_id") % 4
+    span = lambda s, e, kind: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lit(kind).alias("data_type"), F.lit(0.85).alias("score"))
+    at = lambda v: (F.locate(v, "text") - 1, F.locate(v, "text") - 1 + len(v))
+    first = F.locate("\n", "text") - 1
+    tagged = F.when(k == 0, F.array(span(F.lit(0), first, "NAME"), span(*at("ชูใจ รักดี"), "LOCATION"))).when(k == 1, F.array(span(*at("ตำบลบางพระ อาคารใหญ่"), "ADDRESS"))).when(k == 2, F.array(span(*at("ห้องประชุม 301"), "LOCATION"))).otherwise(F.array(span(*at("65012345"), "STUDENT_ID")))
+    out = structured.detect(d.withColumn("tagged", tagged), tagged="tagged")
+    kinds = F.array_join(F.transform("spans", lambda x: F.when(F.col("doc_id") % 4 == 1, F.concat_ws(":", x.data_type, x.value)).otherwise(x.data_type)), " ")
+    return out.select("doc_id", kinds.alias("kinds"))
