@@ -95,3 +95,30 @@ def test_texts_that_repeat_themselves_give_few_rows(spark, n):
         assert len(mine) <= 2 + 2 * n // 40
         for s in range(0 if d == 1 else 1, e - 50):
             assert any(r.start_word <= s and r.start_word + r.n_words >= s + 50 for r in mine), s
+
+
+def test_no_words_go_that_no_kept_document_has(spark):
+    """1 and 2, 2 and 3 are alike, 1 and 3 are not: 2 goes, 3 stays. And what two documents share exactly goes also behind a third."""
+    rng = random.Random(64)
+    p = words(rng, 100)
+    q = [w if i % 7 else f"two{i}" for i, w in enumerate(p)]
+    r = [w if i % 7 != 3 else f"three{i}" for i, w in enumerate(q)]
+    x, y = words(rng, 60), words(rng, 70)
+    rows = [(1, p), (2, q), (3, r), (10, x), (11, x + y), (12, words(rng, 30) + x + y), (13, y + words(rng, 30))]
+    d = spark.createDataFrame([(i, " ".join(words(rng, 40) + t)) for i, t in rows], DOCS).repartition(3)
+    kept = {k.doc_id: k.text.split()[40:] for k in passages.remove_repeats(d).collect()}
+    assert kept[1] == p and len(kept[2]) <= 4 and kept[3] == r  # changed words at the ends are no part of it
+    assert kept[10] == x and kept[11] == y and len(kept[12]) == 30 and kept[13] == rows[-1][1][70:]
+
+
+@pytest.mark.parametrize("taken,want", [
+    ([], [(5, 100)]), ([(0, 30)], [(25 + 6, 74)]), ([(100, 130)], [(5, 84)]), ([(40, 60)], [(5, 24), (61, 44)]), ([(0, 200)], []), ([(12, 108)], []),
+])
+def test_free_parts(taken, want):
+    """A passage of 100 words from word 5, which lies at 10 to 110 of the earlier document; six words did not align."""
+    import pyarrow as pa
+
+    row = {"doc_id": 1, "start_word": 5, "n_words": 100, "ref_start_word": 10, "ref_n_words": 100, "matched_words": 94, "_taken": [{"s": s, "e": e} for s, e in taken]}
+    (batch,) = passages._free_parts(0.0)([pa.RecordBatch.from_pylist([row], pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in ("start_word", "n_words", "ref_start_word", "ref_n_words", "matched_words")), ("_taken", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]))])
+    got = [(r["start_word"], r["n_words"]) for r in batch.to_pylist()]
+    assert got == [x for x in want if x[1] - 6 >= 0]

@@ -568,17 +568,58 @@ def _align_all(own: DataFrame, chains: DataFrame, k: int, min_words: int, identi
     return materialize(met.mapInArrow(_aligned(k, min_words, identity), _HIT))
 
 
+def _free_parts(identity: float):
+    """Passages and the stretches that their earlier document may lose itself, to the parts whose counterpart it surely keeps.
+
+    A part's counterpart is found by its distance from the passage's start, which insertions and deletions may move by as many words as
+    did not align: so many are left at an end that is not the passage's own, and the part must be alike even if all of them lie in it.
+    """
+
+    def run(frames):
+        for batch in frames:
+            out = []
+            for r in batch.to_pylist():
+                s, n, rs, rn = r["start_word"], r["n_words"], r["ref_start_word"], r["ref_n_words"]
+                slack = max(n, rn) - r["matched_words"]
+                at = rs
+                for lo, hi in [*sorted((x["s"], x["e"]) for x in r["_taken"]), (rs + rn, rs + rn)]:
+                    if lo > at and at < rs + rn:
+                        end = min(lo, rs + rn)
+                        a = s if at == rs else s + (at - rs) + slack
+                        b = s + n if end == rs + rn else s + (end - rs) - slack
+                        if b > a and b - a - slack >= identity * (b - a):
+                            out.append((r["doc_id"], a, b - a))
+                    at = max(at, hi)
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "start_word", "n_words"])
+
+    return run
+
+
+def _cuts(found: DataFrame, identity: float) -> DataFrame:
+    """(doc_id, start_word, n_words): what goes of the documents. Only words go whose counterpart stays: an earlier document keeps what
+    is in none of its own passages, so through a row of documents, each like the one before, nothing is lost that no other has."""
+    taken = found.groupBy(F.col("doc_id").alias("_ref")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))).alias("_taken"))
+    met = found.join(taken, found.ref_doc_id == taken._ref, "left")
+    rest = met.where(F.col("_taken").isNotNull()).select("doc_id", "start_word", "n_words", "ref_start_word", "ref_n_words", "matched_words", "_taken")
+    parts = rest.mapInArrow(_free_parts(identity), "doc_id long, start_word int, n_words int")
+    return met.where(F.col("_taken").isNull()).select("doc_id", "start_word", "n_words").unionByName(parts)
+
+
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs without the passages that an earlier document has: their words go, with the white space after them.
 
-    Same columns and rows, n_chars following the text if there is one; a document whose whole text is a repeat goes. Rows without an
+    A passage goes only as far as the earlier document keeps its own: of a row of documents, each like the one before but not like the
+    first, the first and the third keep theirs. Same columns and rows, n_chars following the text if there is one; a document whose
+    whole text is a repeat goes. Rows without an
     id or text stay as they are, as do empty texts. Of rows with one id, one keeps its place and the others count as documents after
     all others; each row loses its own passages only. Ties: of equal texts the one of smallest doc_id stays.
     """
     rows, key, _ = numbered(docs)
-    found = _repeats(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), *({"min_words": MIN_WORDS, "identity": IDENTITY, "k": K, "window": WINDOW} | options).values())
+    options = {"min_words": MIN_WORDS, "identity": IDENTITY, "k": K, "window": WINDOW} | options
+    found = _repeats(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), *options.values())
     own, spans, hit = (free_name(rows, c) for c in ("_cut_key", "_cuts", "_hit"))
-    cuts = found.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start_word", "n_words")).alias(spans))
+    cuts = _cuts(found, options["identity"]).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start_word", "n_words")).alias(spans))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
