@@ -174,3 +174,61 @@ def test_long_templates_match(spark):
     d = spark.createDataFrame([(1, words(rng, 50) + "\n" + long + "\n" + words(rng, 50)), (2, words(rng, 50) + "\n" + "\n".join(textwrap.wrap(long, 76)))], DOCS)
     got = {r.doc_id: r for r in licenses.scan(d, templates={"LONG": long}).collect()}
     assert got[1].exact and got[2].exact
+
+
+# --- gradients --------------------------------------------------------------------------------------------------------------------
+def test_toxicity_steps_go_down_the_penalised_loss():
+    """The loss that _fit states, computed plainly, falls to where no small change of a weight lowers it by much."""
+    import numpy as np
+
+    from veilspan.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    n, d, penalty, ridge = 60, 6, 4.0, 1e-2
+    x = rng.random((n, d)) < 0.4
+    x[:, 5] = rng.random(n) < 0.5
+    y = (x[:, 0] | (rng.random(n) < 0.1)).astype(float)
+    pair = np.flatnonzero(x[:, 5])
+    twin = x[pair].copy()
+    twin[:, 5], twin[:, 4] = False, True
+    rows, cols = np.nonzero(x)
+    trows, tcols = np.nonzero(twin)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    balance = np.sqrt(balance / balance.mean())
+
+    def loss(w, b):
+        z, zs = b + x @ w, b + twin @ w
+        p, ps = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-zs))
+        fit = -(balance * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+        return fit + ridge * (w**2).sum() + penalty * ((p[pair] - ps) ** 2).mean() + 0.01 * penalty * ((z[pair] - zs) ** 2).mean()
+
+    w, b = toxicity._fit(rows, cols, n, d, y, pair, trows, tcols, penalty, ridge, steps=3000, rate=0.02)
+    base = loss(w, b)
+    slopes = [(loss(w + 1e-4 * e, b) - loss(w - 1e-4 * e, b)) / 2e-4 for e in np.eye(d)]
+    # the copies' bias is not moved by the penalty: w alone must be at a minimum where the pairs' own slope is met
+    assert base < loss(np.zeros(d), b) and np.abs(slopes).max() < 0.02, slopes
+
+
+def test_toxicity_threshold_is_chosen_inside_the_training_folds():
+    """Errors of left-out rows counted plainly: where one feature is right and twenty are noise, surer is better."""
+    import numpy as np
+
+    from veilspan.llm import toxicity
+
+    rng = np.random.default_rng(9)
+    n, d = 240, 21
+    y = (np.arange(n) % 3 == 0).astype(float)
+    x = rng.random((n, d)) < 0.25
+    x[:, 0] = y == 1
+    lists = [np.flatnonzero(r).astype(np.int32).tobytes() for r in x]
+    sparse = toxicity._Sparse(lists)
+    every = np.ones(n, bool)
+    assert toxicity._strong(sparse, every, y, d, 3.0)[0]
+    plain = [((x[:, j] & (y == 1)).sum(), (x[:, j] & (y == 0)).sum()) for j in range(d)]
+    for sure in toxicity.SURE:
+        lift = [np.log((p + 0.5) / 81) - np.log((q + 0.5) / 161) for p, q in plain]
+        want = [p >= 3 and v > 1 and v > sure * np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) for (p, q), v in zip(plain, lift)]
+        assert toxicity._strong(sparse, every, y, d, sure).tolist() == want
+    none = toxicity._Sparse([])
+    assert toxicity._cross_validated(sparse, none, np.zeros(0, np.int64), y, np.zeros(d, bool), 4.0, 2e-5) == max(toxicity.SURE)
+

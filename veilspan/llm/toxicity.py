@@ -20,7 +20,8 @@ from ._util import discard, fold, free_name, materialize, text_of
 
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 MAX_TRAIN = 12_000  # labelled texts that are fitted on, at most
-SURE = 1.5  # standard errors by which a feature's lift must differ from none
+SURE = (1.0, 1.5, 2.0, 3.0)  # standard errors by which a feature's lift must differ from none: cross-validation takes one of these
+FOLDS, FOLD_STEPS = 3, 100  # of the cross-validation
 THRESHOLD = 0.3
 # Terms for groups of people; those of a line are swapped for one another.
 IDENTITIES: tuple[tuple[str, ...], ...] = (
@@ -136,8 +137,52 @@ def _fit(rows, cols, n, d, y, pair, pair_rows, pair_cols, penalty: float, ridge:
     return w, b
 
 
+class _Sparse:
+    """Feature numbers of rows, as parallel arrays of row and feature."""
+
+    def __init__(self, lists: list[bytes]):
+        arrays = [np.frombuffer(x, np.int32) for x in lists]
+        self.n = len(arrays)
+        self.rows, self.cols = np.repeat(np.arange(self.n), [len(x) for x in arrays]), np.concatenate([*arrays, np.zeros(0, np.int32)])
+
+    def part(self, rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of some rows (a mask), numbered anew, and of some features (a mask)."""
+        keep = rows[self.rows] & features[self.cols]
+        return (np.cumsum(rows) - 1)[self.rows[keep]], self.cols[keep]
+
+
+def _strong(x: _Sparse, rows: np.ndarray, y: np.ndarray, d: int, sure: float) -> np.ndarray:
+    """Which features toxic rows have clearly more often, among some rows."""
+    counts = [np.bincount(x.cols[(rows & (y == kind))[x.rows]], minlength=d) for kind in (1, 0)]
+    ones, zeros = int((rows & (y == 1)).sum()), int((rows & (y == 0)).sum())
+    lift = np.log((counts[0] + 0.5) / (ones + 1.0)) - np.log((counts[1] + 0.5) / (zeros + 1.0))
+    error = np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
+    return (counts[0] >= max(3, ones // 400)) & (lift > 1.0) & (lift > sure * error)
+
+
+def _learn(x: _Sparse, twins: _Sparse, paired: np.ndarray, y: np.ndarray, rows: np.ndarray, features: np.ndarray, penalty: float, ridge: float, steps: int):
+    """Weights and bias from some rows and features."""
+    have = rows[paired] if len(paired) else np.zeros(0, bool)
+    return _fit(*x.part(rows, features), int(rows.sum()), len(features), y[rows], (np.cumsum(rows) - 1)[paired[have]], *twins.part(have, features), penalty, ridge, steps)
+
+
+def _cross_validated(x: _Sparse, twins: _Sparse, paired: np.ndarray, y: np.ndarray, always: np.ndarray, penalty: float, ridge: float, sures=SURE) -> float:
+    """The threshold of evidence with the fewest errors on rows of the training folds that were left out in turn; ties to the largest."""
+    fold, errors = np.arange(len(y)) % FOLDS, dict.fromkeys(sures, 0)
+    for k in range(FOLDS):
+        rows = fold != k
+        if len(set(y[rows])) < 2 or rows.all():
+            continue
+        for sure in sures:
+            w, b = _learn(x, twins, paired, y, rows, _strong(x, rows, y, len(always), sure) | always, penalty, ridge, FOLD_STEPS)
+            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(x.rows, w[x.cols], x.n), -40, 40)))
+            errors[sure] += int(((p >= THRESHOLD) != (y == 1))[~rows].sum())
+    return min(sures, key=lambda s: (errors[s], -s))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", penalty: float = 4.0, ridge: float = 2e-5, identities=IDENTITIES, max_train: int = MAX_TRAIN, seed: int = 3) -> Model:
-    """Fits on at most max_train labelled texts, picked by a hash of the id. Labels: one row for each id counts, the largest.
+    """Fits on at most max_train labelled texts, picked by a hash of the id. Labels: one row for each id counts, the largest. How sure a
+    feature must be is chosen by cross-validation among these texts.
 
     Features are counted in all texts of the sample; those that toxic texts have clearly more often are used. Null labels, labels
     without a document and documents without a label take no part; null texts count as empty, rows that share an id are rows of their
@@ -170,12 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     # evidence for toxicity alone: words that clean texts use more often say nothing about the rest of a text
     lift = F.log((F.col("pos") + 0.5) / (kinds[1] + 1.0)) - F.log((F.col("neg") + 0.5) / (kinds[0] + 1.0))
     error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    strong = counts.where((F.col("pos") >= least) & (lift > 1.0) & (lift > SURE * error)).select("f").toPandas()  # as many as a bounded sample can show
+    strong = counts.where((F.col("pos") >= least) & (lift > 1.0) & (lift > min(SURE) * error)).select("f").toPandas()  # as many as a bounded sample can show
     keys = strong.f.to_numpy(np.int64).view(np.uint64)
     swap = swapper(identities)
-    if identities:
-        keys = np.concatenate([keys, occurrences(pa.array([t for g in identities for t in g]))[1]])
-    look_keys = np.unique(keys)
+    named = occurrences(pa.array([t for g in identities for t in g], pa.string()))[1]
+    look_keys = np.unique(np.concatenate([keys, named]))
+    always = np.isin(look_keys, named)
 
     def hits(frames):
         lookup = Lookup(look_keys)
@@ -193,13 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     discard(sample)
     paired = [i for i, r in enumerate(found) if r.twin is not None]
 
-    def sparse(lists):
-        lists = [np.frombuffer(x, np.int32) for x in lists]
-        return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
-
-    y = np.array([r.y for r in found], float)
-    w, b = _fit(*sparse([r["at"] for r in found]), len(found), len(look_keys), y, np.array(paired, np.int64), *sparse([found[i]["twin"] for i in paired]), penalty, ridge)
-    return Model(look_keys, w, b)
+    x, twins = _Sparse([r["at"] for r in found]), _Sparse([found[i]["twin"] for i in paired])
+    y, paired, every = np.array([r.y for r in found], float), np.array(paired, np.int64), np.ones(len(found), bool)
+    sure = _cross_validated(x, twins, paired, y, always, penalty, ridge)
+    chosen = _strong(x, every, y, len(look_keys), sure) | always
+    w, b = _learn(x, twins, paired, y, every, chosen, penalty, ridge, 300)
+    return Model(look_keys[chosen], w[chosen], b)
 
 
 def score_column(model: Model, text_column: str = "text"):
