@@ -97,6 +97,14 @@ def test_heads_without_an_end_tag_do_not_swallow_the_page(spark, end, body):
     assert got[0].text.split() == ("A title " + text).split()
 
 
+@pytest.mark.parametrize("extra", ["<button class=x>Click me now</button>", "<div style='color:red; display: none'><p>Nobody sees this line of text</p></div>", "<p hidden>Nobody sees this line of text</p>"])
+def test_controls_and_hidden_text_are_no_text(spark, extra):
+    text = "First words of a text that is long enough to be one. " * 3
+    html = f"<html><body><article><h1>A title</h1><p>{text}</p>{extra}<p>{text}</p></article></body></html>"
+    got = extraction.extract(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert got[0].text.split() == ("A title " + text + text).split()
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------------------
 def test_wrapped_licenses_are_found_whole(spark):
     names = ["MIT", "BSD-2-Clause", "ISC", "Apache-2.0"]

@@ -313,15 +313,31 @@ def default_model() -> Model:
     return train(labelled_pages())
 
 
+_UNSEEN = re.compile(r"(?:^| )hidden=|style=[^=]*display\s*:\s*none", re.I)
+
+
+def unseen(page: Page) -> list[bool]:
+    """Nodes that are controls or that no reader sees: buttons, and what an attribute hides, with all below them."""
+    out: list[bool] = []
+    for tag, attrs, parent in zip(page.tags, page.attrs, page.parent):
+        out.append(parent >= 0 and out[parent] or tag == "button" or bool(attrs) and _UNSEEN.search(attrs) is not None)
+    return out
+
+
 def main_text(pages: list[Page], model: Model, threshold: float = 0.5) -> list[str]:
-    """Content blocks of each page in page order, joined by one space."""
-    return [" ".join(t for node, t in page.blocks if p[node] >= threshold) for page, p in zip(pages, model.marginals(pages))]
+    """Content blocks of each page in page order, joined by one space; none that is a button's or hidden."""
+    out = []
+    for page, p in zip(pages, model.marginals(pages)):
+        gone = unseen(page)
+        out.append(" ".join(t for node, t in page.blocks if p[node] >= threshold and not gone[node]))
+    return out
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each page; the text is empty where nothing is content. No shuffle.
 
-    Null html is empty. Repeated rows are rows. Further columns are ignored, whatever their names.
+    Null html is empty. Repeated rows are rows. Very long pages are read whole, up to 128 of a batch at a time. An empty table gives an
+    empty result. Further columns are ignored, whatever their names.
     """
     model = model or default_model()
 

@@ -73,13 +73,13 @@ def pack(items: DataFrame, id_column: str = "doc_id", length_column: str = "n_to
     """One row for each item, or for each piece of an item longer than the largest capacity: where it lies.
 
     Null or negative lengths count as 0; empty items take no room but still get a bin. Null and repeated ids are packed row by row.
-    Ties of length go by row. An empty table gives an empty result. Further columns of items are ignored, whatever their names.
+    Shards hold about shard_items pieces, also where they are those of a few very long items. Ties of length go by row. An empty table gives an empty result. Further columns of items are ignored, whatever their names.
     """
     top = max(capacities)
     n = F.greatest(F.coalesce(F.col(length_column).cast("long"), F.lit(0)), F.lit(0))
     rows = materialize(items.select(F.col(id_column).cast("long").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("row")))
-    shards = max(1, -(-rows.count() // shard_items))
     last = F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0))
+    shards = max(1, -(-(rows.agg(F.sum(last + 1)).first()[0] or 0) // shard_items))  # of pieces: a few long items have many
     pieces = rows.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece"))
     pieces = pieces.select(
         "doc_id", "piece", "row", (F.col("piece").cast("long") * top).alias("start"),

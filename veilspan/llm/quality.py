@@ -189,7 +189,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Net | None:
-    """Fits on at most max_positive trusted texts and max_unlabelled texts of which no label is looked at, picked by hashes of id and text.
+    """Fits on at most max_positive trusted texts and max_unlabelled texts of which no label is looked at, picked by hashes of id, text
+    and place in the table: a task that runs again picks the same.
 
     An id with a label 1 and another label is not trusted; null labels count as none, null texts as empty. Rows that share an id are
     rows of their own. None if there is no trusted text.
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     trusted = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias(key)).agg(F.min(F.col(label_column).cast("int")).alias("_y")).where(F.col("_y") == 1)
     trusted = trusted.orderBy(F.xxhash64(key, F.lit(5)), key).limit(max_positive).select(F.col(key).alias("_id"))  # ids alone: safe to broadcast
     texts = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text"))
-    texts = texts.withColumn("_h", F.xxhash64("_id", "_text", F.lit(6)))
+    texts = texts.withColumn("_h", F.xxhash64("_id", "_text", F.monotonically_increasing_id(), F.lit(6)))  # equal rows are drawn one by one
     own = texts.join(F.broadcast(trusted), "_id").select(F.lit(1).alias("p"), "_text", "_h")
     other = texts.where(share_of(docs.count(), max_unlabelled + max_unlabelled // 8, "_h")).select(F.lit(0).alias("p"), "_text", "_h")
 
