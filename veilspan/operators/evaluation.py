@@ -50,32 +50,26 @@ def summary(matches: DataFrame, slices: DataFrame) -> DataFrame:
     return out.withColumns(rates())
 
 
-def _union(spans_: Column) -> Column:
-    """Disjoint intervals that cover the same characters."""
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.s.alias("s"), F.greatest(last.e, x.e).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.coalesce(last.e, F.lit(-1)) >= x.s), joined).otherwise(F.concat(acc, F.array(F.struct(x.s.alias("s"), x.e.alias("e")))))
-
-    return F.aggregate(F.array_sort(spans_), empty, add)
-
-
-def _size(intervals: Column) -> Column:
-    return F.aggregate(intervals, F.lit(0), lambda a, x: a + x.e - x.s)
+def _covered(spans_: Column) -> Column:
+    """How many characters the intervals cover together: one pass over them in order, with the end reached so far."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    step = lambda a, x: F.struct((a.n + F.greatest(x.e - F.greatest(x.s, a.end), F.lit(0))).alias("n"), F.greatest(a.end, x.e).alias("end"))
+    return F.aggregate(F.array_sort(spans_), start, step, lambda a: a.n.cast("long"))
 
 
 def coverage(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(doc_id, gold_chars, predicted_chars, common_chars), whatever the types; by intervals, not by single characters."""
+    """(doc_id, gold_chars, predicted_chars, common_chars), whatever the types; by intervals, not by single characters.
+
+    What both have in common is what they cover each, less what they cover together; so no interval meets another.
+    """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("doc_id").agg(_union(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias(name))
+        return df.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))).alias(name))
 
     both = side(gold, "g").join(side(predicted, "p"), "doc_id", "full")
     none = F.array().cast("array<struct<s:int,e:int>>")
     g, p = F.coalesce("g", none), F.coalesce("p", none)
-    common = F.aggregate(g, F.lit(0), lambda a, x: a + F.aggregate(p, F.lit(0), lambda b, y: b + F.greatest(F.least(x.e, y.e) - F.greatest(x.s, y.s), F.lit(0))))
-    return both.select("doc_id", _size(g).cast("long").alias("gold_chars"), _size(p).cast("long").alias("predicted_chars"), common.cast("long").alias("common_chars"))
+    out = both.select("doc_id", _covered(g).alias("gold_chars"), _covered(p).alias("predicted_chars"), _covered(F.concat(g, p)).alias("_either"))
+    return out.select("doc_id", "gold_chars", "predicted_chars", (F.col("gold_chars") + F.col("predicted_chars") - F.col("_either")).alias("common_chars"))
 
 
 def exact(gold: DataFrame, predicted: DataFrame) -> DataFrame:

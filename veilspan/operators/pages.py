@@ -12,6 +12,7 @@ from . import identifiers
 
 SEPARATOR = "\n\n"
 SAME_PLACE, SAME_WORD = 0.5, 0.3  # share of the smaller box that two boxes have in common
+STRIP = 64  # characters of a text that spans and words meet in
 SURE, REVIEW = 0.9, 0.7  # confidence that ends the attempts; below which a person looks
 
 
@@ -37,6 +38,41 @@ def shared_area(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(wide * high, F.least(c(a, "width") * c(a, "height"), c(b, "width") * c(b, "height"))), F.lit(0.0))
 
 
+def meet(a: DataFrame, b: DataFrame, names: tuple[str, str], least: float) -> DataFrame:
+    """(doc_id, page, a row of a, a row of b) of boxes of one page that share at least that much of the smaller one's area.
+
+    Boxes are dealt to the cells of a grid over their page, with no more cells than the page has boxes and none smaller than a usual
+    box. Two boxes meet in each cell that both touch and are told once, by the first of these. So a page's work grows with its boxes
+    and with the pairs that overlap, and one page is many groups. Boxes without a size or place share no area.
+    """
+    place = ("doc_id", "page", "x", "y", "width", "height")
+    sized = (F.col("width") > 0) & (F.col("height") > 0)
+    extent = lambda at, size: F.max(F.col(at) + F.col(size)) - F.min(at)
+    root = F.sqrt(F.count("*"))
+    grid = a.select(*place).unionByName(b.select(*place)).where(sized).groupBy("doc_id", "page").agg(
+        F.min("x").alias("_x"), F.min("y").alias("_y"), F.greatest(F.avg("width"), extent("x", "width") / root).alias("_w"), F.greatest(F.avg("height"), extent("y", "height") / root).alias("_h"))
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        def cell(axis: str, size: str, end: bool) -> Column:
+            far = F.col(axis) + F.col(size) if end else F.col(axis)
+            return F.floor((far - F.col("_" + axis)) / F.col("_" + size[0])).cast("int")
+
+        across = F.sequence(cell("x", "width", False), cell("x", "width", True))
+        touched = F.flatten(F.transform(F.sequence(cell("y", "height", False), cell("y", "height", True)), lambda y: F.transform(across, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+        d = df.where(sized).join(grid, ["doc_id", "page"])
+        first = cell("x", "width", False).alias(f"_{name}_x0"), cell("y", "height", False).alias(f"_{name}_y0")
+        d = d.select("doc_id", "page", *(F.col(c).alias(f"_{name}.{c}") for c in df.columns), *first, F.explode(touched).alias("_cell"))
+        return d.withColumns({"_cx": F.col("_cell.x"), "_cy": F.col("_cell.y")}).drop("_cell")
+
+    def row(df: DataFrame, name: str) -> Column:
+        return F.struct(*(F.col(f"`_{name}.{c}`").alias(c) for c in df.columns)).alias(name)
+
+    left, right = names
+    met = cells(a, left).join(cells(b, right), ["doc_id", "page", "_cx", "_cy"])
+    once = (F.col("_cx") == F.greatest(f"_{left}_x0", f"_{right}_x0")) & (F.col("_cy") == F.greatest(f"_{left}_y0", f"_{right}_y0"))
+    return met.where(once).select("doc_id", "page", row(a, left), row(b, right)).where(shared_area(left, right) >= least)
+
+
 def _key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]", ""))
 
@@ -53,8 +89,7 @@ def _values(text: Column) -> Column:
 def merge_layers(layer: DataFrame, read: DataFrame) -> DataFrame:
     """Words of the text layer and, after them, what recognition read besides: a word over layer words that says the same goes, one
     that says more keeps the rest, and one with a structured value that the layer lacks stays whole. source: layer or ocr."""
-    pairs = read.alias("r").join(layer.alias("l"), (F.col("r.doc_id") == F.col("l.doc_id")) & (F.col("r.page") == F.col("l.page"))).where(shared_area("r", "l") >= SAME_PLACE)
-    under = pairs.groupBy("r.doc_id", "r.page", "r.i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l.x", "l.i", "l.text"))), lambda w: w.text), "").alias("_under"))
+    under = meet(read, layer, ("r", "l"), SAME_PLACE).groupBy("doc_id", "page", F.col("r.i").alias("i")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l.x", "l.i", "l.text"))), lambda w: w.text), "").alias("_under"))
     d = read.join(under, ["doc_id", "page", "i"], "left")
     mine, theirs = _key(F.col("text")), _key(F.coalesce("_under", F.lit("")))
     own, known = _values(F.col("text")), _values(F.coalesce("_under", F.lit("")))
@@ -74,16 +109,15 @@ def merge_attempts(words: DataFrame, confidences: DataFrame) -> tuple[DataFrame,
     rank = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("confidence"), "attempt"))
     ranked = confidences.withColumn("rank", rank)  # a few rows for each page
     w = words.join(ranked, ["doc_id", "page", "attempt"]).withColumns({"_key": _key(F.col("text")), "_values": _values(F.col("text"))})
-    a, b = w.alias("a"), w.select("doc_id", "page", "rank", "i", "x", "y", "width", "height", "_key", "_values").alias("b")
-    page = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("b.rank") < F.col("a.rank"))
-    before = a.join(b, page & (shared_area("a", "b") >= SAME_WORD)).groupBy("a.doc_id", "a.page", "a.rank", "a.i").agg(F.max((F.col("a._key") == F.col("b._key")).cast("int")).alias("_said"), F.lit(True).alias("_met"))
+    over = meet(w.select("doc_id", "page", "rank", "i", "x", "y", "width", "height", "_key"), w.select("doc_id", "page", "rank", "x", "y", "width", "height", "_key"), ("a", "b"), SAME_WORD).where("b.rank < a.rank")
+    before = over.groupBy("doc_id", "page", F.col("a.rank").alias("rank"), F.col("a.i").alias("i")).agg(F.max((F.col("a._key") == F.col("b._key")).cast("int")).alias("_said"), F.lit(True).alias("_met"))
     seen = w.select("doc_id", "page", "rank", F.explode("_values").alias("v")).groupBy("doc_id", "page", "v").agg(F.min("rank").alias("_first"))
     new = w.select("doc_id", "page", "rank", "i", F.explode("_values").alias("v")).join(seen, ["doc_id", "page", "v"]).where("rank = _first").groupBy("doc_id", "page", "rank", "i").agg(F.lit(True).alias("_new"))
     d = w.join(before, ["doc_id", "page", "rank", "i"], "left").join(new, ["doc_id", "page", "rank", "i"], "left")
     keep = (F.col("rank") == 1) | F.col("_met").isNull() | ((F.col("_said") == 0) & F.coalesce("_new", F.lit(False)))
     kept = d.where(keep)
     used = kept.groupBy("doc_id", "page").agg(F.min("confidence").alias("confidence"))
-    return kept.select(words.columns).orderBy("doc_id", "page", "y", "x"), used.withColumn("human_review", F.col("confidence") < REVIEW)
+    return kept.select(words.columns), used.withColumn("human_review", F.col("confidence") < REVIEW)
 
 
 def more_attempts(confidences: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
@@ -95,9 +129,14 @@ def more_attempts(confidences: DataFrame, least: int = 2, most: int = 3) -> Data
 
 def boxes_of(spans: DataFrame, words: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Boxes of the words that each span (doc_id, s, e) touches, and spans of which some character but white space has no box."""
-    a, b = spans.alias("a"), words.alias("b")
-    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.s") < F.col("a.e")) & (F.col("a.s") < F.col("b.e")))
-    rows = met.select("a.doc_id", "a.s", "a.e", "b.page", "b.x", "b.y", "b.width", "b.height", F.greatest("a.s", "b.s").alias("_s"), F.least("a.e", "b.e").alias("_e"))
+    def strips(df: DataFrame, name: str) -> DataFrame:
+        first, last = F.floor(F.col("s") / STRIP), F.floor(F.greatest(F.col("e") - 1, F.col("s")) / STRIP)
+        return df.select("doc_id", *(F.col(c).alias(f"_{name}_{c}") for c in df.columns if c != "doc_id"), first.alias(f"_{name}_first"), F.explode(F.sequence(first, last)).alias("_strip"))
+
+    met = strips(spans.select("doc_id", "s", "e"), "a").join(strips(words.select("doc_id", "s", "e", "page", "x", "y", "width", "height"), "b"), ["doc_id", "_strip"])
+    met = met.where((F.col("_strip") == F.greatest("_a_first", "_b_first")) & (F.col("_b_s") < F.col("_a_e")) & (F.col("_a_s") < F.col("_b_e")))
+    boxes = (F.col(f"_b_{c}").alias(c) for c in ("page", "x", "y", "width", "height"))
+    rows = met.select("doc_id", F.col("_a_s").alias("s"), F.col("_a_e").alias("e"), *boxes, F.greatest("_a_s", "_b_s").alias("_s"), F.least("_a_e", "_b_e").alias("_e"))
     value = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
     solid = F.length(F.regexp_replace(value, r"(?U)\s", ""))
     piece = F.length(F.regexp_replace(F.substring(F.col("text"), F.col("_s") + 1, F.col("_e") - F.col("_s")), r"(?U)\s", ""))
