@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,14 +23,13 @@ TTL_MS = 30 * 60 * 1000
 OUT = "session_id string, message_id long, masked string, tokens int, expired boolean"
 
 
-def mask_message(text: str, session: str, pairs: dict[str, str], salt: str = "") -> str:
-    """Masked text; pairs (type|original to token) grows by what is new."""
-    spans = everything(text)
+def rewritten(text: str, spans: list, session: str, pairs: dict[str, str], numbers: dict[str, int], salt: str = "") -> str:
+    """text with a token for each span; pairs (type|original to token) and numbers (values of each type) grow by what is new."""
+    letters = hashlib.sha256(f"{salt}|{session}".encode()).hexdigest().translate(str.maketrans("0123456789", "abcdefabcd"))[:25]
     for x in reversed(spans):
         key = f"{x.kind}|{text[x.s : x.e]}"
         if key not in pairs:
-            n = 1 + sum(k.startswith(x.kind + "|") for k in pairs)
-            letters = hashlib.sha256(f"{salt}|{session}".encode()).hexdigest().translate(str.maketrans("0123456789", "abcdefabcd"))[:25]
+            numbers[x.kind] = n = numbers.get(x.kind, 0) + 1
             nonce = hashlib.sha256(f"{salt}|{session}|{key}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:20]
             pairs[key] = f"[{TOKEN_LABELS.get(x.kind, x.kind)}_{letters}_{nonce}_{n}]"
     out, at = [], 0
@@ -39,6 +39,11 @@ def mask_message(text: str, session: str, pairs: dict[str, str], salt: str = "")
     return "".join(out) + text[at:]
 
 
+def mask_message(text: str, session: str, pairs: dict[str, str], salt: str = "") -> str:
+    """Masked text; pairs (type|original to token) grows by what is new."""
+    return rewritten(text, everything(text), session, pairs, dict(Counter(key.split("|", 1)[0] for key in pairs)), salt)
+
+
 def mask_stream(messages: DataFrame, ttl_ms: int = TTL_MS, salt: str = "") -> DataFrame:
     """(session_id, message_id, masked, tokens, expired) for a stream of (session_id, message_id, text).
 
