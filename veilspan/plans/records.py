@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import identifiers, pages, receipts
-from ..streaming import jobs
+from ..operators import benchmark, evaluation, identifiers, pages, receipts
+from ..streaming import jobs, state
 from .queries import made, query, table
 
 
@@ -149,3 +149,38 @@ def trusted_texts(spark, sf):
 def detector_budget(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return jobs.within_budget(d, (F.col("doc_id") % 70).cast("int"), most_chars=20_000).select("doc_id", "refused")
+
+
+@query("SELECT user_id AS session_id, max(event_id) AS last_use FROM events GROUP BY user_id QUALIFY row_number() OVER (ORDER BY last_use DESC, session_id DESC) > 5")
+def session_evictions(spark, sf):
+    """Each user is a session; all but the five used last must go."""
+    return state.least_recent(table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("at")), cap=5)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS prompt_id, CASE WHEN p_partkey % 3 = 0 THEN 'answer ' || p_partkey END AS response FROM part")
+def cached_responses(spark, sf):
+    """Of three prompts one has a response, one has it in another schema, and one was asked with another model."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("prompt_id"), F.concat(F.lit("find "), F.col("p_partkey").cast("string")).alias("prompt"), F.col("p_name").alias("text"))
+    k = F.col("prompt_id") % 3
+    asked = evaluation.cache_keys(p.where(k != 2), "model 1").unionByName(evaluation.cache_keys(p.where(k == 2), "model 0"))
+    known = asked.select("key", F.when(k == 1, 1).otherwise(2).alias("schema"), F.concat(F.lit("answer "), F.col("prompt_id").cast("string")).alias("response"))
+    return evaluation.cached(evaluation.cache_keys(p, "model 1"), known, 2).select("prompt_id", "response")
+
+
+@query("SELECT doc_id FROM documents WHERE lang <> 'en' AND text IN (SELECT text FROM documents WHERE lang = 'en')")
+def contaminated_rows(spark, sf):
+    """Texts of other languages that also stand among the English ones: by equal text, whatever the column says."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return evaluation.contaminated(d.where("lang <> 'en'"), d.where("lang = 'en'")).select("doc_id")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(1 + CAST(c_custkey % 2 AS INT) AS BIGINT) AS unlocatable FROM customer WHERE c_custkey % 5 <> 0")
+def unlocatable_values(spark, sf):
+    """Two claimed values stand in no text (one for even keys), one does; every fifth text holds all that is claimed of it."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), "c_name", F.concat(F.lit("08-"), F.col("c_custkey").cast("string")).alias("c_phone"))
+    k = F.col("doc_id")
+    docs = c.select("doc_id", F.concat(F.col("c_name"), F.lit(" "), F.when(k % 5 == 0, F.concat("c_phone", F.lit(" nowhere gone"))).otherwise("")).alias("text"))
+    claims = F.array(F.struct(F.lit("NAME").alias("t"), F.col("c_name").alias("v")), F.struct(F.lit("PHONE").alias("t"), F.col("c_phone").alias("v")), F.struct(F.lit("PLATE").alias("t"), F.when(k % 2 == 1, "nowhere").otherwise(F.col("c_name")).alias("v")))
+    values = c.select("doc_id", F.explode(claims).alias("x")).select("doc_id", F.col("x.t").alias("data_type"), F.col("x.v").alias("value")).where((F.col("data_type") != "PLATE") | (k % 2 == 1))
+    found = evaluation.locate_values(docs, values).join(docs, "doc_id").withColumn("value", F.expr("substring(text, s + 1, e - s)"))
+    return benchmark.unlocated(values, found).select("doc_id", "unlocatable")
