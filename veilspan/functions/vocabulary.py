@@ -160,3 +160,8 @@ LATIN_NAME = r"[A-Z][a-z]{1,20}(?:[ \t](?:[A-Z]\.|[A-Z][a-z]{1,20})){1,3}"
 NOT_LATIN_NAMES = frozenset("bank company limited public hospital university hotel road river province district tower office department faculty school service customer group branch building resort airport station palace temple market mall co ltd plc".split())
 DOCUMENT_HEADS = r"รายชื่อ|หนังสือ|ใบรับรอง|ใบสมัคร|ใบเสร็จ|แบบฟอร์ม|แบบคำขอ|เอกสาร|ตาราง|บันทึก|ประกาศ|สำเนา|ทะเบียน"
 NAME_CUE_ON_NEXT_LINE = r"(?:นาย|นางสาว|นาง|น\.ส\.|ด\.ช\.|ด\.ญ\.|เด็กชาย|เด็กหญิง|ชื่อ)"
+
+# A form's line of a second applicant ("and", or how it is misread; marks; a name), and what such a name does not begin with.
+CO_APPLICANT = r"(?m)^[ \t]*(?:และ|แถะ)[^ก-๛\r\n]{2,}([ก-๛]{4,25}(?:[ \t]+[ก-๛]{2,25})?)[ \t]*$"
+CO_APPLICANT_STOPS = ("กรอก", "ขอ", "คำ", "บริษัท", "ผู้", "มูลนิธิ", "เอกสาร", "โรงงาน", "โครงการ")
+CO_APPLICANT_LIKENESS = 0.8

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,7 @@ _THAI = re.compile("[ก-๛]+")
 _LABEL = {k: re.compile(p) for k, p in V.NAME_LABELS.items()}
 _LATIN = re.compile(V.LATIN_NAME)
 _HEAD = re.compile(V.DOCUMENT_HEADS)
+_CO_APPLICANT = re.compile(V.CO_APPLICANT)
 _PASSPORT_NEXT, _AND = re.compile(r"[ \t]+(?:passport|[A-Z]{2}\d{7})"), re.compile(r"[ \t]*(?:และ|กับ)[ \t]+")
 LONGEST, HEADER_WINDOW, AFTER_WINDOW = 25, 300, 160
 
@@ -156,8 +159,41 @@ def conjunctions(text: str, names: list[Span], words: Words = _whole) -> list[Sp
     return list(out.values())
 
 
+def co_applicants(text: str, spans: list[Span]) -> list[Span]:
+    """Names after "and" and a form's marks, where a text has two citizens' numbers and a name: if it is the only such line, or if
+    another line's name is as good as the same.
+
+    Only names with two letters in a row in common are compared: names of four letters and more that are alike enough always have them.
+    """
+    if sum(x.kind == "THAI_ID" for x in spans) < 2 or not any(x.kind == "NAME" for x in spans):
+        return []
+    lines = [(m.group(1), m.start(1), m.end(1)) for m in _CO_APPLICANT.finditer(text)]
+    times = Counter(name for name, _, _ in lines)
+    sharing: dict[str, list[str]] = {}
+    for name in times:
+        for pair in {name[i : i + 2] for i in range(len(name) - 1)}:
+            sharing.setdefault(pair, []).append(name)
+
+    def told_again(name: str) -> bool:
+        if times[name] > 1:
+            return True
+        near = SequenceMatcher(None, name, "")
+        for other in {o for i in range(len(name) - 1) for o in sharing[name[i : i + 2]]} - {name}:
+            near.set_seq2(other)
+            if near.quick_ratio() >= V.CO_APPLICANT_LIKENESS and near.ratio() >= V.CO_APPLICANT_LIKENESS:
+                return True
+        return False
+
+    again = {name: len(lines) == 1 or not name.startswith(V.CO_APPLICANT_STOPS) and told_again(name) for name in times}
+    return [Span(s, e, "NAME", 0.87, "TB") for name, s, e in lines if again[name] and not name.startswith(V.CO_APPLICANT_STOPS)]
+
+
 def parallel(text: str, spans: list[Span]) -> list[Span]:
-    """Lines of two groups above a line with a citizen's number are names, if one such line is known to be one."""
+    """Lines of two groups above a line with a citizen's number are names, if one such line is known to be one; and co-applicants."""
+    return co_applicants(text, spans) + _record_lines(text, spans)
+
+
+def _record_lines(text: str, spans: list[Span]) -> list[Span]:
     rows, at = [], 0
     for line in text.splitlines(keepends=True):
         s = at + len(line) - len(line.lstrip())
