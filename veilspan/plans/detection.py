@@ -178,3 +178,16 @@ def tagger_in_detector(spark, sf):
     out = structured.detect(d.withColumn("tagged", tagged), tagged="tagged")
     kinds = F.array_join(F.transform("spans", lambda x: F.when(F.col("doc_id") % 4 == 1, F.concat_ws(":", x.data_type, x.value)).otherwise(x.data_type)), " ")
     return out.select("doc_id", kinds.alias("kinds"))
+
+
+_SECOND_ID = thai_id("CAST(300000000000 + c_custkey * 7919 AS STRING)")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS second_applicants FROM customer")
+def co_applicants(spark, sf):
+    """A form's line of a second applicant is a name where the form holds two citizens' numbers; every third holds one."""
+    second = f"CASE WHEN c_custkey % 3 = 0 THEN 'ไม่มี' ELSE {_SECOND_ID} END"
+    text = f"concat('ข้าพเจ้า นายสมชาย ใจดี เลขประจำตัวประชาชน ', {thai_id(CUSTOMER_ID)}, chr(10), 'และ (2) ', {_NAME}, chr(10), 'เลขประจำตัวประชาชน ', {second}, chr(10))"
+    d = structured.detect(made(spark, sf, "customer", "c_custkey", text))
+    line = F.locate("และ (2) ", F.col("text")) + F.lit(len("และ (2) ") - 1)
+    return d.select("doc_id", F.size(F.filter("spans", lambda x: (x.data_type == "NAME") & (x.s == line))).cast("long").alias("second_applicants"))
