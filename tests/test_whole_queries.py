@@ -3,6 +3,8 @@
 import duckdb
 
 from veilspan import catalog
+from veilspan.functions.layout import spread
+from veilspan.operators import outbound
 
 
 def as_sql(spark, folder, name):
@@ -20,3 +22,18 @@ def test_numbers_that_pass_as_a_citizens_are_no_subjects(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got, want = as_sql(spark, tmp_path, "breach_subjects")
     assert got == want == [(2, 2, 0)]
+
+
+def test_texts_that_hide_nothing_do_not_wait_beside_python(spark, tmp_path):
+    d = spark.createDataFrame([(1, "x" * 50), (2, "โทร 081  23   45678"), (3, None)], "doc_id long, masked string")
+    d.write.parquet(str(tmp_path / "d"))
+    out = outbound.with_disguised(spark.read.parquet(str(tmp_path / "d")), "masked")
+    assert {r.doc_id: len(r.disguised) for r in out.collect()} == {1: 0, 2: 1, 3: 0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
+    assert len(plan) == 2 and "Filter" in plan[1] and "Union" in plan[0]
+
+
+def test_a_split_of_many_narrow_rows_becomes_many_tasks(spark, tmp_path):
+    spark.range(600_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    d = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(d).rdd.getNumPartitions() == 24

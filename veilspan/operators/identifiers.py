@@ -27,11 +27,17 @@ def ibans(text: str | Column) -> Column:
 
 
 def phones(text: str | Column) -> Column:
-    return F.concat(*[X.spans(text, SHAPES[s]) for s in ("mobile", "landline", "plus66")])
+    return _with_digits(text, F.concat(*[X.spans(text, SHAPES[s]) for s in ("mobile", "landline", "plus66")]))
 
 
 def orphan_digits(text: str | Column) -> Column:
-    return X.spans(text, r"(?<!\d)\d{6,}(?!\d)")
+    return _with_digits(text, X.spans(text, r"(?<!\d)\d{6,}(?!\d)"))
+
+
+def _with_digits(text: str | Column, found: Column) -> Column:
+    """found, but nothing is looked for in a text without a digit."""
+    none = F.array().cast("array<struct<s:int,e:int,value:string>>")
+    return F.when((F.col(text) if isinstance(text, str) else text).rlike(r"(?U)\d"), found).otherwise(none)
 
 
 NATIVE = {"THAI_ID": (thai_ids, "[0-9]"), "CREDIT_CARD": (cards, "[0-9]"), "IBAN": (ibans, "[A-Z]{2}[0-9]{2}"), "EMAIL": (emails, "@"), "PHONE": (phones, "[0-9]")}
