@@ -4,7 +4,7 @@ import duckdb
 
 from veilspan import catalog
 from veilspan.functions.layout import spread
-from veilspan.operators import outbound
+from veilspan.operators import evaluation, outbound
 
 
 def as_sql(spark, folder, name):
@@ -37,3 +37,10 @@ def test_a_split_of_many_narrow_rows_becomes_many_tasks(spark, tmp_path):
     spark.range(600_000).coalesce(1).write.parquet(str(tmp_path / "one"))
     d = spark.read.parquet(str(tmp_path / "one"))
     assert spread(d).rdd.getNumPartitions() == 24
+
+
+def test_resampling_goes_by_counts_not_by_documents(spark):
+    rows = [(i % 5, i % 3, i % 2) for i in range(90)]
+    one, other = ([(k * (i + 1), *r) for i, r in enumerate(rows)] for k in (1, 1009))
+    schema = "doc_id long, tp long, fp long, fn long"
+    assert evaluation.bootstrap(spark.createDataFrame(one, schema), 200).head() == evaluation.bootstrap(spark.createDataFrame(other, schema), 200).head()
