@@ -1,10 +1,13 @@
 """Cases in which a query was wrong, or did not fit, before: each of these tests failed then."""
 
+import random
+
 import duckdb
 
 from veilspan import catalog
 from veilspan.functions.layout import spread
 from veilspan.operators import evaluation, outbound
+from veilspan.streaming import jobs
 
 
 def as_sql(spark, folder, name):
@@ -44,3 +47,29 @@ def test_resampling_goes_by_counts_not_by_documents(spark):
     one, other = ([(k * (i + 1), *r) for i, r in enumerate(rows)] for k in (1, 1009))
     schema = "doc_id long, tp long, fp long, fn long"
     assert evaluation.bootstrap(spark.createDataFrame(one, schema), 200).head() == evaluation.bootstrap(spark.createDataFrame(other, schema), 200).head()
+
+
+def plain_lifecycle(rows, ttl):
+    out, state = {}, {}
+    for session, at, seq, kind, mode in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        last = state.get(session)
+        new = last is None or at - last["at"] > ttl or (last["kind"] == "close" and kind == "use")
+        life = {"mode": mode, "closed": False} if new else last
+        if kind == "close":
+            out[seq] = "already_closed" if new or life["closed"] else "closed"
+        else:
+            out[seq] = ("created" if last is None else "recreated") if new else "wrong_mode" if mode != life["mode"] else "active"
+        state[session] = {"at": at, "kind": kind, "mode": life["mode"], "closed": life["closed"] or kind == "close"}
+    return out
+
+
+def test_one_session_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "BLOCK_ROWS", 20, raising=False)
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), float(i * 10 + rng.randint(0, 60)), i, rng.choice(["use", "use", "use", "close"]), rng.choice("ab")) for i in range(400)]
+    out = jobs.lifecycle(spark.createDataFrame(rows, "session_id long, at double, seq long, kind string, mode string"), 50.0)
+    assert {r.seq: r.state for r in out.collect()} == plain_lifecycle(rows, 50.0)
+    calls = []
+    monkeypatch.setattr(jobs, "settle", lambda df: calls.append(df) or df.cache(), raising=False)
+    jobs.lifecycle(spark.createDataFrame(rows, "session_id long, at double, seq long, kind string, mode string"), 50.0).collect()
+    assert calls[0].where("session_id = 1").select("_b").distinct().count() > 5

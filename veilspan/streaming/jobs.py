@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.layout import settle
 from ..operators import matching, risk, structured
 from .sessions import dedupe_jobs, fingerprint, mask_message, validate_jobs
 
 OPERATIONS = ("sanitize", "roundtrip", "restore", "analyze", "detect")
+BLOCK_ROWS = 250_000  # of events in order that one task takes
 TRUSTED = 8  # of its own texts that a session knows again
 MOST_CHARS = 200_000
 RETRIED = ("timeout", "network", "rate_limited", "server_error")
@@ -108,19 +110,43 @@ def trusted_digests(sent: DataFrame, session: str = "session_id", order: str = "
 def lifecycle(events: DataFrame, ttl: float = 1800.0, session: str = "session_id") -> DataFrame:
     """events (session, at, seq, kind: use or close, mode) with state: created, active, recreated (after it had expired), closed,
     already_closed, wrong_mode. A session locks the mode of its first use, ends after ttl seconds without use or when it is closed,
-    and what comes after is a new session. Closing twice changes nothing."""
-    w = Window.partitionBy(session).orderBy("at", "seq")
-    gap = F.col("at") - F.lag("at").over(w)
-    d = events.withColumn("_new", F.when(gap.isNull() | (gap > ttl) | ((F.lag("kind").over(w) == "close") & (F.col("kind") == "use")), 1).otherwise(0))
-    d = d.withColumn("_life", F.sum("_new").over(w))
-    life = Window.partitionBy(session, "_life").orderBy("at", "seq")
-    mode = F.first("mode").over(life)
-    closed = F.coalesce(F.max(F.when(F.col("kind") == "close", 1)).over(life.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    and what comes after is a new session. Closing twice changes nothing.
+
+    A session may hold most events: rows are dealt to blocks by (session, at, seq), windows run within a session's block, and what goes
+    on over a border (the last row, the open life's mode and whether it was closed) is carried over from summaries of the blocks.
+    """
+    blocks = max(1, -(-events.count() // BLOCK_ROWS))
+    e = settle(events.repartitionByRange(blocks, session, "at", "seq").withColumn("_b", F.spark_partition_id()))
+    own, before = [session, "_b"], Window.partitionBy(session).orderBy("_b")
+
+    def with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+        names = {session: "_session", "_b": "_block"}
+        c = carried.withColumnsRenamed(names)
+        return rows.join(c, rows[session].eqNullSafe(c["_session"]) & (rows["_b"] == c["_block"])).drop(*names.values())
+
+    last = e.groupBy(own).agg(F.max(F.struct("at", "seq", "kind")).alias("_x")).select(*own, F.lag("_x").over(before).alias("_last"))
+    w = Window.partitionBy(own).orderBy("at", "seq")
+    first = F.row_number().over(w) == 1
+    previous = lambda c: F.when(first, F.col(f"_last.{c}")).otherwise(F.lag(c).over(w))
+    d = with_carried(e, last).withColumns({"_gap": F.col("at") - previous("at"), "_kind": previous("kind"), "_first": first & F.col("_last").isNull()}).drop("_last")
+    d = d.withColumn("_new", F.when(F.col("_gap").isNull() | (F.col("_gap") > ttl) | ((F.col("_kind") == "close") & (F.col("kind") == "use")), 1).otherwise(0))
+    d = d.withColumn("_life", F.sum("_new").over(w))  # 0: the life that the block before left open
+    closes = F.max(F.coalesce((F.col("kind") == "close").cast("int"), F.lit(0)))
+    lives = d.groupBy(*own, "_life").agg(F.min_by(F.struct("mode"), F.struct("at", "seq")).alias("_mode"), closes.alias("_closed"))
+    ends = lives.groupBy(own).agg(F.max_by(F.struct("_life", "_mode", "_closed"), "_life").alias("_x")).select(*own, "_x.*")
+    ends = ends.withColumn("_open", F.sum((F.col("_life") > 0).cast("int")).over(before))
+    since = Window.partitionBy(session, "_open").orderBy("_b")
+    ends = ends.withColumn("_x", F.struct(F.first("_mode").over(since).alias("mode"), F.max("_closed").over(since).alias("closed")))
+    d = with_carried(d, ends.select(*own, F.lag("_x").over(before).alias("_carried")))
+    life = Window.partitionBy(*own, "_life").orderBy("at", "seq")
+    goes_on = F.col("_life") == 0
+    mode = F.when(goes_on, F.col("_carried.mode.mode")).otherwise(F.first("mode").over(life))
+    closed = F.coalesce(F.max(F.when(F.col("kind") == "close", 1)).over(life.rowsBetween(Window.unboundedPreceding, -1)), F.when(goes_on, F.col("_carried.closed")), F.lit(0))
     state = (
         F.when(F.col("kind") == "close", F.when((closed == 1) | (F.col("_new") == 1), "already_closed").otherwise("closed"))
-        .when(F.col("_new") == 1, F.when(F.col("_life") == 1, "created").otherwise("recreated")).when(F.col("mode") != mode, "wrong_mode").otherwise("active")
+        .when(F.col("_new") == 1, F.when(F.col("_first"), "created").otherwise("recreated")).when(F.col("mode") != mode, "wrong_mode").otherwise("active")
     )
-    return d.withColumn("state", state).drop("_new", "_life")
+    return d.select(*events.columns, state.alias("state"))
 
 
 def report(docs: DataFrame) -> DataFrame:
