@@ -6,7 +6,7 @@ import duckdb
 
 from veilspan import catalog
 from veilspan.functions.layout import spread
-from veilspan.operators import evaluation, outbound
+from veilspan.operators import evaluation, outbound, structured
 from veilspan.streaming import jobs
 
 
@@ -73,3 +73,11 @@ def test_one_session_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(jobs, "settle", lambda df: calls.append(df) or df.cache(), raising=False)
     jobs.lifecycle(spark.createDataFrame(rows, "session_id long, at double, seq long, kind string, mode string"), 50.0).collect()
     assert calls[0].where("session_id = 1").select("_b").distinct().count() > 5
+
+
+def test_what_is_found_is_not_looked_for_twice(spark, tmp_path):
+    spark.createDataFrame([(1, "โทร 0812345678"), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    rows = structured.span_rows(structured.detect(d))
+    assert [(r.doc_id, r.data_type, r.value) for r in rows.collect()] == [(1, "PHONE", "0812345678")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1

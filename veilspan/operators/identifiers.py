@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.layout import spread
+from ..functions.layout import each, spread
 from ..functions.vocabulary import SHAPES
 
 
@@ -55,7 +55,7 @@ def find(docs: DataFrame, kinds=("THAI_ID", "CREDIT_CARD", "IBAN", "EMAIL", "PHO
         hit = F.when(F.col(text_column).rlike(guard), fn(text_column))
         parts.append(_named(F.coalesce(hit, F.array().cast("array<struct<s:int,e:int,value:string>>")), k))
     any_guard = "|".join(dict.fromkeys(NATIVE[k][1] for k in kinds))
-    return spread(docs).where(F.col(text_column).rlike(any_guard)).select(F.col(id_column), F.explode(F.concat(*parts)).alias("_x")).select(id_column, "_x.*")
+    return each(spread(docs).where(F.col(text_column).rlike(any_guard)), F.concat(*parts), id_column).select(id_column, "_x.*")
 
 
 def inventory(found: DataFrame) -> DataFrame:
