@@ -6,7 +6,7 @@ import duckdb
 
 from veilspan import catalog
 from veilspan.functions.layout import spread
-from veilspan.operators import evaluation, outbound, structured
+from veilspan.operators import benchmark, evaluation, outbound, structured
 from veilspan.streaming import jobs
 
 
@@ -75,6 +75,18 @@ def test_one_session_is_many_tasks(spark, monkeypatch):
     assert calls[0].where("session_id = 1").select("_b").distinct().count() > 5
 
 
+def test_spans_are_compared_in_tasks_that_are_not_merged(spark):
+    key = "doc_id long, s int, e int, data_type string"
+    a = spark.createDataFrame([(1, 0, 2, "A"), (1, 0, 2, "A"), (1, 3, 4, "A"), (2, 0, 1, None), (None, 1, 2, "B")], key)
+    b = spark.createDataFrame([(1, 0, 2, "A"), (1, 3, 5, "A"), (2, 0, 1, None), (3, 0, 1, "B"), (3, 0, 1, "B")], key)
+    row = benchmark.span_f1(a, b).head()
+    assert (row.tp, row.fp, row.fn) == (1, 3, 3)
+    row = benchmark.agreement_sets(a, b).head()
+    assert (row.same, row.only_a, row.only_b) == (1, 3, 3)
+    plan = benchmark.span_f1(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" in plan
+
+
 def test_what_is_found_is_not_looked_for_twice(spark, tmp_path):
     spark.createDataFrame([(1, "โทร 0812345678"), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     d = spark.read.parquet(str(tmp_path / "d"))
