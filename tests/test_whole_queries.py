@@ -1,12 +1,13 @@
 """Cases in which a query was wrong, or did not fit, before: each of these tests failed then."""
 
 import random
+import re
 
 import duckdb
 
 from veilspan import catalog
 from veilspan.functions.layout import spread
-from veilspan.operators import benchmark, evaluation, outbound, structured
+from veilspan.operators import benchmark, evaluation, matching, outbound, structured
 from veilspan.streaming import jobs
 
 
@@ -93,3 +94,13 @@ def test_what_is_found_is_not_looked_for_twice(spark, tmp_path):
     rows = structured.span_rows(structured.detect(d))
     assert [(r.doc_id, r.data_type, r.value) for r in rows.collect()] == [(1, "PHONE", "0812345678")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+
+
+def test_many_short_texts_are_many_groups(spark):
+    rows = [(i, i, f"0811111111 {i}") for i in range(100)]
+    texts = spark.createDataFrame(rows, "doc_id long, session_id long, text string")
+    pairs = texts.selectExpr("session_id", "'0811111111' AS pseudonym", "'x' AS original")
+    found = matching.find(texts, pairs, "session_id", "text", "doc_id", "pseudonym", "original", limits=(500, 500, 1000))
+    assert found.count() == 100
+    groups = re.findall(r"pmod\(xxhash64\(.*?\), (\d+)\)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert max(map(int, groups)) >= 40
