@@ -163,6 +163,21 @@ def test_spread_leaves_large_scans_and_joins_alone(spark, tmp_path):
     assert spread(j) is j and spread(spark.range(100).repartition(9)).rdd.getNumPartitions() == 9
 
 
+def test_values_and_texts_are_merged_not_broadcast(spark, monkeypatch, tmp_path):
+    from veilspan.operators import masking, restoring
+
+    seen = []
+    monkeypatch.setattr(masking, "settle", lambda df: seen.append(df) or df.cache())
+    docs = spark.range(40).selectExpr("id AS doc_id", "id % 3 AS session_id", "concat('tel 08', lpad(CAST(id AS STRING), 8, '0')) AS text")
+    spans = docs.selectExpr("doc_id", "session_id", "4 AS s", "14 AS e", "'PHONE' AS data_type", "substring(text, 5, 10) AS value")
+    pairs = masking.assign(spans, texts=docs)
+    masked = masking.mask(docs, spans, pairs)
+    back = restoring.restore_all(masked, pairs)
+    assert back.join(docs, "doc_id").where("restored = text").count() == 40
+    plans = [str(d._jdf.queryExecution().optimizedPlan().toString()) + str(d._jdf.queryExecution().executedPlan().toString()) for d in [*seen, masked]]
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def test_providers_are_asked_again_only_where_it_helps(spark):
     def call(text):
         return (None, text) if text != "ok" else ("reply", None)

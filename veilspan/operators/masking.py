@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.layout import settle
+from ..functions.layout import merged, settle
 from ..functions.vocabulary import TOKEN_LABELS
 from . import matching
 from .identifiers import orphan_digits
@@ -143,7 +143,7 @@ def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", pr
         if texts is not None:
             good = settle(good)
             shown = settle(matching.occurring(views, good.select(session, "pseudonym").unionByName(good.select(session, F.col("_p").alias("pseudonym"))), session, "_text", "pseudonym"))
-            good = good.join(shown, [session, "pseudonym"], "left_anti").join(shown.withColumnRenamed("pseudonym", "_p"), [session, "_p"], "left_anti")
+            good = good.join(merged(shown), [session, "pseudonym"], "left_anti").join(merged(shown.withColumnRenamed("pseudonym", "_p")), [session, "_p"], "left_anti")
         return good.drop("_o", "_p")
 
     done = wanted.limit(0).select(*key, F.lit("").alias("pseudonym"), F.lit(True).alias("seeded"))
@@ -151,9 +151,9 @@ def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", pr
         if prior.groupBy(session, "pseudonym").agg(F.countDistinct("original").alias("n")).where("n > 1").limit(1).count():
             raise ValueError("a pseudonym of the prior mapping stands for two originals")
         one = prior.groupBy(session, "original").agg(F.min("pseudonym").alias("pseudonym"))
-        done = settle(fit(wanted.join(one, [session, "original"])).select(*key, "pseudonym", F.lit(True).alias("seeded")))
+        done = settle(fit(wanted.join(merged(one), [session, "original"])).select(*key, "pseudonym", F.lit(True).alias("seeded")))
     taken = lambda: done.select(session, "pseudonym") if prior is None else done.select(session, "pseudonym").unionByName(prior.select(session, "pseudonym"))
-    left = wanted.join(done.select(key), key, "left_anti")
+    left = wanted.join(merged(done.select(key)), key, "left_anti")
     for attempt in range(attempts + 1):
         if not left.limit(1).count():
             return done
@@ -162,10 +162,10 @@ def assign(span_rows: DataFrame, session: str = "session_id", salt: str = "", pr
             same = Window.partitionBy(session, "pseudonym")
             number = F.row_number().over(same.orderBy("data_type", "original")) + 1 + (attempt - TEXT_ATTEMPTS) * F.count("*").over(same)
             drawn = settle(drawn.withColumn("pseudonym", F.when(F.col("data_type").isin(*TEXT_BASED), F.concat("pseudonym", F.lit("#"), number.cast("string"))).otherwise(F.col("pseudonym"))))
-        free = fit(drawn).join(originals, [session, "pseudonym"], "left_anti").join(taken(), [session, "pseudonym"], "left_anti")
+        free = fit(drawn).join(merged(originals), [session, "pseudonym"], "left_anti").join(merged(taken()), [session, "pseudonym"], "left_anti")
         won = free.groupBy(session, "pseudonym").agg(F.min(F.struct("data_type", "original")).alias("x")).select(session, "x.*", "pseudonym", F.lit(False).alias("seeded"))
         done = settle(done.unionByName(won.select(done.columns)))
-        left = wanted.join(done.select(key), key, "left_anti")
+        left = wanted.join(merged(done.select(key)), key, "left_anti")
     if left.limit(1).count():
         raise ValueError(f"no free surrogate after {attempts} attempts")
     return done
@@ -176,7 +176,7 @@ def consistency(masked: DataFrame, pairs: DataFrame, session: str = "session_id"
     from .restoring import occurrences
 
     turned = pairs.groupBy(session, F.col("original").alias("pseudonym")).agg(F.min("pseudonym").alias("original"))  # an original of two types has two
-    d = masked.join(occurrences(masked, turned, session, "masked", id_column, guarded=False), id_column, "left")
+    d = masked.join(merged(occurrences(masked, turned, session, "masked", id_column, guarded=False)), id_column, "left")
     loose = F.filter(F.coalesce("found", F.array().cast("array<struct<s:int,e:int,pseudonym:string,original:string>>")), lambda x: ~F.exists("highlights", lambda h: (h.s < x.e) & (x.s < h.e)))
     d = d.withColumn("found", loose)
     text = F.when(F.size("found") == 0, F.col("masked")).otherwise(X.rebuild(F.col("masked"), F.col("found"), lambda x: x.original))
@@ -200,9 +200,9 @@ def exported(pairs: DataFrame, session: str = "session_id") -> DataFrame:
 
 def mask(docs: DataFrame, span_rows: DataFrame, pairs: DataFrame, session: str = "session_id", text_column: str = "text") -> DataFrame:
     """docs with masked text and highlights (places of the replacements in it)."""
-    with_token = span_rows.join(pairs.select(session, "data_type", F.col("original").alias("value"), "pseudonym"), [session, "data_type", "value"])
+    with_token = span_rows.join(merged(pairs.select(session, "data_type", F.col("original").alias("value"), "pseudonym")), [session, "data_type", "value"])
     per_doc = with_token.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "data_type", "pseudonym"))).alias("_m"))
-    d = docs.join(per_doc, "doc_id", "left")
+    d = docs.join(merged(per_doc), "doc_id", "left")
     none = F.col("_m").isNull()
     text = F.when(none, F.col(text_column)).otherwise(X.rebuild(F.col(text_column), F.col("_m"), lambda x: x.pseudonym))
     shift = F.aggregate(
@@ -222,13 +222,13 @@ def restore(replies: DataFrame, pairs: DataFrame, session: str = "session_id", t
     Tokens are brackets, so they are found by one pattern and joined by value; no document meets the whole mapping.
     """
     found = replies.select(id_column, session, F.posexplode(X.spans(F.coalesce(F.col(text_column), F.lit("")), _ANY_TOKEN)).alias("i", "x")).select(id_column, session, "i", "x.*")
-    known = found.join(pairs.select(session, F.col("pseudonym").alias("value"), "original").distinct(), [session, "value"], "left")
+    known = found.join(merged(pairs.select(session, F.col("pseudonym").alias("value"), "original").distinct()), [session, "value"], "left")
     shaped = F.col("value").rlike(r"^\[[^\[\]]+_[1-9][0-9]*\]$")
     per = known.groupBy(id_column).agg(
         F.array_sort(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("s", "e", "original")))).alias("_m"), F.count("original").alias("replaced"),
         F.sum(F.when(F.col("original").isNull() & shaped, 1).otherwise(0)).alias("foreign_tokens"),
     )
-    d = replies.join(per, id_column, "left")
+    d = replies.join(merged(per), id_column, "left")
     text = F.when(F.coalesce(F.size("_m"), F.lit(0)) <= 0, F.col(text_column)).otherwise(X.rebuild(F.col(text_column), F.col("_m"), lambda x: x.original))
     return d.select(id_column, session, text.alias("restored"), F.coalesce("replaced", F.lit(0)).cast("long").alias("replaced"), F.coalesce("foreign_tokens", F.lit(0)).cast("long").alias("foreign_tokens"))
 
@@ -236,7 +236,7 @@ def restore(replies: DataFrame, pairs: DataFrame, session: str = "session_id", t
 def restore_summary(replies: DataFrame, pairs: DataFrame, session: str = "session_id", text_column: str = "masked") -> DataFrame:
     """For each session: how many of its distinct tokens the replies use, and how many they do not."""
     used = replies.select(session, F.explode(F.array_distinct(F.transform(X.spans(text_column, _ANY_TOKEN), lambda x: x.value))).alias("pseudonym")).distinct().withColumn("used", F.lit(1))
-    return pairs.select(session, "pseudonym").distinct().join(used, [session, "pseudonym"], "left").groupBy(session).agg(F.count("used").alias("used"), F.sum(F.when(F.col("used").isNull(), 1).otherwise(0)).alias("unused"))
+    return pairs.select(session, "pseudonym").distinct().join(merged(used), [session, "pseudonym"], "left").groupBy(session).agg(F.count("used").alias("used"), F.sum(F.when(F.col("used").isNull(), 1).otherwise(0)).alias("unused"))
 
 
 def security_view(text: Column) -> Column:
@@ -250,7 +250,7 @@ def leaks(masked: DataFrame, found: DataFrame, text_column: str = "masked", id_c
     marks = F.col("highlights")
     inside = lambda s, e: F.exists(marks, lambda h: (h.s <= s) & (e <= h.e))
     spans_ = found.groupBy(id_column).agg(F.collect_list(F.struct("s", "e", "data_type")).alias("_f"))
-    d = masked.join(spans_, id_column, "left")
+    d = masked.join(merged(spans_), id_column, "left")
     typed = F.transform(F.filter(F.coalesce("_f", F.array().cast("array<struct<s:int,e:int,data_type:string>>")), lambda x: ~inside(x.s, x.e)), lambda x: x.data_type)
     loose = F.transform(F.filter(orphan_digits(F.coalesce(F.col(text_column), F.lit(""))), lambda x: ~inside(x.s, x.e)), lambda x: F.concat(F.lit("orphan_digits:"), F.length(x.value).cast("string")))
     labels = F.array_sort(F.array_distinct(F.concat(typed, loose)))

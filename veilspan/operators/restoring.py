@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.layout import looked_up, merged
 from ..functions.vocabulary import TOKEN_LABELS
 from . import matching
 
@@ -61,7 +62,7 @@ def restore_all(replies: DataFrame, pairs: DataFrame, session: str = "session_id
     residue: how many are still in the restored text.
     """
     base = replies.select(id_column, session, F.coalesce(F.col(text_column), F.lit("")).alias("_reply"))
-    d = base.join(occurrences(base, pairs, session, "_reply", id_column), id_column, "left")
+    d = base.join(merged(occurrences(base, pairs, session, "_reply", id_column)), id_column, "left")
     none = F.coalesce(F.size("found"), F.lit(0)) <= 0
     restored = F.when(none, F.col("_reply")).otherwise(X.rebuild(F.col("_reply"), F.col("found"), lambda x: x.original))
     ranges = F.aggregate(
@@ -72,7 +73,7 @@ def restore_all(replies: DataFrame, pairs: DataFrame, session: str = "session_id
     d = d.select(id_column, session, restored.alias("restored"), F.when(none, F.array().cast("array<struct<s:int,e:int>>")).otherwise(ranges).alias("restored_ranges"), F.coalesce(F.size("found"), F.lit(0)).alias("_k"), F.when(none, F.lit(0)).otherwise(F.size(F.array_distinct(F.transform("found", lambda x: x.pseudonym)))).alias("_used"))
     left = occurrences(d.select(id_column, session, F.col("restored").alias("_reply")), pairs, session, "_reply", id_column, guarded=False).select(id_column, F.size("found").alias("_left"))
     owned = pairs.groupBy(session).agg(F.countDistinct("pseudonym").alias("_owned"))
-    d = d.join(left, id_column, "left").join(owned, session, "left")
+    d = d.join(merged(left), id_column, "left").join(looked_up(owned), session, "left")
     return d.select(id_column, session, "restored", "restored_ranges", F.greatest("_k", F.lit(0)).cast("long").alias("replaced"), (F.coalesce("_owned", F.lit(0)) - F.col("_used")).cast("long").alias("missing"), F.coalesce("_left", F.lit(0)).cast("long").alias("residue"))
 
 
@@ -104,9 +105,9 @@ def validate(restored: DataFrame, found: DataFrame, originals: DataFrame, sessio
     restored: as from restore_all. The text is null where blocked or cut off.
     """
     ranges = restored.select(id_column, session, F.explode("restored_ranges").alias("r"), "restored").select(id_column, session, "r.s", "r.e", F.substring(F.col("restored"), F.col("r.s") + 1, F.col("r.e") - F.col("r.s")).alias("original"))
-    sure = ranges.join(originals.select(session, "original").distinct(), [session, "original"], "left_semi").groupBy(id_column).agg(F.collect_list(F.struct("s", "e")).alias("_sure"))
+    sure = ranges.join(merged(originals.select(session, "original").distinct()), [session, "original"], "left_semi").groupBy(id_column).agg(F.collect_list(F.struct("s", "e")).alias("_sure"))
     spans = found.groupBy(id_column).agg(F.collect_list(F.struct("s", "e")).alias("_found"))
-    d = restored.join(sure, id_column, "left").join(spans, id_column, "left")
+    d = restored.join(merged(sure), id_column, "left").join(merged(spans), id_column, "left")
     none = F.array().cast("array<struct<s:int,e:int>>")
     ok = F.coalesce(F.col("_sure"), none)
     odd = F.size(F.filter(F.coalesce(F.col("_found"), none), lambda x: ~F.exists(ok, lambda r: (r.s <= x.s) & (x.e <= r.e))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.layout import each
+from ..functions.layout import each, merged, settle
 from ..operators import masking, outbound, restoring
 from .queries import made, query, table
 
@@ -28,7 +28,7 @@ def surrogate_restore(spark, sf):
     masked = masking.mask(docs, spans, pairs)
     back = restoring.restore_all(masked, pairs)
     hidden = masked.select("doc_id", (~F.col("masked").contains(F.substring("text", -15, 10))).alias("hidden"))
-    return back.join(hidden, "doc_id").select("doc_id", F.sha2("restored", 256).alias("text_sha256"), "replaced", "residue", "hidden")
+    return back.join(merged(hidden), "doc_id").select("doc_id", F.sha2("restored", 256).alias("text_sha256"), "replaced", "residue", "hidden")
 
 
 @query("SELECT CAST(c_nationkey AS BIGINT) AS session_id, count(*) AS texts, CAST(sum(CASE WHEN c_custkey % 3 <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS planted, CAST(0 AS BIGINT) AS shown, true AS restored FROM customer GROUP BY 1")
@@ -37,12 +37,12 @@ def surrogate_text_collisions(spark, sf):
     restoring leaves what stood there."""
     docs, spans = _phones(spark, sf)
     first = masking.surrogates(spans).select("session_id", F.col("original").alias("value"), F.col("pseudonym").alias("plant"))
-    planted = spans.join(first, ["session_id", "value"]).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("plant")).when(F.col("doc_id") % 3 == 2, F.regexp_replace("plant", "(...)(...)", "$1-$2-")).alias("plant"))
-    docs = docs.join(planted, "doc_id").withColumn("text", F.concat_ws(" ref ", "text", "plant"))
+    planted = spans.join(merged(first), ["session_id", "value"]).select("doc_id", "value", F.when(F.col("doc_id") % 3 == 0, F.col("plant")).when(F.col("doc_id") % 3 == 2, F.regexp_replace("plant", "(...)(...)", "$1-$2-")).alias("plant"))
+    docs = settle(docs.join(merged(planted), "doc_id").withColumn("text", F.concat_ws(" ref ", "text", "plant")))
     pairs = masking.assign(spans, texts=docs)
-    shown = pairs.join(spans.join(planted, "doc_id").select("session_id", F.col("value").alias("original"), "doc_id", "plant"), ["session_id", "original"]).where(F.col("pseudonym") == F.regexp_replace("plant", "-", "")).groupBy("session_id").agg(F.count("*").alias("shown"))
+    shown = pairs.join(merged(docs.select("session_id", F.col("value").alias("original"), "plant")), ["session_id", "original"]).where(F.col("pseudonym") == F.regexp_replace("plant", "-", "")).groupBy("session_id").agg(F.count("*").alias("shown"))
     back = restoring.restore_all(masking.mask(docs, spans, pairs), pairs).select("doc_id", "restored")
-    out = docs.join(back, "doc_id").groupBy("session_id").agg(F.count("*").alias("texts"), F.count("plant").alias("planted"), F.min(F.col("restored") == F.col("text")).alias("restored"))
+    out = docs.join(merged(back), "doc_id").groupBy("session_id").agg(F.count("*").alias("texts"), F.count("plant").alias("planted"), F.min(F.col("restored") == F.col("text")).alias("restored"))
     return out.join(shown, "session_id", "left").select("session_id", "texts", "planted", F.coalesce("shown", F.lit(0)).cast("long").alias("shown"), "restored")
 
 
