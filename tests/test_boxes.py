@@ -75,3 +75,20 @@ def test_covered_characters(spark):
     for r in evaluation.coverage(d(gold), d(predicted)).collect():
         g, p = chars(gold, r.doc_id), chars(predicted, r.doc_id)
         assert (r.gold_chars, r.predicted_chars, r.common_chars) == (len(g), len(p), len(g & p))
+
+
+def test_attempts_are_merged_without_broadcasts_and_read_once(spark, monkeypatch):
+    from veilspan.functions import layout
+
+    monkeypatch.setattr(layout, "MOST_BROADCAST", 0, raising=False)
+    written = []
+    monkeypatch.setattr(pages, "settle", lambda df: written.append(df) or layout.settle(df), raising=False)
+    # page 0: a new place, a phone over a word, the same word; page 1: the phone is told by the surest attempt already; page 2: one attempt
+    rows = [(0, 0, 0, "one", 0.0, 1), (0, 0, 1, "two", 100.0, 1), (0, 0, 0, "far", 700.0, 2), (0, 0, 1, "0812345678", 0.0, 2), (0, 0, 2, "Two.", 100.0, 2), (0, 0, 3, "new", 0.0, 2), (0, 1, 0, "0812345678", 100.0, 1), (0, 1, 1, "w", 0.0, 1), (0, 1, 0, "0812345678", 0.0, 2), (0, 2, 0, "alone", 0.0, 5)]
+    words = spark.createDataFrame([(*r[:5], 0.0, 40.0, 12.0, r[5]) for r in rows], BOX + ", attempt int")
+    sure = spark.createDataFrame([(0, 0, 1, 0.9), (0, 0, 2, 0.6), (0, 1, 1, 0.9), (0, 1, 2, 0.6), (0, 2, 5, 0.5)], "doc_id long, page int, attempt int, confidence double")
+    kept, used = pages.merge_attempts(words, sure)
+    assert sorted((r.page, r.attempt, r.text) for r in kept.collect()) == [(0, 1, "one"), (0, 1, "two"), (0, 2, "0812345678"), (0, 2, "far"), (1, 1, "0812345678"), (1, 1, "w"), (2, 5, "alone")]
+    assert sorted(used.collect()) == [(0, 0, 0.6, True), (0, 1, 0.9, False), (0, 2, 0.5, True)]
+    plans = [str(d._jdf.queryExecution().executedPlan().toString()) for d in [*written, kept, used]]
+    assert written and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.layout import looked_up, merged, settle
 from . import identifiers
 
 SEPARATOR = "\n\n"
@@ -51,6 +52,7 @@ def meet(a: DataFrame, b: DataFrame, names: tuple[str, str], least: float) -> Da
     root = F.sqrt(F.count("*"))
     grid = a.select(*place).unionByName(b.select(*place)).where(sized).groupBy("doc_id", "page").agg(
         F.min("x").alias("_x"), F.min("y").alias("_y"), F.greatest(F.avg("width"), extent("x", "width") / root).alias("_w"), F.greatest(F.avg("height"), extent("y", "height") / root).alias("_h"))
+    grid = looked_up(settle(grid))
 
     def cells(df: DataFrame, name: str) -> DataFrame:
         def cell(axis: str, size: str, end: bool) -> Column:
@@ -68,7 +70,7 @@ def meet(a: DataFrame, b: DataFrame, names: tuple[str, str], least: float) -> Da
         return F.struct(*(F.col(f"`_{name}.{c}`").alias(c) for c in df.columns)).alias(name)
 
     left, right = names
-    met = cells(a, left).join(cells(b, right), ["doc_id", "page", "_cx", "_cy"])
+    met = cells(a, left).join(merged(cells(b, right)), ["doc_id", "page", "_cx", "_cy"])
     once = (F.col("_cx") == F.greatest(f"_{left}_x0", f"_{right}_x0")) & (F.col("_cy") == F.greatest(f"_{left}_y0", f"_{right}_y0"))
     return met.where(once).select("doc_id", "page", row(a, left), row(b, right)).where(shared_area(left, right) >= least)
 
@@ -107,15 +109,22 @@ def merge_attempts(words: DataFrame, confidences: DataFrame) -> tuple[DataFrame,
     structured value. A word that the ground says at its place says nothing new. confidence: the least of the attempts that are used.
     """
     rank = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("confidence"), "attempt"))
-    ranked = confidences.withColumn("rank", rank)  # a few rows for each page
-    w = words.join(ranked, ["doc_id", "page", "attempt"]).withColumns({"_key": _key(F.col("text")), "_values": _values(F.col("text"))})
-    over = meet(w.select("doc_id", "page", "rank", "i", "x", "y", "width", "height", "_key"), w.select("doc_id", "page", "rank", "x", "y", "width", "height", "_key"), ("a", "b"), SAME_WORD).where("b.rank < a.rank")
+    ranked = confidences.withColumns({"rank": rank, "_last": F.count("*").over(Window.partitionBy("doc_id", "page"))})  # a few rows for each page
+    w = settle(words.join(merged(ranked), ["doc_id", "page", "attempt"]))  # read by all that follows
+    keyed = w.withColumn("_key", _key(F.col("text")))
+    later = keyed.where("rank > 1").select("doc_id", "page", "rank", "i", "x", "y", "width", "height", "_key")
+    over = meet(later, keyed.where("rank < _last").select("doc_id", "page", "rank", "x", "y", "width", "height", "_key"), ("a", "b"), SAME_WORD).where("b.rank < a.rank")
     before = over.groupBy("doc_id", "page", F.col("a.rank").alias("rank"), F.col("a.i").alias("i")).agg(F.max((F.col("a._key") == F.col("b._key")).cast("int")).alias("_said"), F.lit(True).alias("_met"))
-    seen = w.select("doc_id", "page", "rank", F.explode("_values").alias("v")).groupBy("doc_id", "page", "v").agg(F.min("rank").alias("_first"))
-    new = w.select("doc_id", "page", "rank", "i", F.explode("_values").alias("v")).join(seen, ["doc_id", "page", "v"]).where("rank = _first").groupBy("doc_id", "page", "rank", "i").agg(F.lit(True).alias("_new"))
-    d = w.join(before, ["doc_id", "page", "rank", "i"], "left").join(new, ["doc_id", "page", "rank", "i"], "left")
+    before = settle(before)
+    # values are looked for where they decide: in a word over others that say something else, then on its page
+    other = w.select("doc_id", "page", "rank", "i", "text").join(merged(before.where("_said = 0")), ["doc_id", "page", "rank", "i"], "left_semi")
+    asked = settle(other.select("doc_id", "page", "rank", "i", F.explode(_values(F.col("text"))).alias("v")))
+    there = w.select("doc_id", "page", "rank", "text").join(merged(asked.select("doc_id", "page").distinct()), ["doc_id", "page"], "left_semi")
+    seen = there.select("doc_id", "page", "rank", F.explode(_values(F.col("text"))).alias("v")).groupBy("doc_id", "page", "v").agg(F.min("rank").alias("_first"))
+    new = asked.join(merged(seen), ["doc_id", "page", "v"]).where("rank = _first").groupBy("doc_id", "page", "rank", "i").agg(F.lit(True).alias("_new"))
+    d = w.join(merged(before), ["doc_id", "page", "rank", "i"], "left").join(merged(new), ["doc_id", "page", "rank", "i"], "left")
     keep = (F.col("rank") == 1) | F.col("_met").isNull() | ((F.col("_said") == 0) & F.coalesce("_new", F.lit(False)))
-    kept = d.where(keep)
+    kept = settle(d.where(keep).select(*words.columns, "confidence"))  # both results read it
     used = kept.groupBy("doc_id", "page").agg(F.min("confidence").alias("confidence"))
     return kept.select(words.columns), used.withColumn("human_review", F.col("confidence") < REVIEW)
 

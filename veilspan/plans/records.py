@@ -50,11 +50,11 @@ def layer_merge(spark, sf):
 def ocr_attempts(spark, sf):
     """A second, less sure reading brings the same words, a new place, or a phone over a word."""
     _, words = _lines(spark, sf)
-    n = _keys(spark, sf).selectExpr("doc_id", "page", "event_id % 3 AS k")
-    w = words.join(n, ["doc_id", "page"]).drop("s", "e")
-    again = w.where("i = 0").withColumns({"text": F.when(F.col("k") == 2, "0812345678").otherwise(F.col("text")), "x": F.when(F.col("k") == 1, 700.0).otherwise(F.col("x"))})
-    both = w.withColumn("attempt", F.lit(1)).unionByName(again.withColumn("attempt", F.lit(2))).drop("k")
-    sure = n.selectExpr("doc_id", "page", "inline(array(struct(1 AS attempt, CAST(0.9 AS DOUBLE) AS confidence), struct(2 AS attempt, CAST(0.6 AS DOUBLE) AS confidence)))")
+    k = (F.col("doc_id") * 10 + F.col("page")) % 3
+    second = F.col("attempt") == 2
+    both = words.drop("s", "e").withColumn("attempt", F.explode(F.when(F.col("i") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    both = both.withColumns({"text": F.when(second & (k == 2), "0812345678").otherwise(F.col("text")), "x": F.when(second & (k == 1), 700.0).otherwise(F.col("x"))})
+    sure = _keys(spark, sf).selectExpr("doc_id", "page", "inline(array(struct(1 AS attempt, CAST(0.9 AS DOUBLE) AS confidence), struct(2 AS attempt, CAST(0.6 AS DOUBLE) AS confidence)))")
     kept, used = pages.merge_attempts(both, sure)
     return kept.groupBy("doc_id", "page").agg(F.count("*").alias("words")).join(used, ["doc_id", "page"]).select("doc_id", "page", "words", "confidence", "human_review")
 
