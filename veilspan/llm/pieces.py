@@ -22,6 +22,7 @@ from ._util import text_of
 
 SPACE = "▁"
 BASE = int(_text.ODD[0])
+BATCH = 1 << 20  # bytes that are encoded or decoded at once: what that takes besides its result is some ten times as much
 LONG = 192  # characters: longer units are encoded one by one
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 
@@ -200,8 +201,9 @@ class Vocabulary:
         keep = np.flatnonzero(alive)
         return h[keep], size[keep]
 
-    def _viterbi(self, codes: np.ndarray):
-        """Unigram: units of one length advance together; -1 in the result marks unknown characters."""
+    def _paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unigram: units of one length advance together. Places of all symbols, unit by unit (-1: an unknown character), their sizes, and
+        how many symbols each unit has."""
         m, n = codes.shape
         v = _values(codes)
         prefix = np.zeros((m, n + 1), np.uint64)
@@ -220,14 +222,24 @@ class Vocabulary:
             pick = total.argmax(1)
             r = np.arange(m)
             best[:, i], back[:, i], piece[:, i] = total[r, pick], sizes[pick], at[r, pick]
-        symbols = [([], []) for _ in range(m)]
-        end = np.full(m, n)
-        while (go := np.flatnonzero(end > 0)).size:
-            for r, p, b in zip(go.tolist(), piece[go, end[go]].tolist(), back[go, end[go]].tolist()):
-                symbols[r][0].append(p)
-                symbols[r][1].append(b)
-            end[go] -= back[go, end[go]]
-        return [(np.array(p[::-1]), np.array(s[::-1])) for p, s in symbols]
+        rows, places, sizes = [], [], []  # of all units the last symbol, then the one before
+        end, go = np.full(m, n), np.arange(m)
+        while go.size:
+            size = back[go, end[go]]
+            rows.append(go)
+            places.append(piece[go, end[go]])
+            sizes.append(size)
+            end[go] -= size
+            go = go[end[go] > 0]
+        row, place, size = (np.concatenate(x[::-1]) for x in (rows, places, sizes))
+        order = np.argsort(row, kind="stable")
+        return place[order], size[order], np.bincount(row, minlength=m)
+
+    def _viterbi(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The paths one by one."""
+        place, size, number = self._paths(codes)
+        cut = np.cumsum(number)[:-1]
+        return list(zip(np.split(place, cut), np.split(size, cut)))
 
     def encode_units(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids in any order of units; where each unit's begin, and how many it has."""
@@ -245,8 +257,7 @@ class Vocabulary:
                     parts = [(self.probe(h), s) for h, s in (self._merge_long(codes[starts[u] : ends[u]]) for u in part)]
                     place, size, number = np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts]), np.array([len(p) for p, _ in parts])
                 elif self.unigram:
-                    parts = self._viterbi(codes[starts[part][:, None] + np.arange(n)])
-                    place, size, number = np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts]), np.array([len(p) for p, _ in parts])
+                    place, size, number = self._paths(codes[starts[part][:, None] + np.arange(n)])
                 else:
                     h, s, number = self._merge(codes[starts[part][:, None] + np.arange(n)])
                     mask = np.arange(n)[None, :] < number[:, None]
@@ -312,11 +323,11 @@ class Encoder:
     """Encodes batches of texts; units that were met before are not encoded again.
 
     What is known stands in two sorted levels: new units join the small one, which joins the large one when it has grown to a quarter
-    of it. Above most_units all is forgotten, so memory is bounded.
+    of it. Above most_units or most_ids all is forgotten, so memory is bounded, however long the units are.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_units: int = 1_000_000):
-        self.v, self.most = vocabulary, most_units
+    def __init__(self, vocabulary: Vocabulary, most_units: int = 1_000_000, most_ids: int = 8_000_000):
+        self.v, self.most, self.most_ids = vocabulary, most_units, most_ids
         self._clear()
 
     def _clear(self) -> None:
@@ -370,7 +381,7 @@ class Encoder:
         ends = np.append(starts[1:], len(codes))
         keys = _text.mix(_hashes(_values(codes), starts, ends) + (ends - starts).astype(np.uint64) * _text.ODD[1])
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if sum(len(x[0]) for x in self.levels) > self.most:
+        if self.used > self.most_ids or sum(len(x[0]) for x in self.levels) > self.most:
             self._clear()
         place, count = self._known(unique, codes, starts[first], ends[first])
         count, place = count[inverse], place[inverse]
@@ -387,9 +398,10 @@ def encode_column(vocabulary: Vocabulary, text_column: str = "text"):
     def run(column: pa.Array) -> pa.Array:
         encoder = _encoder(vocabulary)
         out = []
-        for b in _text.batches([pa.RecordBatch.from_arrays([column], ["t"])], 4 << 20):
+        for b in _text.batches([pa.RecordBatch.from_arrays([column], ["t"])], BATCH):
             flat, offsets = encoder.encode(b.column(0).to_pylist())
             out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
+            _text.give_back()  # what a batch took besides its result
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return run(text_of(text_column))
@@ -411,7 +423,7 @@ def decode_column(vocabulary: Vocabulary, ids_column: str = "ids"):
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         out = []
-        for b in _text.batches([pa.RecordBatch.from_arrays([column], ["i"])], 2 << 20):
+        for b in _text.batches([pa.RecordBatch.from_arrays([column], ["i"])], BATCH):
             part = b.column(0)
             offsets = np.asarray(part.offsets, np.int64)
             flat = np.asarray(part.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1), np.int64)
