@@ -22,7 +22,7 @@ from ._util import text_of
 
 SPACE = "▁"
 BASE = int(_text.ODD[0])
-BATCH = 1 << 20  # bytes that are encoded or decoded at once: what that takes besides its result is some ten times as much
+BATCH = 1 << 20  # bytes that are encoded or decoded at once
 LONG = 192  # characters: longer units are encoded one by one
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 
