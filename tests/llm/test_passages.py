@@ -122,3 +122,39 @@ def test_free_parts(taken, want):
     (batch,) = passages._free_parts(0.0)([pa.RecordBatch.from_pylist([row], pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in ("start_word", "n_words", "ref_start_word", "ref_n_words", "matched_words")), ("_taken", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]))])
     got = [(r["start_word"], r["n_words"]) for r in batch.to_pylist()]
     assert got == [x for x in want if x[1] - 6 >= 0]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1])
+def test_changed_copies_behind_many_documents_with_parts(spark, rate):
+    """Six documents hold 45 words of a passage each, before its original and between that and its copy: these are neither the first
+    nor the one before of any seed."""
+    rng = random.Random(65)
+    rows, want = [], []
+    for t in range(20):
+        p = words(rng, 100)
+        q = [w if rng.random() >= rate else w + "x" for w in p]
+        held = [p[:45], p[28:73], p[55:], p, p[:45], p[28:73], p[55:], q]
+        rows += [(100 * t + i, " ".join(words(rng, 30) + x + words(rng, 30))) for i, x in enumerate(held)]
+        want.append(100 * t + 7)
+    found = passages.repeats(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    caught = {r.doc_id for r in found if r.ref_doc_id == r.doc_id - 4 and r.n_words >= 80}
+    print(rate, len(caught))
+    assert len(caught) >= (20 if rate == 0.05 else 18)
+    assert all(r.identity >= passages.IDENTITY and r.n_words >= passages.MIN_WORDS for r in found)
+
+
+def test_many_documents_of_a_pair_of_seeds_meet_in_blocks():
+    """Each later document that looks meets each earlier one once, whatever the blocks are."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = random.Random(66), 40
+    is_open = np.array([rng.random() < 0.5 for _ in range(n)])
+    who = np.arange(n, dtype=np.int64) * 3
+    row = {"key": 0, "twos": passages._pack(np.full(n, 77, np.uint64)), "ids": passages._names(who), "xi": passages._ints(np.arange(n)), "xj": passages._ints(np.arange(n) + 60), "open": np.packbits(is_open).tobytes()}
+    met = {}
+    for block in (1000, 7):
+        asked = passages._meetings(5, block)(pa.Table.from_pylist([row], passages._arrow(passages._TWOS)))
+        ext = asked.append_column("begin", asked.column("xi")).append_column("words", pa.array([b"xy" * 65] * len(asked)))
+        met[block] = sorted((r["doc_id"], r["ref"]) for g in set(ext.column("grp").to_pylist()) for r in passages._pairs(5, 50, 0.8)(ext.filter(pa.compute.equal(ext.column("grp"), g))).to_pylist())
+    assert met[7] == met[1000] == sorted((int(a), int(b)) for i, a in enumerate(who) if is_open[i] for b in who[:i])

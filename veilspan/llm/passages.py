@@ -10,6 +10,9 @@
    way. The earlier document keeps its passage.
 4. The first document with a seed may lack the rest of a passage. So where all seeds of MIN_WORDS words are shared, the runs of
    MIN_WORDS words themselves are hashed and matched with the first document that has the whole run. What 3. did not find is aligned too.
+5. What is then still open, where shared seeds in no passage found lie close over LEAST_SPAN words, is tried with all earlier documents
+   that have two of these seeds at such a distance, first or not: pairs of seeds are dealt by hash, each brings its documents together,
+   those that agree over MIN_WORDS words around it are chained and aligned as in 2. and 3.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from .ngram_join import TOKEN, _pack, _unpack
-from ._util import discard, free_name, materialize
+from ._util import discard, free_name, materialize as _materialize
 
 K, WINDOW = 5, 8  # words of a seed; k-mers of a window
 GAP_COST = 0.05  # for each word between chained seeds, on either side
@@ -35,6 +38,17 @@ HOT_IN_RUN = 16
 MAX_DOC = 2**63 - 1
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """As in _util; the shuffles that led to the table go as soon as it is written."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return _materialize(df)
+    finally:
+        spark.conf.set(name, before)
+
+
 def _slide(v: np.ndarray, w: int, op) -> np.ndarray:
     """op over each run of w values."""
     n, width = len(v) - w + 1, 1
@@ -168,7 +182,17 @@ class _Holders:
 
 
 def _first(table: pa.Table) -> pa.Table:
-    """One bucket: for each occurrence of a seed that two documents have, the place in the one of smallest id, and in the one before its own."""
+    """One bucket: for each occurrence of a seed that two documents have, the seed, the place in the one of smallest id, and in the one
+    before its own."""
+    return _earlier(table, True)
+
+
+def _first_alone(table: pa.Table) -> pa.Table:
+    """One bucket: for each occurrence of a run of words that two documents have, the place in the one of smallest id."""
+    return _earlier(table, False)
+
+
+def _earlier(table: pa.Table, all_of_it: bool) -> pa.Table:
     _text.give_back()  # of the group before
     run, kind, base, tok, ids, doc, pos = (table.column(c).to_pylist() for c in ("run", "kind", "base", "tok", "id", "doc", "pos"))
     if kind[0] < 2:
@@ -196,7 +220,8 @@ def _first(table: pa.Table) -> pa.Table:
             out.append((run[i], 3, _pack(every[order][j]), None, None, _names(h.who[j]), _ints(h.where[j]), None, None))
         elif (keep := many[h.of[at]]).any():
             at = at[keep]
-            out.append((run[i], 2, None, np.frombuffer(doc[i], np.uint16)[keep].tobytes(), _ints(places[i][keep]), _names(ref[at]), _ints(ref_pos[at]), _names(near[at]), _ints(near_pos[at])))
+            more = (_pack(toks[i][keep]), _names(near[at]), _ints(near_pos[at])) if all_of_it else (None,) * 3
+            out.append((run[i], 2, more[0], np.frombuffer(doc[i], np.uint16)[keep].tobytes(), _ints(places[i][keep]), _names(ref[at]), _ints(ref_pos[at]), *more[1:]))
     return pa.table(list(map(list, zip(*out))) if out else [[] for _ in range(9)], schema=_FOUND_TYPES)
 
 
@@ -246,10 +271,17 @@ def chain(x: list[int], y: list[int], k: int = K, cost: float = GAP_COST) -> lis
     return out
 
 
+#: Of a seed that a document shares, and of a run's shared seeds: the run, and what s and toks hold (see _chains).
+_ALL = "doc_id long, s int, e int, ref long, rs int, re int, seeds binary, turn int, run long, toks binary, docs binary"
 _CHAIN = "doc_id long, s int, e int, ref long, rs int, re int, seeds binary, turn int"
 _CHAIN_TYPES = pa.schema([("doc_id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("ref", pa.int64()), ("rs", pa.int32()), ("re", pa.int32()), ("seeds", pa.binary()), ("turn", pa.int32())])
 
 
+_ALL_TYPES = pa.schema([*_CHAIN_TYPES, ("run", pa.int64()), ("toks", pa.binary()), ("docs", pa.binary())])
+REGION, STRETCH, SHARED = 10, 11, 12
+FURTHER = 3  # turn of what holders other than the first and the one before have
+
+
 def _places(x: list[int], y: list[int]) -> bytes:
     """The seeds of a chain: where they lie in the document, then where in the earlier one."""
     return np.array([*x, *y], np.int32).tobytes()
@@ -257,14 +289,17 @@ def _places(x: list[int], y: list[int]) -> bytes:
 
 def _matches(table: pa.Table) -> tuple[np.ndarray, ...]:
     """One run: ids of its documents; then of each shared seed the document's number, its place, the first document that has it, the
-    place there, the document before its own that has it (the first again where no other is known), and the place there."""
+    place there, the document before its own that has it (the first again where no other is known), the place there, and the seed.
+    What _first_alone leaves out is that of the first document, and 0."""
     _text.give_back()  # of the run before
     rows = table.to_pylist()
     ids = np.frombuffer(next(r["tok"] for r in rows if r["kind"] == 0), np.int64)
-    parts = [tuple(np.zeros(0, np.int64) for _ in range(6))]
+    parts = [(*(np.zeros(0, np.int64) for _ in range(6)), np.zeros(0, np.uint64))]
     for r in rows:
         if r["kind"] == 2:
-            parts.append((np.frombuffer(r["doc"], np.uint16).astype(np.int64), _from_ints(r["pos"]), _from_names(r["ref"]), _from_ints(r["ref_pos"]), _from_names(r["near"]), _from_ints(r["near_pos"])))
+            ref, ref_pos = _from_names(r["ref"]), _from_ints(r["ref_pos"])
+            more = (ref, ref_pos, np.zeros(len(ref), np.uint64)) if r["near"] is None else (_from_names(r["near"]), _from_ints(r["near_pos"]), _unpack(r["tok"]))
+            parts.append((np.frombuffer(r["doc"], np.uint16).astype(np.int64), _from_ints(r["pos"]), ref, ref_pos, *more))
     heavy = [(_unpack(r["tok"]), _from_names(r["ref"]), _from_ints(r["ref_pos"])) for r in rows if r["kind"] == 3]
     for r in rows:
         if r["kind"] == 1:
@@ -277,7 +312,7 @@ def _matches(table: pa.Table) -> tuple[np.ndarray, ...]:
             at = lo + h.rank % (hi - lo)
             near, near_pos = h.place(np.maximum(h.of - 1, h.first[h.of]))
             alone = h.of == h.first[h.of]
-            parts.append((doc, pos, ref[at], ref_pos[at], np.where(alone, ref[at], near), np.where(alone, ref_pos[at], near_pos)))
+            parts.append((doc, pos, ref[at], ref_pos[at], np.where(alone, ref[at], near), np.where(alone, ref_pos[at], near_pos), tok))
     return ids, *map(np.concatenate, zip(*parts))
 
 
@@ -297,7 +332,7 @@ def _exact(min_words: int):
     """One run: the runs of words that a document shares with the first document that has all min_words words from each place."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, doc, x, ref, y, _, _ = _matches(table)
+        ids, doc, x, ref, y, *_ = _matches(table)
         keep = ref < ids[doc]
         doc, x, ref, y = doc[keep], x[keep], ref[keep], y[keep]
         out = []
@@ -314,6 +349,17 @@ def _exact(min_words: int):
     return run
 
 
+def _close(doc: np.ndarray, x: np.ndarray, which: np.ndarray, k: int, least: int) -> list[np.ndarray]:
+    """Of the seeds in which: those of a document that follow each other without a wide gap over least words or more, by place."""
+    which = which[np.lexsort((x[which], doc[which]))]
+    if not len(which):
+        return []
+    d, a = doc[which], x[which]
+    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] - a[:-1] > MAX_GAP + k)]))
+    last = np.append(head[1:], len(which)) - 1
+    return [which[i : j + 1] for i, j in zip(head.tolist(), last.tolist()) if a[j] + k - a[i] >= least]
+
+
 def _surely(x: np.ndarray, y: np.ndarray, k: int, min_words: int, identity: float) -> bool:
     """Whether the words of a chain's seeds alone make it long and alike enough."""
     held = lambda v: int(np.minimum(np.diff(v), k).sum()) + k
@@ -322,12 +368,21 @@ def _surely(x: np.ndarray, y: np.ndarray, k: int, min_words: int, identity: floa
 
 
 def _chains(k: int, window: int, least: int, min_words: int, identity: float):
-    """One run: the chains of its documents, with the first holders of seeds and with the holders before; without a ref: where runs
-    of min_words words may be shared as a whole. What a chain with a first holder surely has is not tried with the holder before."""
+    """One run: the chains of its documents, with the first holders of seeds and with the holders before. What a chain with a first
+    holder surely has is not tried with the holder before. By turn, further rows:
+
+    REGION: where runs of min_words words may be shared as a whole. STRETCH: a document's seeds that earlier ones have, as long as they
+    lie so close that they can be one chain. SHARED: all shared seeds of the run, with the numbers of their documents and these' ids.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, doc, x, ref, y, near, z = _matches(table)
-        out = [(int(ids[d]), s, e, None, None, None, None, None) for d, s, e in _shared_runs(doc, x, k, window, min_words)]
+        ids, doc, x, ref, y, near, z, tok = _matches(table)
+        name = table.column("run")[0].as_py()
+        out = [(int(ids[d]), s, e, None, None, None, None, REGION) for d, s, e in _shared_runs(doc, x, k, window, min_words)]
+        late = np.flatnonzero(ref < ids[doc])
+        out += [(int(ids[doc[o[0]]]), int(x[o[0]]), int(x[o[-1]]) + k, None, None, None, x[o].astype(np.int32).tobytes(), STRETCH, name) for o in _close(doc, x, late, k, least)]
+        order = np.lexsort((x, doc))
+        out.append((None, None, None, None, None, None, _ints(x[order]), SHARED, name, _pack(tok[order]), doc[order].astype(np.uint16).tobytes() + ids.tobytes()))
         sure: dict[int, list[tuple[int, int]]] = {}
         for turn, (other, there, keep) in enumerate(((ref, y, ref < ids[doc]), (near, z, (near != ref) & (near < ids[doc])))):
             d, a, o, b = doc[keep], x[keep], other[keep], there[keep]
@@ -351,7 +406,7 @@ def _chains(k: int, window: int, least: int, min_words: int, identity: float):
                         if not turn and _surely(qx, qy, k, min_words, identity):
                             sure.setdefault(int(d[s]), []).append((lo, hi))
                         out.append((int(ids[d[s]]), lo, hi, int(o[s]), int(qy[0]), int(qy[-1]) + k, np.concatenate([qx, qy]).astype(np.int32).tobytes(), turn))
-        return pa.table(list(map(list, zip(*out))) if out else [[] for _ in range(8)], schema=_CHAIN_TYPES)
+        return pa.table(list(map(list, zip(*(r + (None,) * (11 - len(r)) for r in out)))), schema=_ALL_TYPES)
 
     return run
 
@@ -401,14 +456,18 @@ def _same(a: np.ndarray, s: int, e: int, b: np.ndarray, rs: int, re: int, x: lis
     return same
 
 
-def align(a: np.ndarray, x: list[int], b: np.ndarray, y: list[int], k: int, drop: int = 6) -> tuple[int, int, int, int, int]:
-    """The passage of seeds at x in words a and at y in b, its ends moved outward: where it lies in both, and how many words align."""
+def align(a: np.ndarray, x: list[int], b: np.ndarray, y: list[int], k: int, drop: int = 6, min_words: int = 0, identity: float = 0.0) -> tuple[int, int, int, int, int]:
+    """The passage of seeds at x in words a and at y in b, its ends moved outward: where it lies in both, and how many words align (0 if
+    it is shorter than min_words or has not enough words in common to be alike)."""
     s, e, rs, re = x[0], x[-1] + k, y[0], y[-1] + k
     n = min(s, rs)
     left = _extend((a[s - n : s] == b[rs - n : rs])[::-1], drop)
     n = min(len(a) - e, len(b) - re)
     right = _extend(a[e : e + n] == b[re : re + n], drop)
     s, e, rs, re = s - left, e + right, rs - left, re + right
+    least = identity * max(e - s, re - rs)
+    if e - s < min_words or min(e - s, re - rs) < least or identity and len(x) < (e - s) // (3 * k) and np.isin(a[s:e], b[rs:re]).sum() < least:
+        return s, e, rs, re, 0
     return s, e, rs, re, _same(a, s, e, b, rs, re, x, y, k)
 
 
@@ -422,7 +481,7 @@ def parts(a: np.ndarray, x: list[int], b: np.ndarray, y: list[int], k: int, min_
     while todo:
         i, j = todo.pop()
         for drop in (6, 1):
-            s, e, rs, re, same = found = align(a, x[i:j], b, y[i:j], k, drop)
+            s, e, rs, re, same = found = align(a, x[i:j], b, y[i:j], k, drop, min_words, identity)
             if e - s >= min_words and same >= identity * max(e - s, re - rs):
                 out.append(found)
                 break
@@ -436,7 +495,7 @@ def parts(a: np.ndarray, x: list[int], b: np.ndarray, y: list[int], k: int, min_
 _ROOM = 4 << 20  # bytes of words that leave Python together
 
 
-def _fetch(names: list[str], types: tuple, column: str, begin: str, end: str):
+def _fetch(names: list[str], types: tuple, column: str, begin: str, end: str, hashes: type = np.uint32):
     """(doc_id, text, column of structs) to a row for each struct: its fields, the word that its words begin at, and their hashes."""
 
     def run(frames):
@@ -444,7 +503,7 @@ def _fetch(names: list[str], types: tuple, column: str, begin: str, end: str):
             buf, offs = _text.raw(batch.column("text"))
             low = _text.LOWER[buf]
             starts, ends, first = _text.split(low, offs)
-            words = _text.word_hashes(low, starts, ends).astype(np.uint32)
+            words = _text.word_hashes(low, starts, ends).astype(hashes)
             out, held = [], 0
             for i, (doc, wanted) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column(column).to_pylist())):
                 own = words[first[i] : first[i + 1]]
@@ -529,22 +588,284 @@ def _repeats(own: DataFrame, min_words: int, identity: float, k: int, window: in
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * own.rdd.getNumPartitions())
     least = max(k, min(LEAST_SPAN, min_words - 2 * (window - 1)))
     met = own.mapInArrow(_runs(buckets, k, window), _KEYED).groupBy("key").applyInArrow(_first, _FOUND)
-    all_chains = materialize(met.groupBy("run").applyInArrow(_chains(k, window, least, min_words, identity), _CHAIN))
-    chains, regions = all_chains.where("ref IS NOT NULL"), all_chains.where("ref IS NULL").select("doc_id", "s", "e")
+    all_chains = materialize(met.groupBy("run").applyInArrow(_chains(k, window, least, min_words, identity), _ALL))
+    chains, regions = all_chains.where("ref IS NOT NULL").select(*_CHAIN_TYPES.names), all_chains.where(f"turn = {REGION}").select("doc_id", "s", "e")
     hits = _align_all(own, chains, k, min_words, identity)
     # a passage of the holder before that lies within one of a first holder says nothing new
     found = materialize(_outside(hits.where("turn = 1"), hits.where("turn = 0"), "start_word", "n_words").unionByName(hits.where("turn = 0")).drop("turn"))
     # whole runs of min_words words, where every seed is shared
-    runs = own.join(regions.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("windows")), "doc_id").select("doc_id", "text", "windows")
-    exact = runs.mapInArrow(_runs(buckets, min_words, 1), _KEYED).groupBy("key").applyInArrow(_first, _FOUND).groupBy("run").applyInArrow(_exact(min_words), _CHAIN)
+    runs = _with_text(own, regions.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("windows")), "windows")
+    keyed = materialize(runs.mapInArrow(_runs(buckets, min_words, 1), _KEYED))
+    exact = keyed.groupBy("key").applyInArrow(_first_alone, _FOUND).groupBy("run").applyInArrow(_exact(min_words), _CHAIN)
     have = found.select("doc_id", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))
     rest = materialize(_outside(exact, have, "s"))
     more = _align_all(own, rest, min_words, min_words, identity).drop("turn")
-    out = materialize(found.unionByName(more).distinct())
-    discard(all_chains, rest, hits, found, more)
+    # what is still open is tried with all other documents that may have it
+    further, used = _further(own, all_chains, found.unionByName(more), buckets, least, min_words, identity, k)
+    out = materialize(found.unionByName(more).unionByName(further).distinct())
+    discard(all_chains, keyed, rest, hits, found, more, *used)
     return out
 
 
+def _with_text(own: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """Texts of the documents that are asked for; merged at every size, as what is asked grows with the documents."""
+    return own.join(asked.hint("shuffle_merge"), "doc_id").select("doc_id", "text", column)
+
+
+#: What all other holders of open seeds are told by: pairs of seeds, so many words apart in the document, and in the other one.
+APART, APART_THERE = (LEAST_SPAN - K, 90), (12, 112)
+_SLOTS = 4096  # that words between two seeds are told apart by
+BLOCK = 1024  # documents of a pair of seeds that meet in one place; more meet in blocks
+_OPEN = "run long, turn int, doc_id long, seeds binary, toks binary, docs binary"
+_SEEDS = "key long, run long, toks binary, ids binary, pos binary, open binary"
+_TWOS = "key long, twos binary, ids binary, xi binary, xj binary, open binary"
+_ASKED = "doc_id long, grp long, two long, role int, xi int, xj int"
+_PAIR = "doc_id long, ref long, xi int, xj int, yi int, yj int"
+_DDL = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _DDL[c.split()[1]]) for c in ddl.split(", ")])
+
+
+def _open(k: int, least: int):
+    """(doc_id, run, seeds, found) to the seeds that are in no passage found, where they can be one chain."""
+
+    def run(frames):
+        for batch in frames:
+            out = []
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["seeds"], np.int32).astype(np.int64)
+                if r["found"]:
+                    s, e = np.array(sorted((p["s"], p["e"]) for p in r["found"])).T
+                    at = np.searchsorted(s, x, "right") - 1
+                    x = x[(at < 0) | (np.maximum.accumulate(e)[at] < x + k)]
+                out += [(r["run"], STRETCH, r["doc_id"], x[o].astype(np.int32).tobytes(), None, None) for o in _close(np.zeros(len(x)), x, np.arange(len(x)), k, least)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_arrow(_OPEN).names, r)) for r in out], _arrow(_OPEN))
+
+    return run
+
+
+def _by_bucket(buckets: int, values: np.ndarray, row) -> list[tuple]:
+    """row(bucket, slice) for each bucket of 48-bit numbers, which are sorted, that has any."""
+    cut = np.concatenate([[0], np.searchsorted(values, (np.arange(1, buckets, dtype=np.float64) * (2.0**48 / buckets)).astype(np.uint64)), [len(values)]])
+    return [row(b, slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    return pa.table(list(map(list, zip(*rows))) if rows else [[] for _ in ddl.split(", ")], schema=_arrow(ddl))
+
+
+def _marked(buckets: int):
+    """One run: its shared seeds for each bucket, and which of them are open."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _text.give_back()
+        rows = table.to_pylist()
+        (r,) = (r for r in rows if r["turn"] == SHARED)
+        name, tok, pos = r["run"], _unpack(r["toks"]), _from_ints(r["seeds"])
+        doc, ids = np.frombuffer(r["docs"][: 2 * len(tok)], np.uint16).astype(np.int64), np.frombuffer(r["docs"][2 * len(tok) :], np.int64)
+        number = {d: i for i, d in enumerate(ids.tolist())}
+        wanted = [number[r["doc_id"]] << 32 | np.frombuffer(r["seeds"], np.int32).astype(np.int64) for r in rows if r["turn"] == STRETCH]
+        is_open = np.isin(doc << 32 | pos, np.concatenate(wanted)) if wanted else np.zeros(len(tok), bool)
+        order = np.lexsort((pos, ids[doc], tok))
+        tok, who, pos, is_open = tok[order], ids[doc[order]], pos[order], is_open[order]
+        return _table(_by_bucket(buckets, tok, lambda b, s: (b, name, _pack(tok[s]), _names(who[s]), _ints(pos[s]), np.packbits(is_open[s]).tobytes())), _SEEDS)
+
+    return run
+
+
+def _joined(table: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of seeds or pairs of them as arrays; the last are bits."""
+    _text.give_back()
+    read = [_unpack, _from_names, *[_from_ints] * (len(names) - 3)]
+    parts = [[f(v) for f, v in zip(read, row)] + [np.unpackbits(np.frombuffer(row[-1], np.uint8))] for row in zip(*(table.column(c).to_pylist() for c in names))]
+    return [np.concatenate(c) for c in zip(*([*p[:-1], p[-1][: len(p[0])].astype(bool)] for p in parts))]
+
+
+def _wanted(table: pa.Table) -> pa.Table:
+    """One bucket: all occurrences of the seeds that are open anywhere."""
+    tok, who, pos, is_open = _joined(table, ("toks", "ids", "pos", "open"))
+    keep = np.isin(tok, np.unique(tok[is_open]))
+    run = np.repeat(table.column("run").to_numpy(), [len(t) // 6 for t in table.column("toks").to_pylist()])
+    order = np.flatnonzero(keep)
+    order = order[np.argsort(run[order], kind="stable")]
+    head = np.flatnonzero(np.concatenate([[True], np.diff(run[order]) != 0])) if len(order) else order
+    return _table([(0, int(run[o[0]]), _pack(tok[o]), _names(who[o]), _ints(pos[o]), np.packbits(is_open[o]).tobytes()) for o in np.split(order, head[1:]) if len(o)], _SEEDS)
+
+
+def _twos(buckets: int):
+    """One run: pairs of the seeds of a document, so many words apart; open ones are of two open seeds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tok, who, pos, is_open = _joined(table, ("toks", "ids", "pos", "open"))
+        order = np.lexsort((pos, who))
+        tok, who, pos, is_open = tok[order], who[order], pos[order], is_open[order]
+        left, right = [], []
+        for step in range(1, len(tok)):
+            apart = pos[step:] - pos[:-step]
+            near = (who[step:] == who[:-step]) & (apart <= APART_THERE[1])
+            if not near.any():
+                break
+            at = np.flatnonzero(near & (apart >= APART_THERE[0]))
+            left.append(at)
+            right.append(at + step)
+        if not left:
+            return _table([], _TWOS)
+        i, j = np.concatenate(left), np.concatenate(right)
+        two = _text.mix(tok[i] * _text.ODD[3] + tok[j] * _text.ODD[4]) & TOKEN
+        both = is_open[i] & is_open[j] & (pos[j] - pos[i] >= APART[0]) & (pos[j] - pos[i] <= APART[1])
+        order = np.lexsort((pos[i], who[i], two))
+        i, j, two, both = i[order], j[order], two[order], both[order]
+        return _table(_by_bucket(buckets, two, lambda b, s: (b, _pack(two[s]), _names(who[i[s]]), _ints(pos[i[s]]), _ints(pos[j[s]]), np.packbits(both[s]).tobytes())), _TWOS)
+
+    return run
+
+
+def _meetings(buckets: int, block: int = BLOCK):
+    """One bucket: pairs of seeds that are open in a document and that an earlier one has, with all that have them. Role 1: it looks for
+    earlier ones; 2: it may be one; 3: both. Many documents meet in blocks of them, each with each before it and with itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        two, who, xi, xj, is_open = _joined(table, ("twos", "ids", "xi", "xj", "open"))
+        order = np.lexsort((xi, who, two))
+        two, who, xi, xj, is_open = two[order], who[order], xi[order], xj[order], is_open[order]
+        h = _Holders(two, who, xi)
+        late = is_open & (h.of > h.first[h.of])
+        group = h.first[h.of]  # a number for each pair of seeds
+        last = np.zeros(len(h.begin), np.int64)  # of each pair of seeds, the last document that looks for earlier ones
+        np.maximum.at(last, group[late], h.of[late])
+        keep = np.flatnonzero(h.of <= last[group]) if late.any() else np.zeros(0, np.int64)
+        keep = keep[last[group[keep]] > 0]
+        part = (h.of[keep] - group[keep]) // block
+        parts_of = (last[group[keep]] - group[keep]) // block + 1
+        out = []
+
+        def add(at, role, later, earlier):
+            name = _text.mix(two[at] * _text.ODD[5] + later.astype(np.uint64) * _text.ODD[6] + earlier.astype(np.uint64))
+            out.append((who[at], (name % np.uint64(buckets)).astype(np.int64), name.view(np.int64), role.astype(np.int32), xi[at].astype(np.int32), xj[at].astype(np.int32)))
+
+        add(keep, np.where(late[keep], 3, 2), part, part)
+        for other in range(int(parts_of.max()) if len(keep) else 0):
+            seeks = late[keep] & (part > other)  # in a later block
+            add(keep[seeks], np.full(seeks.sum(), 1), part[seeks], np.full(seeks.sum(), other))
+            held = (part < other) & (other < parts_of)  # in an earlier block
+            add(keep[held], np.full(held.sum(), 2), np.full(held.sum(), other), part[held])
+        return pa.table([np.concatenate(c) for c in zip(*out)], schema=_arrow(_ASKED))
+
+    return run
+
+
+def _extents(same: np.ndarray, drop: int = 6) -> np.ndarray:
+    """_extend() of each row."""
+    value = np.cumsum(np.where(same, 1, -2).astype(np.int16), 1, dtype=np.int16)
+    over = np.maximum.accumulate(np.maximum(np.maximum.accumulate(value, 1), 0) - value >= drop, 1)
+    value[over] = -1
+    return np.where(value.max(1) > 0, value.argmax(1) + 1, 0)
+
+
+def _pairs(k: int, min_words: int, identity: float):
+    """Some pairs of seeds and the words around them, to (document, earlier one, places) where the seeds, what lies between them and what
+    agrees before and after them make min_words words, and so many of these may be alike.
+
+    A word between the seeds counts where it stands anywhere between the other two: no alignment has more. A chain of up to APART words
+    has its outer seeds here, with its own ends; of a longer one the stretches between seeds far apart are here, of which one at least
+    is not much less alike than the whole.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        _text.give_back()
+        doc, two, role, xi, xj, begin = (table.column(c).to_numpy() for c in ("doc_id", "two", "role", "xi", "xj", "begin"))
+        order = np.lexsort((xi, doc, two))
+        doc, two, role, xi, xj, begin = doc[order], two[order], role[order], xi[order].astype(np.int64), xj[order].astype(np.int64), begin[order]
+        text = [np.frombuffer(w, np.uint16) for w in table.column("words").take(pa.array(order)).to_pylist()]
+        before, after = np.zeros((len(doc), MARGIN), np.uint16), np.zeros((len(doc), MARGIN), np.uint16)
+        within, stands = np.zeros((len(doc), APART_THERE[1] + k), np.uint16), np.zeros((len(doc), _SLOTS), bool)
+        n_before, n_after = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        for r, (w, i, j) in enumerate(zip(text, (xi - begin).tolist(), (xj - begin + k).tolist())):
+            a, b = w[:i][::-1][:MARGIN], w[j : j + MARGIN]
+            before[r, : len(a)], after[r, : len(b)] = a, b
+            n_before[r], n_after[r] = len(a), len(b)
+            c = w[i:j] % _SLOTS
+            within[r, : len(c)] = c
+            stands[r, c] = True
+        size = xj - xi + k
+        h = _Holders(two, doc, xi)
+        holders = np.flatnonzero(role[h.begin] & 2)
+        group = h.first[h.of]
+        looks = np.flatnonzero(role & 1)
+        lo, hi = np.searchsorted(holders, group[looks]), np.searchsorted(holders, h.of[looks])
+        upto = np.cumsum(hi - lo)
+        out, at, place, there = [], 0, np.arange(MARGIN), np.arange(within.shape[1])
+        while at < len(looks):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * BLOCK, "right")))
+            n = (hi - lo)[at:to]
+            a = np.repeat(looks[at:to], n)
+            other = holders[np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            b = h.begin[other] + h.rank[a] % h.size[other]
+            left = _extents((before[a] == before[b]) & (place < np.minimum(n_before[a], n_before[b])[:, None])) if len(a) else a
+            right = _extents((after[a] == after[b]) & (place < np.minimum(n_after[a], n_after[b])[:, None])) if len(a) else a
+            whole = left + right + np.maximum(size[a], size[b])
+            good = whole >= min_words
+            a, b, alike, whole = a[good], b[good], (left + right)[good], whole[good]
+            alike = alike + (stands[b[:, None], within[a]] & (there < size[a][:, None])).sum(1)
+            good = alike >= np.where(np.maximum(size[a], size[b]) >= min_words, identity - 0.15, identity) * whole
+            a, b = a[good], b[good]
+            out.append((doc[a], doc[b], *(v.astype(np.int32) for v in (xi[a], xj[a], xi[b], xj[b]))))
+            at = to
+        return pa.table([np.concatenate(c) for c in zip(*out)], schema=_arrow(_PAIR)) if out else _table([], _PAIR)
+
+    return run
+
+
+def _linked(k: int, least: int, min_words: int, identity: float):
+    """Some documents' pairs with earlier ones, to chains. What one has for sure is not tried with others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _text.give_back()
+        d, o, xi, xj, yi, yj = (table.column(c).to_numpy() for c in ("doc_id", "ref", "xi", "xj", "yi", "yj"))
+        at = np.unique(np.stack([np.tile(d, 2), np.tile(o, 2), np.concatenate([xi, xj]).astype(np.int64), np.concatenate([yi, yj]).astype(np.int64)], 1), axis=0)
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(at[:, :2], axis=0) != 0).any(1)]))
+        tail = np.append(head[1:], len(at))
+        out, sure, now = [], [], None
+        for g in np.lexsort((at[head, 1], head - tail, at[head, 0])).tolist():
+            who, ref = at[head[g], :2].tolist()
+            if who != now:
+                sure, now = [], who
+            x, y = at[head[g] : tail[g], 2], at[head[g] : tail[g], 3]
+            for path in chain(x.tolist(), y.tolist(), k):
+                px, py = x[path], y[path]
+                wide = np.flatnonzero((np.diff(px) > APART[1]) | (np.diff(py) > APART_THERE[1])) + 1
+                for qx, qy in zip(np.split(px, wide), np.split(py, wide)):
+                    lo, hi = int(qx[0]), int(qx[-1]) + k
+                    if hi - lo < least or any(p <= lo and hi <= q for p, q in sure):
+                        continue
+                    if _surely(qx, qy, k, min_words, identity):
+                        sure.append((lo, hi))
+                    out.append((who, lo, hi, ref, int(qy[0]), int(qy[-1]) + k, _places(qx.tolist(), qy.tolist()), FURTHER))
+        return pa.table(list(map(list, zip(*out))) if out else [[] for _ in range(8)], schema=_CHAIN_TYPES)
+
+    return run
+
+
+def _further(own: DataFrame, all_chains: DataFrame, found: DataFrame, buckets: int, least: int, min_words: int, identity: float, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Passages of the seeds that are in none found so far, with whichever earlier documents have two of them; and the tables it took."""
+    have = found.select("doc_id", F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e"))
+    stretches = all_chains.where(f"turn = {STRETCH}").select("doc_id", "run", "seeds").join(have.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("found")).hint("shuffle_merge"), "doc_id", "left")
+    seeds_of_run = stretches.mapInArrow(_open(k, least), _OPEN).unionByName(all_chains.where(f"turn = {SHARED}").select(*_arrow(_OPEN).names))
+    places = seeds_of_run.groupBy("run").applyInArrow(_marked(buckets), _SEEDS).groupBy("key").applyInArrow(_wanted, _SEEDS)
+    asked = materialize(places.groupBy("run").applyInArrow(_twos(buckets), _TWOS).groupBy("key").applyInArrow(_meetings(buckets), _ASKED))
+    by_doc = _with_text(own, asked.groupBy("doc_id").agg(F.collect_list(F.struct(*_arrow(_ASKED).names[1:])).alias("asked")), "asked")
+    windows = _arrow(_ASKED + ", begin int, words binary")
+    around = by_doc.mapInArrow(_fetch(windows.names, tuple(windows.types), "asked", "xi", "xj", np.uint16), _ASKED + ", begin int, words binary")
+    pairs = materialize(around.groupBy("grp").applyInArrow(_pairs(k, min_words, identity), _PAIR).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))))
+    chains = materialize(pairs.groupBy("part").applyInArrow(_linked(k, least, min_words, identity), _CHAIN))
+    hits = _align_all(own, chains, k, min_words, identity)
+    before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("n_words"), F.desc("identity"), "ref_doc_id", "ref_start_word", "ref_n_words", "matched_words").rowsBetween(Window.unboundedPreceding, -1)
+    most = hits.withColumn("_upto", F.max(F.col("start_word") + F.col("n_words")).over(before)).where("_upto IS NULL OR _upto < start_word + n_words").drop("_upto", "turn")
+    return _outside(most, found, "start_word", "n_words"), [asked, pairs, chains, hits]
+
+
 def _outside(rows: DataFrame, have: DataFrame, start: str, width: str | None = None) -> DataFrame:
     """rows whose stretch of words is not within one that the document already has."""
     end = F.col(start) + F.col(width) if width else F.col("e")
@@ -559,12 +880,12 @@ def _align_all(own: DataFrame, chains: DataFrame, k: int, min_words: int, identi
     """The passages of chains. A chain's own words join it where its document lies; those of the earlier document are fetched once for
     each window of it, however many documents follow it."""
     chain_names, chain_types = ["doc_id", "s", "e", "ref", "rs", "re", "seeds", "turn", "begin", "words"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-    mine = own.join(chains.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "ref", "rs", "re", "seeds", "turn")).alias("chains")), "doc_id").select("doc_id", "text", "chains")
+    mine = _with_text(own, chains.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "ref", "rs", "re", "seeds", "turn")).alias("chains")), "chains")
     mine = mine.mapInArrow(_fetch(chain_names, chain_types, "chains", "s", "e"), "doc_id long, s int, e int, ref long, rs int, re int, seeds binary, turn int, begin int, words binary")
     wanted = chains.select(F.col("ref").alias("doc_id"), "rs", "re").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("rs", "re")).alias("windows"))
     other_names, other_types = ["ref", "rs", "re", "ref_begin", "ref_words"], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    other = own.join(wanted, "doc_id").select("doc_id", "text", "windows").mapInArrow(_fetch(other_names, other_types, "windows", "rs", "re"), "ref long, rs int, re int, ref_begin int, ref_words binary")
-    met = mine.join(other, ["ref", "rs", "re"]).select("doc_id", "begin", "words", "ref", "ref_begin", "ref_words", "seeds", "turn")
+    other = _with_text(own, wanted, "windows").mapInArrow(_fetch(other_names, other_types, "windows", "rs", "re"), "ref long, rs int, re int, ref_begin int, ref_words binary")
+    met = mine.join(other.hint("shuffle_merge"), ["ref", "rs", "re"]).select("doc_id", "begin", "words", "ref", "ref_begin", "ref_words", "seeds", "turn")
     return materialize(met.mapInArrow(_aligned(k, min_words, identity), _HIT))
 
 
