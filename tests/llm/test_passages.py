@@ -158,3 +158,55 @@ def test_many_documents_of_a_pair_of_seeds_meet_in_blocks():
         ext = asked.append_column("begin", asked.column("xi")).append_column("words", pa.array([b"xy" * 65] * len(asked)))
         met[block] = sorted((r["doc_id"], r["ref"]) for g in set(ext.column("grp").to_pylist()) for r in passages._pairs(5, 50, 0.8)(ext.filter(pa.compute.equal(ext.column("grp"), g))).to_pylist())
     assert met[7] == met[1000] == sorted((int(a), int(b)) for i, a in enumerate(who) if is_open[i] for b in who[:i])
+
+
+def test_places_of_a_pair_of_seeds_are_laid_out_in_tiles():
+    """Texts that repeat themselves give one pair of seeds at very many places: their words are not laid out all at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    docs, each = 400, 50
+    n, rng = docs * each, np.random.default_rng(67)
+    who, at = np.repeat(np.arange(docs), each), np.tile(np.arange(each), docs)
+    texts = [rng.integers(0, 60_000, 250, dtype=np.uint16).tobytes() if d % 40 else b"xy" * 250 for d in range(docs)]
+    cols = {"doc_id": who, "grp": who * 0, "two": who * 0, "role": np.where(who % 20 == 0, 3, 2).astype(np.int32), "xi": (at + 96).astype(np.int32), "xj": (at + 126).astype(np.int32), "begin": at.astype(np.int32)}
+    table = pa.table(cols | {"words": pa.array([texts[d] for d in who], pa.binary())})
+    tracemalloc.start()
+    found = passages._pairs(5, 50, 0.8)(table)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    print(n, len(found), round(peak))
+    assert set(zip(found.column("doc_id").to_pylist(), found.column("ref").to_pylist())) == {(a, b) for a in range(0, docs, 40) for b in range(0, a, 40)}
+    assert peak < 60
+    some = table.filter(pa.compute.less(table.column("doc_id"), 100))
+    assert sorted(map(str, passages._pairs(5, 50, 0.8, 60)(some).to_pylist())) == sorted(map(str, passages._pairs(5, 50, 0.8)(some).to_pylist()))
+
+
+def test_meetings_leave_in_pieces_without_places_that_nobody_meets():
+    """A document holds a pair of seeds at 500 places, those that look for it at two: two of them go on. No table grows with the pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    who = np.concatenate([np.zeros(500, np.int64), np.repeat(np.arange(1, 41), 2)])
+    row = {"key": 0, "twos": passages._pack(np.full(len(who), 77, np.uint64)), "ids": passages._names(who), "xi": passages._ints(np.arange(len(who))), "xj": passages._ints(np.arange(len(who)) + 60), "open": np.packbits(who > 0).tobytes()}
+    table = pa.Table.from_pylist([row], passages._arrow(passages._TWOS))
+    pieces = list(passages._met(5, 1000, 10)(table))
+    assert max(map(len, pieces)) == 10 and sum(map(len, pieces)) == 82
+    assert sum(map(len, passages._met(5, 4, 10)(table))) == len(passages._meetings(5, 4)(table)) > 400
+
+
+def test_pairs_of_seeds_are_the_same_however_many_are_told_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(68)
+    who = np.repeat(np.arange(20), 30)
+    tok, pos = np.array([rng.randrange(9) for _ in who], np.uint64), np.concatenate([sorted(rng.sample(range(300), 30)) for _ in range(20)])
+    order = np.lexsort((pos, who, tok))
+    row = {"key": 0, "run": 1, "toks": passages._pack(tok[order]), "ids": passages._names(who[order]), "pos": passages._ints(pos[order]), "open": np.packbits(tok[order] < 4).tobytes()}
+    table = pa.Table.from_pylist([row], passages._arrow(passages._SEEDS))
+    got = [sorted(zip(*(c.tolist() for c in passages._joined(pa.concat_tables(passages._twos(3, n)(table)), ("twos", "ids", "xi", "xj", "open"))))) for n in (10_000, 37)]
+    want = sum(12 <= b - a <= 112 for d in range(20) for i, a in enumerate(pos[who == d]) for b in pos[who == d][i + 1 :])
+    assert got[0] == got[1] and len(got[0]) == want

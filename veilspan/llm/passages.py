@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -616,6 +617,9 @@ def _with_text(own: DataFrame, asked: DataFrame, column: str) -> DataFrame:
 APART, APART_THERE = (LEAST_SPAN - K, 90), (12, 112)
 _SLOTS = 4096  # that words between two seeds are told apart by
 BLOCK = 1024  # documents of a pair of seeds that meet in one place; more meet in blocks
+AT_ONCE = 1 << 14  # seeds whose pairs are told at once
+TILE = 1 << 12  # places of pairs of seeds whose words are laid out at once
+PIECE = 1 << 16  # rows that leave Python together
 _OPEN = "run long, turn int, doc_id long, seeds binary, toks binary, docs binary"
 _SEEDS = "key long, run long, toks binary, ids binary, pos binary, open binary"
 _TWOS = "key long, twos binary, ids binary, xi binary, xj binary, open binary"
@@ -694,68 +698,89 @@ def _wanted(table: pa.Table) -> pa.Table:
     return _table([(0, int(run[o[0]]), _pack(tok[o]), _names(who[o]), _ints(pos[o]), np.packbits(is_open[o]).tobytes()) for o in np.split(order, head[1:]) if len(o)], _SEEDS)
 
 
-def _twos(buckets: int):
+def _in_pieces(f: Callable[[pa.Table], Iterator[pa.Table]]):
+    """f, from a group to tables, as Spark takes it: each table goes on its way before the next is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(pa.Table.from_batches(batches)):
+            yield from out.to_batches()
+
+    return run
+
+
+def _twos(buckets: int, at_once: int = AT_ONCE):
     """One run: pairs of the seeds of a document, so many words apart; open ones are of two open seeds."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> Iterator[pa.Table]:
         tok, who, pos, is_open = _joined(table, ("toks", "ids", "pos", "open"))
         order = np.lexsort((pos, who))
         tok, who, pos, is_open = tok[order], who[order], pos[order], is_open[order]
-        left, right = [], []
-        for step in range(1, len(tok)):
-            apart = pos[step:] - pos[:-step]
-            near = (who[step:] == who[:-step]) & (apart <= APART_THERE[1])
-            if not near.any():
-                break
-            at = np.flatnonzero(near & (apart >= APART_THERE[0]))
-            left.append(at)
-            right.append(at + step)
-        if not left:
-            return _table([], _TWOS)
-        i, j = np.concatenate(left), np.concatenate(right)
-        two = _text.mix(tok[i] * _text.ODD[3] + tok[j] * _text.ODD[4]) & TOKEN
-        both = is_open[i] & is_open[j] & (pos[j] - pos[i] >= APART[0]) & (pos[j] - pos[i] <= APART[1])
-        order = np.lexsort((pos[i], who[i], two))
-        i, j, two, both = i[order], j[order], two[order], both[order]
-        return _table(_by_bucket(buckets, two, lambda b, s: (b, _pack(two[s]), _names(who[i[s]]), _ints(pos[i[s]]), _ints(pos[j[s]]), np.packbits(both[s]).tobytes())), _TWOS)
+        for s in range(0, len(tok), at_once):
+            left, right = [], []
+            for step in range(1, len(tok) - s):
+                e = min(s + at_once, len(tok) - step)
+                apart = pos[s + step : e + step] - pos[s:e]
+                near = (who[s + step : e + step] == who[s:e]) & (apart <= APART_THERE[1])
+                if not near.any():
+                    break
+                at = s + np.flatnonzero(near & (apart >= APART_THERE[0]))
+                left.append(at)
+                right.append(at + step)
+            if not left:
+                continue
+            i, j = np.concatenate(left), np.concatenate(right)
+            two = _text.mix(tok[i] * _text.ODD[3] + tok[j] * _text.ODD[4]) & TOKEN
+            both = is_open[i] & is_open[j] & (pos[j] - pos[i] >= APART[0]) & (pos[j] - pos[i] <= APART[1])
+            order = np.lexsort((pos[i], who[i], two))
+            i, j, two, both = i[order], j[order], two[order], both[order]
+            yield _table(_by_bucket(buckets, two, lambda b, s: (b, _pack(two[s]), _names(who[i[s]]), _ints(pos[i[s]]), _ints(pos[j[s]]), np.packbits(both[s]).tobytes())), _TWOS)
 
     return run
 
 
-def _meetings(buckets: int, block: int = BLOCK):
+def _met(buckets: int, block: int = BLOCK, piece: int = PIECE):
     """One bucket: pairs of seeds that are open in a document and that an earlier one has, with all that have them. Role 1: it looks for
-    earlier ones; 2: it may be one; 3: both. Many documents meet in blocks of them, each with each before it and with itself."""
+    earlier ones; 2: it may be one; 3: both. Many documents meet in blocks of them, each with each before it and with itself.
 
-    def run(table: pa.Table) -> pa.Table:
+    Of a document that has a pair at more places than any that looks, the places that none of these meets stay away.
+    """
+
+    def run(table: pa.Table) -> Iterator[pa.Table]:
         two, who, xi, xj, is_open = _joined(table, ("twos", "ids", "xi", "xj", "open"))
-        order = np.lexsort((xi, who, two))
+        sought = np.flatnonzero(np.isin(two, np.unique(two[is_open])))
+        order = sought[np.lexsort((xi[sought], who[sought], two[sought]))]
         two, who, xi, xj, is_open = two[order], who[order], xi[order], xj[order], is_open[order]
         h = _Holders(two, who, xi)
         late = is_open & (h.of > h.first[h.of])
         group = h.first[h.of]  # a number for each pair of seeds
-        last = np.zeros(len(h.begin), np.int64)  # of each pair of seeds, the last document that looks for earlier ones
-        np.maximum.at(last, group[late], h.of[late])
-        keep = np.flatnonzero(h.of <= last[group]) if late.any() else np.zeros(0, np.int64)
-        keep = keep[last[group[keep]] > 0]
+        last, most = np.zeros(len(h.begin), np.int64), np.zeros(len(h.begin), np.int64)
+        np.maximum.at(last, group[late], h.of[late])  # of each pair of seeds, the last document that looks for earlier ones
+        np.maximum.at(most, group[late], h.rank[late] + 1)  # and at how many places one does, those before them included
+        keep = np.flatnonzero((h.of <= last[group]) & (h.rank < most[group]))
         part = (h.of[keep] - group[keep]) // block
         parts_of = (last[group[keep]] - group[keep]) // block + 1
-        out = []
 
-        def add(at, role, later, earlier):
-            name = _text.mix(two[at] * _text.ODD[5] + later.astype(np.uint64) * _text.ODD[6] + earlier.astype(np.uint64))
-            out.append((who[at], (name % np.uint64(buckets)).astype(np.int64), name.view(np.int64), role.astype(np.int32), xi[at].astype(np.int32), xj[at].astype(np.int32)))
+        def rows(at, role, later, earlier):
+            for s in range(0, len(at), piece):
+                a = at[s : s + piece]
+                name = _text.mix(two[a] * _text.ODD[5] + later[s : s + piece].astype(np.uint64) * _text.ODD[6] + earlier[s : s + piece].astype(np.uint64))
+                yield pa.table([who[a], (name % np.uint64(buckets)).astype(np.int64), name.view(np.int64), role[s : s + piece].astype(np.int32), xi[a].astype(np.int32), xj[a].astype(np.int32)], schema=_arrow(_ASKED))
 
-        add(keep, np.where(late[keep], 3, 2), part, part)
+        yield from rows(keep, np.where(late[keep], 3, 2), part, part)
         for other in range(int(parts_of.max()) if len(keep) else 0):
             seeks = late[keep] & (part > other)  # in a later block
-            add(keep[seeks], np.full(seeks.sum(), 1), part[seeks], np.full(seeks.sum(), other))
+            yield from rows(keep[seeks], np.full(seeks.sum(), 1), part[seeks], np.full(seeks.sum(), other))
             held = (part < other) & (other < parts_of)  # in an earlier block
-            add(keep[held], np.full(held.sum(), 2), np.full(held.sum(), other), part[held])
-        return pa.table([np.concatenate(c) for c in zip(*out)], schema=_arrow(_ASKED))
+            yield from rows(keep[held], np.full(held.sum(), 2), np.full(held.sum(), other), part[held])
 
     return run
 
 
+def _meetings(buckets: int, block: int = BLOCK):
+    """_met() in one table."""
+    return lambda table: pa.concat_tables([_table([], _ASKED), *_met(buckets, block)(table)])
+
+
 def _extents(same: np.ndarray, drop: int = 6) -> np.ndarray:
     """_extend() of each row."""
     value = np.cumsum(np.where(same, 1, -2).astype(np.int16), 1, dtype=np.int16)
@@ -764,13 +789,60 @@ def _extents(same: np.ndarray, drop: int = 6) -> np.ndarray:
     return np.where(value.max(1) > 0, value.argmax(1) + 1, 0)
 
 
-def _pairs(k: int, min_words: int, identity: float):
+class _Around:
+    """The words before, after and between pairs of seeds, laid out for some places of a group at a time."""
+
+    def __init__(self, words: pa.ChunkedArray, order: np.ndarray, left: np.ndarray, right: np.ndarray):
+        """words: uint16 each; order: which row a place is; left and right: where in its words the pair begins and ends."""
+        one = pa.concat_arrays(words.chunks) if words.num_chunks != 1 else words.chunk(0)
+        _, offsets, data = one.buffers()
+        edge = np.frombuffer(offsets, np.int32)[one.offset : one.offset + len(one) + 1].astype(np.int64) // 2
+        self.words = np.frombuffer(data, np.uint16, len(data) // 2) if data is not None else np.zeros(0, np.uint16)
+        at = edge[:-1][order]
+        self.left, self.right = at + left, at + right
+        self.n_before, self.n_after = np.minimum(left, MARGIN), np.minimum(edge[1:][order] - self.right, MARGIN)
+
+    def outside(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words before, outward, and those after; 0 where there is none."""
+        place = np.arange(MARGIN)
+        before = np.where(place < self.n_before[rows, None], self.left[rows, None] - 1 - place, -1)
+        after = np.where(place < self.n_after[rows, None], self.right[rows, None] + place, -1)
+        return self._at(before), self._at(after)
+
+    def within(self, rows: np.ndarray) -> np.ndarray:
+        """The slots of the words between, the seeds included."""
+        size = self.right[rows] - self.left[rows]
+        place = np.arange(size.max(initial=0))
+        return self._at(np.where(place < size[:, None], self.left[rows, None] + place, -1)) % _SLOTS
+
+    def stands(self, rows: np.ndarray) -> np.ndarray:
+        """Which slots the words between fill."""
+        size, out = self.right[rows] - self.left[rows], np.zeros((len(rows), _SLOTS), bool)
+        at = np.repeat(self.left[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(rows)), size), self.words[at] % _SLOTS] = True
+        return out
+
+    def _at(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at < 0, np.uint16(0), self.words[np.maximum(at, 0)])
+
+
+def _tiles(edges: np.ndarray, tile: int) -> list[tuple[int, int]]:
+    """Stretches from edge to edge, of up to tile rows or from one edge to the next."""
+    out, s = [], 0
+    while s < len(edges) - 1:
+        e = max(s + 1, int(np.searchsorted(edges, edges[s] + tile, "right")) - 1)
+        out.append((int(edges[s]), int(edges[e])))
+        s = e
+    return out
+
+
+def _pairs(k: int, min_words: int, identity: float, tile: int = TILE):
     """Some pairs of seeds and the words around them, to (document, earlier one, places) where the seeds, what lies between them and what
     agrees before and after them make min_words words, and so many of these may be alike.
 
     A word between the seeds counts where it stands anywhere between the other two: no alignment has more. A chain of up to APART words
     has its outer seeds here, with its own ends; of a longer one the stretches between seeds far apart are here, of which one at least
-    is not much less alike than the whole.
+    is not much less alike than the whole. Words are laid out for tile places at a time, however many one pair of seeds has.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -778,41 +850,47 @@ def _pairs(k: int, min_words: int, identity: float):
         doc, two, role, xi, xj, begin = (table.column(c).to_numpy() for c in ("doc_id", "two", "role", "xi", "xj", "begin"))
         order = np.lexsort((xi, doc, two))
         doc, two, role, xi, xj, begin = doc[order], two[order], role[order], xi[order].astype(np.int64), xj[order].astype(np.int64), begin[order]
-        text = [np.frombuffer(w, np.uint16) for w in table.column("words").take(pa.array(order)).to_pylist()]
-        before, after = np.zeros((len(doc), MARGIN), np.uint16), np.zeros((len(doc), MARGIN), np.uint16)
-        within, stands = np.zeros((len(doc), APART_THERE[1] + k), np.uint16), np.zeros((len(doc), _SLOTS), bool)
-        n_before, n_after = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        for r, (w, i, j) in enumerate(zip(text, (xi - begin).tolist(), (xj - begin + k).tolist())):
-            a, b = w[:i][::-1][:MARGIN], w[j : j + MARGIN]
-            before[r, : len(a)], after[r, : len(b)] = a, b
-            n_before[r], n_after[r] = len(a), len(b)
-            c = w[i:j] % _SLOTS
-            within[r, : len(c)] = c
-            stands[r, c] = True
+        around = _Around(table.column("words"), order, xi - begin, xj - begin + k)
         size = xj - xi + k
         h = _Holders(two, doc, xi)
-        holders = np.flatnonzero(role[h.begin] & 2)
         group = h.first[h.of]
-        looks = np.flatnonzero(role & 1)
-        lo, hi = np.searchsorted(holders, group[looks]), np.searchsorted(holders, h.of[looks])
-        upto = np.cumsum(hi - lo)
-        out, at, place, there = [], 0, np.arange(MARGIN), np.arange(within.shape[1])
-        while at < len(looks):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * BLOCK, "right")))
-            n = (hi - lo)[at:to]
-            a = np.repeat(looks[at:to], n)
-            other = holders[np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            b = h.begin[other] + h.rank[a] % h.size[other]
-            left = _extents((before[a] == before[b]) & (place < np.minimum(n_before[a], n_before[b])[:, None])) if len(a) else a
-            right = _extents((after[a] == after[b]) & (place < np.minimum(n_after[a], n_after[b])[:, None])) if len(a) else a
-            whole = left + right + np.maximum(size[a], size[b])
-            good = whole >= min_words
-            a, b, alike, whole = a[good], b[good], (left + right)[good], whole[good]
-            alike = alike + (stands[b[:, None], within[a]] & (there < size[a][:, None])).sum(1)
-            good = alike >= np.where(np.maximum(size[a], size[b]) >= min_words, identity - 0.15, identity) * whole
-            a, b = a[good], b[good]
-            out.append((doc[a], doc[b], *(v.astype(np.int32) for v in (xi[a], xj[a], xi[b], xj[b]))))
-            at = to
+        out = []
+
+        def meet(looks: np.ndarray, s: int, e: int) -> None:
+            """Rows that look, with the holders in rows s to e."""
+            holders = h.of[s] + np.flatnonzero(role[h.begin[h.of[s] : h.of[e - 1] + 1]] & 2)
+            lo, hi = np.searchsorted(holders, group[looks]), np.searchsorted(holders, h.of[looks])
+            looks, lo, hi = looks[hi > lo], lo[hi > lo], hi[hi > lo]
+            if not len(looks):
+                return
+            (before, after), within = around.outside(looks), around.within(looks)
+            (before_b, after_b), stands = around.outside(np.arange(s, e)), around.stands(np.arange(s, e))
+            place, there = np.arange(MARGIN), np.arange(within.shape[1])
+            upto, at = np.cumsum(hi - lo), 0
+            while at < len(looks):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * BLOCK, "right")))
+                n = (hi - lo)[at:to]
+                mine = np.repeat(np.arange(at, to), n)
+                a = looks[mine]
+                other = holders[np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                b = h.begin[other] + h.rank[a] % h.size[other]
+                left = _extents((before[mine] == before_b[b - s]) & (place < np.minimum(around.n_before[a], around.n_before[b])[:, None]))
+                right = _extents((after[mine] == after_b[b - s]) & (place < np.minimum(around.n_after[a], around.n_after[b])[:, None]))
+                whole = left + right + np.maximum(size[a], size[b])
+                good = whole >= min_words
+                mine, a, b, alike, whole = mine[good], a[good], b[good], (left + right)[good], whole[good]
+                alike = alike + (stands[(b - s)[:, None], within[mine]] & (there < size[a][:, None])).sum(1)
+                good = alike >= np.where(np.maximum(size[a], size[b]) >= min_words, identity - 0.15, identity) * whole
+                a, b = a[good], b[good]
+                out.append((doc[a], doc[b], *(v.astype(np.int32) for v in (xi[a], xj[a], xi[b], xj[b]))))
+                at = to
+
+        edges = np.append(h.begin, len(doc))  # of holders
+        for s, e in _tiles(edges[np.append(np.unique(h.first), len(h.begin))], tile):
+            looks = s + np.flatnonzero(role[s:e] & 1)
+            for t, u in [(s, e)] if e - s <= tile else _tiles(edges[h.of[s] : h.of[e - 1] + 2], tile):
+                for i in range(0, len(looks), tile):
+                    meet(looks[i : i + tile], t, u)
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=_arrow(_PAIR)) if out else _table([], _PAIR)
 
     return run
@@ -854,7 +932,7 @@ def _further(own: DataFrame, all_chains: DataFrame, found: DataFrame, buckets: i
     stretches = all_chains.where(f"turn = {STRETCH}").select("doc_id", "run", "seeds").join(have.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("found")).hint("shuffle_merge"), "doc_id", "left")
     seeds_of_run = stretches.mapInArrow(_open(k, least), _OPEN).unionByName(all_chains.where(f"turn = {SHARED}").select(*_arrow(_OPEN).names))
     places = seeds_of_run.groupBy("run").applyInArrow(_marked(buckets), _SEEDS).groupBy("key").applyInArrow(_wanted, _SEEDS)
-    asked = materialize(places.groupBy("run").applyInArrow(_twos(buckets), _TWOS).groupBy("key").applyInArrow(_meetings(buckets), _ASKED))
+    asked = materialize(places.groupBy("run").applyInArrow(_in_pieces(_twos(buckets)), _TWOS).groupBy("key").applyInArrow(_in_pieces(_met(4 * buckets)), _ASKED))
     by_doc = _with_text(own, asked.groupBy("doc_id").agg(F.collect_list(F.struct(*_arrow(_ASKED).names[1:])).alias("asked")), "asked")
     windows = _arrow(_ASKED + ", begin int, words binary")
     around = by_doc.mapInArrow(_fetch(windows.names, tuple(windows.types), "asked", "xi", "xj", np.uint16), _ASKED + ", begin int, words binary")
