@@ -86,6 +86,12 @@ def test_only_selected_lines_are_tagged_twice(spark, tmp_path):
     assert pieces == sorted([good, "ที่ !\nมานะ ทองดี\n", "ที่ !", "มานะ ทองดี", "มานะ ทองดี"])  # the last as a short line with a name
 
 
+def test_every_short_line_is_tried_again(spark):
+    """Twelve short lines before and nine with a name that the first pass gives half of: none is left out for those before it."""
+    text = "~ รายการ ของ ทุก คน\n" + "อื่น ที่นี่\n" * 12 + "สมชาย ใจดี\nมานะ ทองดี\nชูใจ รักดี\n" * 3
+    assert found(spark, text) == sorted((n, "NAME") for n in NAMES * 3)
+
+
 def test_failures_may_end_the_job(spark):
     with pytest.raises(Exception, match="no model"):
         passes.tag_twice(spark.createDataFrame([(1, "boom")], DOCS), load, labels=LABELS, fail_closed=True).collect()
